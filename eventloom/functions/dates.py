@@ -2,50 +2,37 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.functions.text import empty, month_number, strip
-from eventloom.functions.times import ALL_DAY_HOUR, ALL_DAY_MINUTE, ntz, sentinel_day
+from eventloom.functions.text import empty, strip
+from eventloom.functions.times import ALL_DAY_HOUR, ALL_DAY_MINUTE
 
-# The accepted shapes.
-_YEAR = r"(\d{4})"
+# The accepted shapes. A one-digit day may be padded with a space.
+_YEAR = r"((?!0000)\d{4})"
 _MONTH = r"(1[0-2]|0?[1-9])"
-_DAY = r"(3[01]|[12]\d|0?[1-9]| [1-9])"
+_DAY = r"(?: (?=[1-9]\b))?(3[01]|[12]\d|0?[1-9])"
 _ISO = rf"{_YEAR}-{_MONTH}-{_DAY}"
 _NUMERIC = rf"^{_MONTH}/{_DAY}/{_YEAR}$"
-_TWELVE_HOUR = rf"(?i)^{_ISO}\s+(1[0-2]|0?[1-9]):([0-5]?\d)\s*([ap])m$"
+_TWELVE_HOUR = rf"(?i)^{_ISO}\s+(1[0-2]|0?[1-9]):([0-5]?\d)\s*([ap]m)$"
 _DAY_CLOCK = rf"^{_ISO}\s+(2[0-3]|[01]?\d):([0-5]?\d)$"
-_NAMED = (
-    r"(?i)^(?:(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday),\s+)?"
-    r"(january|february|march|april|may|june|july|august|september|october|november|december"
-    r"|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec)"
-    rf"\s+{_DAY},\s+{_YEAR}$"
+_MONTH_NAME = (
+    r"((?:jan(?=(?:uary)?\s)|feb(?=(?:ruary)?\s)|mar(?=(?:ch)?\s)|apr(?=(?:il)?\s)|may(?=\s)|jun(?=e?\s)|jul(?=y?\s)"
+    r"|aug(?=(?:ust)?\s)|sep(?=(?:tember)?\s)|oct(?=(?:ober)?\s)|nov(?=(?:ember)?\s)|dec(?=(?:ember)?\s)))[a-z]*"
 )
+_WEEKDAY = r"(?:(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday),\s+)?"
+_NAMED = rf"(?i)^{_WEEKDAY}{_MONTH_NAME}\s+{_DAY},\s+{_YEAR}$"
 
 
-def _stamp(year: Column, month: Column, day: Column, hour: Column, minute: Column) -> Column:
-    """A TIMESTAMP_NTZ, or null when the parts do not name a real day."""
-    two = [F.lpad(F.trim(part.cast("string")), 2, "0") for part in (month, day, hour, minute)]
-    text = F.concat(year, F.lit("-"), two[0], F.lit("-"), two[1], F.lit(" "), two[2], F.lit(":"), two[3], F.lit(":00"))
-    return F.when(year != "0000", text.try_cast("timestamp_ntz"))
-
-
-def _group(text: Column, pattern: str, index: int) -> Column:
-    """The group's text, or null when the pattern does not match."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, index))
-
-
-def _iso_day(day: Column, hour: Column, minute: Column) -> Column:
-    pattern = f"^{_ISO}$"
-    return _stamp(*[_group(day, pattern, i) for i in (1, 2, 3)], hour, minute)
+def _read(text: Column, pattern: str, order: str, layout: str) -> Column:
+    """The moment in ``text`` if it has the shape ``pattern`` and names a real day."""
+    ordered = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, order))
+    return F.try_to_timestamp(ordered, F.lit(layout)).cast("timestamp_ntz")
 
 
 def day_only(text: Column) -> Column:
     """``YYYY-MM-DD`` at midnight, else null."""
-    return _iso_day(strip(text), F.lit("0"), F.lit("0"))
+    return _read(strip(text), f"^{_ISO}$", "$1-$2-$3", "yyyy-M-d")
 
 
 def start_time(text: Column) -> Column:
@@ -56,33 +43,25 @@ def start_time(text: Column) -> Column:
     return F.regexp_replace(out, r"(?i)(\d)([ap]m)$", "$1 $2")
 
 
-def parsed_date(date: Column, time: Column) -> Column:
-    """The moment named by the two texts, or null when the date cannot be read.
+def with_parsed_date(df: DataFrame, out: str, *, date: str = "date", time: str = "time") -> DataFrame:
+    """Add ``out``: the moment named by the two texts, or null when the date cannot be read.
 
-    A date without a readable time is placed at the all-day mark.
+    A date without a readable time is placed at the all-day mark. The stripped texts
+    are columns of their own, so the plan computes them once and stays small.
     """
-    day = strip(date)
-    both = F.concat(day, F.lit(" "), start_time(time))
-    noon = (F.lit(str(ALL_DAY_HOUR)), F.lit(str(ALL_DAY_MINUTE)))
-
-    half = [_group(both, _TWELVE_HOUR, i) for i in range(1, 7)]
-    hour = F.pmod(half[3].try_cast("int"), F.lit(12)) + F.when(F.lower(half[5]) == "p", 12).otherwise(0)
-    twelve = _stamp(half[0], half[1], half[2], hour, half[4])
-
-    full = [_group(both, _DAY_CLOCK, i) for i in range(1, 6)]
-    named = [_group(day, _NAMED, i) for i in range(1, 4)]
-    slashed = [_group(day, _NUMERIC, i) for i in range(1, 4)]
-    return F.when(
-        ~empty(date),
-        F.coalesce(
-            F.when(~empty(time), F.coalesce(twelve, _stamp(*full))),
-            _iso_day(day, *noon),
-            _stamp(named[2], month_number(named[0]), named[1], *noon),
-            _stamp(slashed[2], slashed[0], slashed[1], *noon),
-        ),
+    day, both = F.col("_day"), F.col("_both")
+    all_day = F.expr(f"INTERVAL '{ALL_DAY_HOUR}:{ALL_DAY_MINUTE}' HOUR TO MINUTE")
+    moment = F.coalesce(
+        _read(both, _TWELVE_HOUR, "$1-$2-$3 $4:$5 $6", "yyyy-M-d h:m a"),
+        _read(both, _DAY_CLOCK, "$1-$2-$3 $4:$5", "yyyy-M-d H:m"),
+        _read(day, f"^{_ISO}$", "$1-$2-$3", "yyyy-M-d") + all_day,
+        _read(day, _NAMED, "$3-$1-$2", "yyyy-MMM-d") + all_day,
+        _read(day, _NUMERIC, "$3-$1-$2", "yyyy-M-d") + all_day,
+    )
+    return (
+        df.withColumn("_day", F.when(~empty(F.col(date)), strip(F.col(date))))
+        .withColumn("_clock", F.when(~empty(F.col(time)), start_time(F.col(time))))
+        .withColumn("_both", F.concat("_day", F.lit(" "), "_clock"))
+        .withColumn(out, moment)
+        .drop("_day", "_clock", "_both")
     )
-
-
-def event_moment(date: Column, time: Column, as_of: datetime | str) -> Column:
-    """``parsed_date`` with unreadable dates placed on the ``as_of`` day at the all-day mark."""
-    return F.coalesce(parsed_date(date, time), ntz(sentinel_day(as_of)))

@@ -50,9 +50,3 @@ def form_encode(text: Column) -> Column:
     encoded = F.url_encode(text)
     return F.replace(F.replace(encoded, F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
-
-def month_number(name: Column) -> Column:
-    """1..12 from an English month name or its three-letter form."""
-    # Fixed value: the months in order.
-    months = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
-    return F.array_position(F.array(*[F.lit(m) for m in months]), F.lower(clip(name, 3)))

@@ -13,25 +13,30 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.functions.dates import day_only, event_moment, parsed_date
+from eventloom.functions.dates import day_only, with_parsed_date
 from eventloom.functions.ordering import numbered
 from eventloom.functions.text import blank, empty, strip
-from eventloom.functions.times import midnight, moment, ntz
+from eventloom.functions.times import midnight, moment, ntz, sentinel_day
 from eventloom.functions.urls import join_url
 
 KEY = ["title", "date"]
 
 
 def normalize_dates(events: DataFrame, *, as_of: datetime | str) -> DataFrame:
-    """Add ``event_dt``, read from the ``date`` and ``time`` texts."""
-    return events.withColumn("event_dt", event_moment(F.col("date"), F.col("time"), as_of))
+    """Add ``event_dt``, read from the ``date`` and ``time`` texts.
+
+    Unreadable dates become the ``as_of`` day at the all-day mark.
+    """
+    return with_parsed_date(events, "event_dt").withColumn(
+        "event_dt", F.coalesce("event_dt", ntz(sentinel_day(as_of)))
+    )
 
 
 def date_quality(events: DataFrame) -> DataFrame:
     """Unreadable dates, missing links and missing titles per source."""
-    return events.groupBy("source").agg(
+    return with_parsed_date(events, "_found").groupBy("source").agg(
         F.count("*").alias("events"),
-        F.count_if(parsed_date(F.col("date"), F.col("time")).isNull()).alias("unparseable"),
+        F.count_if(F.col("_found").isNull()).alias("unparseable"),
         F.count_if(empty(F.col("url"))).alias("missing_url"),
         F.count_if(empty(F.col("title"))).alias("missing_title"),
     )
@@ -59,8 +64,11 @@ def resolve_urls(events: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def _first_arrivals(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Ids of the rows that enter the catalog: first of their key and not stored yet."""
-    first = candidates.groupBy(*KEY).agg(F.min("row_id").alias("row_id"))
+    """Ids of the rows that enter the catalog: first of their key and not stored yet.
+
+    Rows with a null ``row_id`` do not compete.
+    """
+    first = candidates.groupBy(*KEY).agg(F.min("row_id").alias("row_id")).where(F.col("row_id").isNotNull())
     return first.join(catalog.select(*KEY).distinct(), KEY, "left_anti").select("row_id")
 
 
@@ -72,7 +80,14 @@ def classify_save(events: DataFrame, catalog: DataFrame, *, as_of: datetime | st
     rows = events.withColumn("title", F.coalesce(strip(F.col("title")), F.lit("")))
     past = (F.col("event_dt") < ntz(midnight(as_of))) & ~F.col("is_ongoing")
     rows = rows.withColumn("early", F.when(F.col("title") == "", "no_title").when(past, "past"))
-    kept = rows.where(F.col("early").isNull()).select("row_id", "title", F.col("event_dt").alias("date"))
+    # Not a filter: Spark would push it below the projection and write out the date
+    # parsing once more inside it. Rows out of the running share one empty key.
+    running = F.col("early").isNull()
+    kept = rows.select(
+        F.when(running, F.col("row_id")).alias("row_id"),
+        F.when(running, F.col("title")).alias("title"),
+        F.when(running, F.col("event_dt")).alias("date"),
+    )
     added = _first_arrivals(kept, catalog).withColumn("_added", F.lit(True))
     return (
         rows.join(added, "row_id", "left")

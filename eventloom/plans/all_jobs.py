@@ -1,7 +1,9 @@
 """Imports every job module so that the registry is complete."""
 
 from eventloom.plans import (  # noqa: F401
+    catalog_jobs,
     health_jobs,
+    listing_jobs,
     usage_jobs,
 )
 from eventloom.plans.jobs import CHECKS, QUERIES  # noqa: F401
