@@ -2,8 +2,10 @@
 
 from eventloom.plans import (  # noqa: F401
     catalog_jobs,
+    crawl_jobs,
     health_jobs,
     listing_jobs,
+    text_jobs,
     usage_jobs,
 )
 from eventloom.plans.jobs import CHECKS, QUERIES  # noqa: F401
