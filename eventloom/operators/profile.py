@@ -93,7 +93,7 @@ def recent_feedback(feedback: DataFrame, *, n: int = 10) -> DataFrame:
 
 def recent_history(history: DataFrame, *, n: int = 10) -> DataFrame:
     """Each user's newest archived summaries."""
-    newest = Window.partitionBy("user_id").orderBy(F.desc("created_at"))
+    newest = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("feedback_count"))
     return history.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= n)
 
 

@@ -5,6 +5,8 @@ from eventloom.plans import (  # noqa: F401
     crawl_jobs,
     health_jobs,
     listing_jobs,
+    profile_jobs,
+    scoring_jobs,
     text_jobs,
     usage_jobs,
 )
