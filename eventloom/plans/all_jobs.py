@@ -7,6 +7,7 @@ from eventloom.plans import (  # noqa: F401
     listing_jobs,
     profile_jobs,
     scoring_jobs,
+    stream_jobs,
     text_jobs,
     usage_jobs,
 )

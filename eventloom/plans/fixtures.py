@@ -260,10 +260,16 @@ def _rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name)
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A fixture view as a DataFrame."""
+def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table read as a file stream."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, *, stream: bool = False) -> DataFrame:
+    """A fixture view as a DataFrame, or as a stream where it reads one given table."""
     v = VIEWS[name]
-    df = _rows(spark, sf_dir, v.table)
+    df = arriving(spark, sf_dir, v.table) if stream else _rows(spark, sf_dir, v.table)
     if v.where:
         df = df.where(v.where)
     spark_text = [

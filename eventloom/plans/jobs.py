@@ -30,6 +30,9 @@ class Inputs:
             return fixtures.view(self.spark, self.sf_dir, f"fx_{name}")
         raise AttributeError(name)
 
+    def stream(self, name: str) -> DataFrame:
+        return fixtures.view(self.spark, self.sf_dir, f"fx_{name}", stream=True)
+
 
 def job(name: str, *views: str, sql: str | None = None):
     """Register a job; ``sql`` may use the named views."""
