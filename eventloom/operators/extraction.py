@@ -43,7 +43,7 @@ def explode_events(parsed: DataFrame) -> DataFrame:
     """One row per event with its page, chunk and position."""
     keys = [c for c in parsed.columns if c in ("site_key", "page_id", "chunk_no", "is_last")]
     return parsed.select(*keys, F.posexplode("events").alias("pos", "event")).select(
-        *keys, "pos", *[F.col(f"event.{name}").alias(name) for name in EVENT_FIELDS]
+        *keys, F.col("pos").cast("bigint").alias("pos"), *[F.col(f"event.{name}").alias(name) for name in EVENT_FIELDS]
     )
 
 

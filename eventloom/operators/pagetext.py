@@ -181,7 +181,7 @@ def chunk_text(texts: DataFrame, *, size: int = CHUNK_SIZE, overlap: int = CHUNK
     keep = [c for c in texts.columns if c != "text"]
     return texts.select(*keep, n.alias("n_chunks"), F.posexplode(windows).alias("pos", "text")).select(
         *keep,
-        (F.col("pos") + 1).alias("chunk_no"),
+        (F.col("pos") + 1).cast("bigint").alias("chunk_no"),
         (F.col("pos") + 1 == F.col("n_chunks")).alias("is_last"),
         "text",
     )

@@ -46,7 +46,7 @@ _SEED = ", ".join(
     "({!r}, {}, {}, {}, {})".format(m, *["NULL" if v is None else v for v in numbers])
     for m, *numbers in [*tables.DEFAULT_LIMITS, ("view", 1, 1, 1, 1)]
 )
-_EDITED = "SELECT event_type AS model, 30 AS rpm, count(*) AS rpd, 6000 AS tpm, CAST(max(event_id) AS BIGINT) AS tpd FROM events GROUP BY 1"
+_EDITED = "SELECT event_type AS model, CAST(30 AS BIGINT) AS rpm, count(*) AS rpd, CAST(6000 AS BIGINT) AS tpm, CAST(max(event_id) AS BIGINT) AS tpd FROM events GROUP BY 1"
 
 
 @job(
@@ -88,7 +88,7 @@ def _resolve(x):
     sql=f"""WITH {_FLAT.strip()},
     m AS (SELECT *, CAST(DATE '2024-02-15' + CAST(30 * i AS INT) AS DATE) AS d
           FROM (SELECT *, unnest(range(months)) AS i FROM sites WHERE pagination_type IN ('multi_month', 'calendar_grid')))
-    SELECT site_key, i + 1 AS page_no, year(d) AS year, month(d) AS month, inject_dates,
+    SELECT site_key, CAST(i + 1 AS INT) AS page_no, CAST(year(d) AS INT) AS year, CAST(month(d) AS INT) AS month, inject_dates,
       replace(replace(replace(replace(url_template, '{{month}}', CAST(month(d) AS VARCHAR)), '{{month:02d}}', strftime(d, '%m')),
                       '{{year}}', CAST(year(d) AS VARCHAR)), '{{month_name}}', lower(strftime(d, '%B'))) AS url FROM m""",
 )
@@ -100,7 +100,7 @@ def _months(x):
     "expand_param_urls",
     "fx_registry",
     sql=f"""WITH {_FLAT.strip()}
-    SELECT site_key, i AS page_no,
+    SELECT site_key, CAST(i AS INT) AS page_no,
       CASE WHEN i = 0 AND start_index = 1 THEN url
            WHEN regexp_matches(url, 'page=\\d+') THEN regexp_replace(url, 'page=\\d+', 'page=' || (start_index + i), 'g')
            WHEN contains(url, '?') THEN url || '&page=' || (start_index + i) ELSE url || '?page=' || (start_index + i) END AS url

@@ -294,7 +294,8 @@ def limits(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LIMIT_ROWS, "model STRING, rpm BIGINT, rpd BIGINT, tpm BIGINT, tpd BIGINT")
 
 
-LIMITS_SQL = "fx_limits AS (SELECT * FROM (VALUES {}) AS t(model, rpm, rpd, tpm, tpd))".format(
+LIMITS_SQL = """fx_limits AS (SELECT model, CAST(rpm AS BIGINT) AS rpm, CAST(rpd AS BIGINT) AS rpd, CAST(tpm AS BIGINT) AS tpm,
+    CAST(tpd AS BIGINT) AS tpd FROM (VALUES {}) AS t(model, rpm, rpd, tpm, tpd))""".format(
     ", ".join("({!r}, {}, {}, {}, {})".format(m, a, b, c, "NULL" if d is None else d) for m, a, b, c, d in LIMIT_ROWS)
 )
 

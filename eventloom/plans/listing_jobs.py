@@ -68,7 +68,7 @@ def _month(x):
 
 
 _GRID_DAYS = ", ".join(
-    f"coalesce(max(CASE WHEN dayofweek(day) = {i} THEN dayofmonth(day) END), 0) AS {name}"
+    f"CAST(coalesce(max(CASE WHEN dayofweek(day) = {i} THEN dayofmonth(day) END), 0) AS INT) AS {name}"
     for i, name in enumerate(["sun", "mon", "tue", "wed", "thu", "fri", "sat"])
 )
 
@@ -79,7 +79,7 @@ _GRID_DAYS = ", ".join(
     sql=f"""WITH m AS (SELECT DISTINCT CAST(date_trunc('month', date) AS DATE) AS month FROM fx_catalog),
     d AS (SELECT month, CAST(unnest(generate_series(CAST(month AS TIMESTAMP), CAST(last_day(month) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day
           FROM m)
-    SELECT month, (dayofmonth(day) + dayofweek(month) - 1) // 7 AS week, {_GRID_DAYS} FROM d GROUP BY 1, 2""",
+    SELECT month, CAST((dayofmonth(day) + dayofweek(month) - 1) // 7 AS INT) AS week, {_GRID_DAYS} FROM d GROUP BY 1, 2""",
 )
 def _grid(x):
     return listing.calendar_grid(x.catalog)
@@ -102,7 +102,7 @@ def _day_counts(x):
 @job(
     "day_top3",
     "fx_catalog",
-    sql=f"""SELECT r.day, rank, id,
+    sql=f"""SELECT r.day, CAST(rank AS INT) AS rank, id,
                    concat(ltrim(strftime(date, '%I:%M%p'), '0'), ' ', substr(title, 1, 26),
                           CASE WHEN length(title) > 26 THEN '…' ELSE '' END) AS chip,
                    greatest(events - 3, 0) AS more

@@ -62,7 +62,7 @@ def _counts(x):
     "recent_feedback",
     "fx_feedback_clicks",
     "fx_catalog",
-    sql=f"""WITH {_SNAPSHOT.strip()} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id
+    sql=f"""WITH {_SNAPSHOT.strip()} SELECT * REPLACE (CAST(rank AS INT) AS rank) FROM (SELECT *, row_number() OVER (PARTITION BY user_id
               ORDER BY created_at DESC, click_id DESC) AS rank FROM feedback) WHERE rank <= 10""",
 )
 def _recent(x):
@@ -198,7 +198,7 @@ def _apply_history(x):
 @job(
     "recent_history",
     "fx_profile_edits",
-    sql="""SELECT * FROM (SELECT user_id, '' AS taste_prompt, content AS preference_summary, edit_id AS feedback_count,
+    sql="""SELECT * REPLACE (CAST(rank AS INT) AS rank) FROM (SELECT user_id, '' AS taste_prompt, content AS preference_summary, edit_id AS feedback_count,
                                  edited_at AS created_at, row_number() OVER (PARTITION BY user_id ORDER BY edited_at DESC, edit_id DESC) AS rank
                           FROM fx_profile_edits) WHERE rank <= 10""",
 )

@@ -106,12 +106,13 @@ def parsed_scores(x):
     "fx_score_replies",
     "fx_score_members",
     sql=f"""WITH {_SCORES.strip()}
-    SELECT m.batch_no, count(s.id) AS scored, count(*) AS expected,
-           coalesce(list(m.id ORDER BY m.id) FILTER (WHERE s.id IS NULL), []) AS missing_ids
+    SELECT m.batch_no, CAST(count(s.id) AS INT) AS scored, CAST(count(*) AS INT) AS expected,
+           coalesce(string_agg(m.id, ',' ORDER BY m.id) FILTER (WHERE s.id IS NULL), '') AS missing_ids
     FROM fx_score_members m LEFT JOIN scores s ON m.batch_no = s.batch_no AND m.id = s.id GROUP BY 1""",
 )
 def _coverage(x):
-    return scoring.score_coverage(parsed_scores(x), x.score_members)
+    found = scoring.score_coverage(parsed_scores(x), x.score_members)
+    return found.withColumn("missing_ids", F.array_join("missing_ids", ","))
 
 
 @job(

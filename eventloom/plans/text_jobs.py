@@ -138,15 +138,15 @@ _TOP = "lower(substr(html, 1, 3000))"
 @job(
     "bot_block_flags",
     "fx_pages",
-    sql=f"""SELECT page_id, site_key, list_filter([
+    sql=f"""SELECT page_id, site_key, array_to_string(list_filter([
               CASE WHEN contains({_TOP}, 'access denied') THEN 'access denied' END,
               CASE WHEN contains({_TOP}, 'captcha') THEN 'captcha' END,
               CASE WHEN contains({_TOP}, 'just a moment') THEN 'just a moment' END,
               CASE WHEN contains({_TOP}, '<title>403') THEN 'title 403' END,
-              CASE WHEN length(html) < 2000 THEN 'very short' END], lambda f: f IS NOT NULL) AS flags FROM fx_pages""",
+              CASE WHEN length(html) < 2000 THEN 'very short' END], lambda f: f IS NOT NULL), ',') AS flags FROM fx_pages""",
 )
 def _bots(x):
-    return pagetext.bot_block_flags(x.pages)
+    return pagetext.bot_block_flags(x.pages).withColumn("flags", F.array_join("flags", ","))
 
 
 _PHRASES = ", ".join(f"CASE WHEN contains(lower(text), '{p}') THEN '{p}' END" for p in pagetext.PLACEHOLDERS)
@@ -155,12 +155,12 @@ _PHRASES = ", ".join(f"CASE WHEN contains(lower(text), '{p}') THEN '{p}' END" fo
 @job(
     "placeholder_flags",
     "fx_texts",
-    sql=rf"""SELECT page_id, site_key, CASE WHEN text = '' THEN ['empty'] ELSE list_filter([
-               CASE WHEN length(text) < 100 THEN 'very short' END, {_PHRASES}], lambda f: f IS NOT NULL) END AS flags
+    sql=rf"""SELECT page_id, site_key, CASE WHEN text = '' THEN 'empty' ELSE array_to_string(list_filter([
+               CASE WHEN length(text) < 100 THEN 'very short' END, {_PHRASES}], lambda f: f IS NOT NULL), ',') END AS flags
              FROM (SELECT page_id, site_key, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM fx_texts)""",
 )
 def _placeholders(x):
-    return pagetext.placeholder_flags(x.texts)
+    return pagetext.placeholder_flags(x.texts).withColumn("flags", F.array_join("flags", ","))
 
 
 def _quoted(text: str) -> str:
@@ -233,7 +233,7 @@ found AS (SELECT page_id, chunk_no, is_last, i - 1 AS pos, j.events[i].title AS
 @job(
     "parse_responses",
     "fx_responses",
-    sql=f"""WITH {_PARSED.strip()} SELECT page_id, chunk_no, is_last, status, coalesce(len(j.events), 0) AS n_events,
+    sql=f"""WITH {_PARSED.strip()} SELECT page_id, chunk_no, is_last, status, CAST(coalesce(len(j.events), 0) AS INT) AS n_events,
                    j.next_page_url AS next_page_url FROM read""",
 )
 def _parse(x):
