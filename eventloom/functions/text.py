@@ -6,11 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the characters that count as white space when stripping.
-_SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{_SPACE}+|{_SPACE}+$", "")
+    """Remove white space at both ends; looks at the ends only, however long the text."""
+    return F.btrim(text, F.lit(_SPACE))
 
 
 def title_key(title: Column) -> Column:

@@ -29,7 +29,8 @@ def _without_dots(path: Column) -> Column:
     kept = F.aggregate(segments, F.array().cast("array<string>"), step)
     kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
     joined = F.array_join(kept, "/")
-    return F.when(joined == "", "/").otherwise(joined)
+    # Climbing above the root can take the leading slash along.
+    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
 
 
 def join_url(base: Column, link: Column) -> Column:

@@ -18,6 +18,7 @@ from eventloom.functions.ordering import numbered
 from eventloom.functions.text import blank, empty, strip
 from eventloom.functions.times import midnight, moment, ntz, sentinel_day
 from eventloom.functions.urls import join_url
+from eventloom.session import durable
 
 KEY = ["title", "date"]
 
@@ -128,6 +129,7 @@ def merge_catalog(catalog: DataFrame, incoming: DataFrame) -> DataFrame:
 
     Ids continue after the highest existing one in arrival order.
     """
+    incoming = durable(incoming)  # read for the winners and for their content
     winners = _first_arrivals(incoming.select("row_id", *KEY), catalog)
     order = numbered(winners, [], [F.col("row_id")])
     highest = catalog.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()

@@ -60,10 +60,7 @@ def ics_escape(text: Column) -> Column:
 
 def ics_fold(line: Column) -> Column:
     """Lines over 75 characters continue on lines of one space and 74 characters."""
-    cuts = F.sequence(F.lit(76), F.greatest(F.length(line), F.lit(76)), F.lit(74))
-    rest = F.transform(cuts, lambda at: F.concat(F.lit(" "), F.substring(line, at, F.lit(74))))
-    folded = F.array_join(F.concat(F.array(clip(line, 75)), rest), "\r\n")
-    return F.when(F.length(line) <= 75, line).when(line.isNotNull(), folded)
+    return F.concat(clip(line, 75), F.regexp_replace(F.substring(line, 76, 2**31 - 1), r"(?s)(.{1,74})", "\r\n $1"))
 
 
 def vevents(events: DataFrame, *, as_of: datetime | str, uid: str, offset_hours: int = LOCAL_OFFSET_HOURS) -> DataFrame:

@@ -15,34 +15,41 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     Adds ``events``, ``next_page_url`` and ``status`` (``ok``, ``salvaged`` or
     ``failed``). A salvage counts only if it yields events.
     """
-    content = F.coalesce("content", F.lit(""))
+    content, usable = F.coalesce("content", F.lit("")), F.col("_usable")
     tail = F.substring_index(content, "},", -1)
     cut = F.substring(content, F.lit(1), F.length(content) - F.length(tail) - 1)
     repaired = F.when(F.contains(content, F.lit("},")), F.concat(cut, F.lit("]}")))
 
-    def is_object(text):
-        return F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
-
-    valid = F.try_parse_json(content).isNotNull()
-    usable = F.when(is_object(content), content).when(~valid & is_object(repaired), repaired)
-    return (
-        responses.withColumn("parsed", F.from_json(usable, EXTRACTION))
-        .withColumn("events", F.col("parsed.events"))
-        .withColumn("next_page_url", F.col("parsed.next_page_url"))
+    # Each step is a column of its own and is used by the next ones, so every text is
+    # parsed once for validity and once for its content.
+    steps = (
+        responses.withColumn("_valid", F.try_parse_json(content).isNotNull())
+        .withColumn("_usable", F.when(F.col("_valid"), content).otherwise(repaired))
+        .withColumn("_sound", usable.rlike(r"^\s*\{") & (F.col("_valid") | F.try_parse_json(usable).isNotNull()))
+        .withColumn("_parsed", F.from_json(F.when(F.col("_sound"), usable), EXTRACTION))
         .withColumn(
             "status",
-            F.when(is_object(content), "ok").when(F.size("events") > 0, "salvaged").otherwise("failed"),
+            F.when(F.col("_sound") & F.col("_valid"), "ok")
+            .when(F.col("_sound") & (F.size("_parsed.events") > 0), "salvaged")
+            .otherwise("failed"),
         )
-        .withColumn("events", F.when(F.col("status") != "failed", F.col("events")))
-        .withColumn("next_page_url", F.when(F.col("status") != "failed", F.col("next_page_url")))
-        .drop("parsed")
+    )
+    good = F.col("status") != "failed"
+    return steps.select(
+        *responses.columns,
+        F.when(good, F.col("_parsed.events")).alias("events"),
+        F.when(good, F.col("_parsed.next_page_url")).alias("next_page_url"),
+        "status",
     )
 
 
 def explode_events(parsed: DataFrame) -> DataFrame:
     """One row per event with its page, chunk and position."""
     keys = [c for c in parsed.columns if c in ("site_key", "page_id", "chunk_no", "is_last")]
-    return parsed.select(*keys, F.posexplode("events").alias("pos", "event")).select(
+    # The outer form with a filter behind it: the inner form makes Spark test the array
+    # in a filter below, which would parse every response a second time.
+    rows = parsed.select(*keys, F.posexplode_outer("events").alias("pos", "event")).where(F.col("pos").isNotNull())
+    return rows.select(
         *keys, F.col("pos").cast("bigint").alias("pos"), *[F.col(f"event.{name}").alias(name) for name in EVENT_FIELDS]
     )
 

@@ -227,11 +227,14 @@ PLACEHOLDERS = [
 
 def placeholder_flags(texts: DataFrame) -> DataFrame:
     """Empty, very short or still-loading page texts."""
-    body = strip(F.coalesce("text", F.lit("")))
     flags = {"very short": F.length("_body") < 100}
-    flags |= {phrase: F.contains(F.lower("_body"), F.lit(phrase)) for phrase in PLACEHOLDERS}
+    flags |= {phrase: F.contains("_lower", F.lit(phrase)) for phrase in PLACEHOLDERS}
     warnings = F.when(F.col("_body") == "", F.array(F.lit("empty"))).otherwise(_flags(flags))
-    return texts.withColumn("_body", body).select("page_id", "site_key", warnings.alias("flags"))
+    return (
+        texts.withColumn("_body", strip(F.coalesce("text", F.lit(""))))
+        .withColumn("_lower", F.lower("_body"))
+        .select("page_id", "site_key", warnings.alias("flags"))
+    )
 
 
 EXTRACT_TASK = """\

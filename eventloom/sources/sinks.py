@@ -1,4 +1,9 @@
-"""Writes. Logs are append-only by day; stage tables replace a site at a time."""
+"""Writes. Logs are append-only by day; stage tables replace a site at a time.
+
+Every partitioned write is rebalanced on its partition column first: small
+partitions end up in few files, and a day or site that holds most of the rows is
+split over several tasks.
+"""
 
 from __future__ import annotations
 
@@ -10,13 +15,14 @@ from eventloom.functions.text import clip
 
 
 def append_log(rows: DataFrame, path: str, ts: str) -> None:
-    rows.withColumn("day", F.to_date(ts)).write.mode("append").partitionBy("day").parquet(path)
+    rows.withColumn("day", F.to_date(ts)).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def sink_stage(rows: DataFrame, path: str) -> None:
     """Replace the stored rows of the sites present in ``rows``; keep all others."""
     (
-        rows.write.mode("overwrite")
+        rows.hint("rebalance", "site_key")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("site_key")
         .parquet(path)
@@ -74,12 +80,12 @@ def sink_error_log(errors: DataFrame, path: str) -> None:
 
 
 def sink_ics(files: DataFrame, path: str) -> None:
-    """One text file set per calendar; each row of ``files`` is a full calendar document."""
-    # The line separator is empty because documents already end in CRLF.
+    """Calendar documents as text, one folder per calendar and part, so that each file is one document."""
     (
-        files.select("calendar", F.col("ics").alias("value"))
+        files.select("calendar", "part_no", F.rtrim(F.col("ics"), F.lit("\r\n")).alias("value"))
+        .hint("rebalance", "calendar")
         .write.mode("overwrite")
-        .partitionBy("calendar")
+        .partitionBy("calendar", "part_no")
         .option("lineSep", "\r\n")
         .text(path)
     )
