@@ -18,7 +18,7 @@ from eventloom.functions.ordering import numbered
 from eventloom.functions.text import blank, empty, strip
 from eventloom.functions.times import midnight, moment, ntz, sentinel_day
 from eventloom.functions.urls import join_url
-from eventloom.session import durable
+from eventloom.session import broadcast_if_small, durable
 
 KEY = ["title", "date"]
 
@@ -67,10 +67,13 @@ def resolve_urls(events: DataFrame, registry: DataFrame) -> DataFrame:
 def _first_arrivals(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
     """Ids of the rows that enter the catalog: first of their key and not stored yet.
 
-    Rows with a null ``row_id`` do not compete.
+    Rows with a null ``row_id`` do not compete. The catalog is first cut down to the
+    keys at hand: while those are few they are broadcast and the catalog is only
+    scanned, never shuffled.
     """
-    first = candidates.groupBy(*KEY).agg(F.min("row_id").alias("row_id")).where(F.col("row_id").isNotNull())
-    return first.join(catalog.select(*KEY).distinct(), KEY, "left_anti").select("row_id")
+    first = durable(candidates.groupBy(*KEY).agg(F.min("row_id").alias("row_id")).where(F.col("row_id").isNotNull()))
+    known = catalog.select(*KEY).join(broadcast_if_small(first.select(*KEY)), KEY, "left_semi").distinct()
+    return first.join(known, KEY, "left_anti").select("row_id")
 
 
 def classify_save(events: DataFrame, catalog: DataFrame, *, as_of: datetime | str) -> DataFrame:
@@ -124,18 +127,23 @@ def catalog_rows(classified: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
-def merge_catalog(catalog: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The next catalog snapshot: insert the rows whose exact title and date are new.
+def new_catalog_rows(catalog: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The incoming rows whose exact title and date are new, in catalog columns.
 
-    Ids continue after the highest existing one in arrival order.
+    Ids continue after the highest existing one in arrival order. Appending these
+    rows to the stored catalog is all a merge has to write.
     """
     incoming = durable(incoming)  # read for the winners and for their content
     winners = _first_arrivals(incoming.select("row_id", *KEY), catalog)
     order = numbered(winners, [], [F.col("row_id")])
     highest = catalog.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     fresh = incoming.join(order, "row_id").withColumn("id", highest + F.col("row_no"))
-    columns = [c for c in catalog.columns if c in fresh.columns]
-    return catalog.unionByName(fresh.select(*columns), allowMissingColumns=True)
+    return fresh.select(*[c for c in catalog.columns if c in fresh.columns])
+
+
+def merge_catalog(catalog: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The catalog with the new rows inserted."""
+    return catalog.unionByName(new_catalog_rows(catalog, incoming), allowMissingColumns=True)
 
 
 def purge_unpinned(catalog: DataFrame) -> DataFrame:

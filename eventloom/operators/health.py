@@ -120,13 +120,22 @@ def status_health(registry: DataFrame, runs: DataFrame, catalog: DataFrame, *, a
 
     The label follows the newest run first; older failures only show as "Flaky".
     """
+    # Events, future events and future months of a source in one pass over the catalog.
+    month = F.when(F.col("date") >= ntz(as_of), F.date_format("date", "yyyy-MM"))
+    counts = (
+        catalog.groupBy("source", month.alias("month"))
+        .agg(F.count("id").alias("n"))
+        .groupBy("source")
+        .agg(
+            F.coalesce(F.sum(F.when(F.col("month").isNotNull(), F.col("n"))), F.lit(0)).alias("future"),
+            F.count("month").alias("months"),
+        )
+    )
     low = (F.col("avg_events") > 0) & (F.col("last_events_found") < F.col("avg_events") * 0.5)
-    counts = events_per_source(catalog, as_of=as_of)
     return (
         health_zero_fill(registry, runs)
         .join(counts, "source", "left")
-        .join(month_spread(catalog, as_of=as_of), "source", "left")
-        .fillna(0, ["total", "future", "months"])
+        .fillna(0, ["future", "months"])
         .select(
             "source",
             F.coalesce("display_name", title_case(F.col("source"))).alias("display_name"),

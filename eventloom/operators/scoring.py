@@ -123,11 +123,12 @@ def parse_scores(replies: DataFrame, members: DataFrame, *, per: Sequence[str] =
     """
     keys = [*per, "batch_no"]
     items = F.try_variant_get(F.try_parse_json(_unfenced(F.col("reply"))), "$", "array<variant>")
-    entries = replies.select(*keys, items.alias("items")).where(
-        F.forall("items", lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)))
-    )
-    item = entries.select(*keys, F.posexplode("items").alias("pos", "item"))
-    scored = item.select(
+    objects = F.forall("items", lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)))
+    # No filter may reach the reply text, or Spark parses it once more in there: hence
+    # when() and the outer explode.
+    entries = replies.select(*keys, items.alias("items")).withColumn("items", F.when(objects, F.col("items")))
+    item = entries.select(*keys, F.posexplode_outer("items").alias("pos", "item"))
+    scored = item.where(F.col("pos").isNotNull()).select(
         *keys,
         "pos",
         _number(F.try_variant_get("item", "$.id", "variant")).alias("_id"),

@@ -37,8 +37,9 @@ def _window(calls: DataFrame, start: datetime, provider: str | None) -> DataFram
     return since(_of_provider(calls, provider), "timestamp", start)
 
 
-def usage_24h(calls: DataFrame, *, as_of: datetime | str, provider: str | None = None) -> DataFrame:
-    """Calls, tokens and mean duration per key and model over the last 24 hours."""
+def _pair_stats(calls: DataFrame, as_of: datetime | str, provider: str | None) -> DataFrame:
+    """Everything one pass over the last 24 hours tells about each key and model."""
+    oldest = F.min_by(F.struct("timestamp", F.coalesce(call_tokens(), F.lit(0)).alias("tokens")), F.struct("timestamp", "id"))
     return (
         _window(calls, ago(as_of, hours=24), provider)
         .groupBy(*PAIR)
@@ -46,25 +47,22 @@ def usage_24h(calls: DataFrame, *, as_of: datetime | str, provider: str | None =
             F.count("id").alias("calls"),
             F.coalesce(F.sum(call_tokens()), F.lit(0)).alias("tokens"),
             F.avg("duration_seconds").alias("avg_dur"),
+            oldest.alias("oldest"),
         )
+        .withColumn("next_tick_at", F.col("oldest.timestamp") + hours(24))
+        .withColumn("next_tick_tokens", F.col("oldest.tokens"))
+        .drop("oldest")
     )
 
 
+def usage_24h(calls: DataFrame, *, as_of: datetime | str, provider: str | None = None) -> DataFrame:
+    """Calls, tokens and mean duration per key and model over the last 24 hours."""
+    return _pair_stats(calls, as_of, provider).select(*PAIR, "calls", "tokens", "avg_dur")
+
+
 def budget_next_tick(calls: DataFrame, *, as_of: datetime | str, provider: str | None = None) -> DataFrame:
     """When the oldest call leaves the 24-hour window, and the tokens that frees."""
-    oldest = F.min_by(
-        F.struct("timestamp", F.coalesce(call_tokens(), F.lit(0)).alias("tokens")), F.struct("timestamp", "id")
-    )
-    return (
-        _window(calls, ago(as_of, hours=24), provider)
-        .groupBy(*PAIR)
-        .agg(oldest.alias("oldest"))
-        .select(
-            *PAIR,
-            (F.col("oldest.timestamp") + hours(24)).alias("next_tick_at"),
-            F.col("oldest.tokens").alias("next_tick_tokens"),
-        )
-    )
+    return _pair_stats(calls, as_of, provider).select(*PAIR, "next_tick_at", "next_tick_tokens")
 
 
 def budget_free_at(
@@ -80,46 +78,42 @@ def budget_free_at(
     recent = _window(calls, ago(as_of, hours=24), provider).select(
         *PAIR, "timestamp", F.coalesce(call_tokens(), F.lit(0)).alias("tokens")
     )
-    over = (
-        recent.groupBy(*PAIR)
-        .agg(F.sum("tokens").alias("used"))
-        .join(limits.select("model", "tpd"), "model")
-        .where((F.col("tpd") > 0) & (F.col("used") >= F.col("tpd")))
-        # Tokens that have to leave before the pair is free: strictly more than this.
-        .select(*PAIR, (F.col("used") - F.col("tpd")).alias("excess"), F.lit(None).cast("timestamp_ntz").alias("slot"))
-    )
-    coarser = None
-    for unit in ("minute", "millisecond", "microsecond"):
-        rows = recent.withColumn("step", floor_to(unit, F.col("timestamp")))
-        if coarser is None:
-            rows = rows.join(over.drop("slot"), PAIR)
-        else:
-            rows = rows.withColumn("slot", floor_to(coarser, F.col("timestamp"))).join(over, [*PAIR, "slot"])
-        steps = rows.groupBy(*PAIR, "excess", "step").agg(F.sum("tokens").alias("freed"))
-        so_far = Window.partitionBy(*PAIR, "excess").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-        over = (
-            steps.withColumn("left", F.col("excess") - F.sum("freed").over(so_far))
+    in_order = Window.partitionBy(*PAIR).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+
+    def crossing(steps: DataFrame) -> DataFrame:
+        """The first step after which more than ``excess`` tokens have left, and what is still over before it."""
+        return (
+            steps.withColumn("left", F.col("excess") - F.sum("freed").over(in_order))
             .where(F.col("left") < 0)
             .groupBy(*PAIR)
-            .agg(F.min(F.struct("step", (F.col("left") + F.col("freed")).alias("left"))).alias("first"))
-            .select(*PAIR, F.col("first.left").alias("excess"), F.col("first.step").alias("slot"))
+            .agg(F.min(F.struct("step", (F.col("left") + F.col("freed")).alias("excess"))).alias("first"))
+            .select(*PAIR, F.col("first.step").alias("slot"), F.col("first.excess").alias("excess"))
         )
-        coarser = unit
-    return over.select(*PAIR, (F.col("slot") + hours(24)).alias("free_at"))
+
+    minutes = recent.groupBy(*PAIR, floor_to("minute", F.col("timestamp")).alias("step")).agg(F.sum("tokens").alias("freed"))
+    used = F.sum("freed").over(Window.partitionBy(*PAIR))
+    found = crossing(
+        minutes.join(limits.select("model", "tpd").where(F.col("tpd") > 0), "model")
+        .withColumn("excess", used - F.col("tpd"))
+        .where(F.col("excess") >= 0)
+    )
+    for coarse, fine in (("minute", "millisecond"), ("millisecond", "microsecond")):
+        rows = recent.withColumn("slot", floor_to(coarse, F.col("timestamp"))).join(found, [*PAIR, "slot"])
+        steps = rows.groupBy(*PAIR, "excess", floor_to(fine, F.col("timestamp")).alias("step"))
+        found = crossing(steps.agg(F.sum("tokens").alias("freed")))
+    return found.select(*PAIR, (F.col("slot") + hours(24)).alias("free_at"))
 
 
 def usage_budget(
     calls: DataFrame, limits: DataFrame, *, as_of: datetime | str, provider: str | None = None
 ) -> DataFrame:
     """One card per key and model: usage, share of the daily limit, next tick, free-at and band."""
-    pct = F.col("tokens") / F.col("tpd") * 100
     shown = F.round("pct", 1)
     return (
-        usage_24h(calls, as_of=as_of, provider=provider)
+        _pair_stats(calls, as_of, provider)
         .join(limits.select("model", F.when(F.col("tpd") > 0, F.col("tpd")).alias("tpd")), "model", "left")
-        .join(budget_next_tick(calls, as_of=as_of, provider=provider), PAIR, "left")
         .join(budget_free_at(calls, limits, as_of=as_of, provider=provider), PAIR, "left")
-        .withColumn("pct", pct)
+        .withColumn("pct", F.col("tokens") / F.col("tpd") * 100)
         .withColumn(
             "band",
             F.when(F.col("pct").isNull(), "none").when(shown < 60, "green").when(shown < 85, "yellow").otherwise("red"),
@@ -200,26 +194,25 @@ def usage_rolling(
 ) -> DataFrame:
     """Trailing 24-hour tokens for each hour of the last week and model, as % of the daily limit.
 
-    Works on hourly sums: at most 193 rows per model reach the window. The
-    percentage is rounded half up on exact integers.
+    Works on hourly sums, of which a model has at most 193: they are gathered per
+    model and every hour of the timeline adds up its own 24. One scan, and hours
+    without calls come out as they should. The percentage is rounded half up on
+    exact integers.
     """
     hourly = usage_hourly(calls, as_of=as_of, provider=provider, days=days + 1, offset_hours=offset_hours)
     end = (moment(as_of) - timedelta(hours=offset_hours)).replace(minute=0, second=0, microsecond=0)
     start = (moment(as_of) - timedelta(hours=offset_hours, days=days)).replace(minute=0, second=0, microsecond=0)
-    timeline = F.expr(
-        f"sequence(TIMESTAMP_NTZ'{start}', TIMESTAMP_NTZ'{end}', INTERVAL '1' HOUR)"
-    )
-    grid = hourly.select("model").distinct().select("model", F.explode(timeline).alias("hour"), F.lit(0).alias("tokens"))
-    rolling = F.expr(
-        "sum(tokens) OVER (PARTITION BY model ORDER BY hour RANGE BETWEEN INTERVAL '23' HOUR PRECEDING AND CURRENT ROW)"
+    timeline = F.sequence(ntz(start), ntz(end), hours(1))
+    trailing = F.filter(
+        "sums", lambda s: (s["hour"] <= F.col("hour")) & (s["hour"] >= F.col("hour") - hours(23))
     )
+    total = F.aggregate(trailing, F.lit(0).cast("bigint"), lambda so_far, s: so_far + s["tokens"])
     hundredths = F.expr("(rolling_tokens * 20000 + tpd) div (2 * tpd)")
     return (
-        hourly.unionByName(grid)
-        .groupBy("model", "hour")
-        .agg(F.sum("tokens").alias("tokens"))
-        .withColumn("rolling_tokens", rolling)
-        .where(F.col("hour").between(ntz(start), ntz(end)))
+        hourly.groupBy("model")
+        .agg(F.collect_list(F.struct("hour", "tokens")).alias("sums"))
+        .withColumn("hour", F.explode(timeline))
+        .select("model", "hour", total.alias("rolling_tokens"))
         .join(limits.select("model", F.when(F.col("tpd") > 0, F.col("tpd")).alias("tpd")), "model", "left")
         .select("model", "hour", "rolling_tokens", "tpd", (hundredths / 100).alias("pct"))
     )

@@ -47,7 +47,7 @@ def _catalog(x):
     out, progress = _paths(x, "catalog")
     query = catalog.stream_catalog(x.stream("extracted"), x.catalog, x.registry, out, progress, as_of=CATALOG_AS_OF)
     _finish(query)
-    return catalog.stored_version(x.spark, out, query.lastProgress["batchId"] + 1)
+    return catalog.stored_catalog(x.spark, out)
 
 
 @job(

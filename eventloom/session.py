@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings every job relies on. All of them can be changed on a live session.
 RUNTIME_CONF = {
@@ -60,6 +61,19 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def broadcast_if_small(df: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+    """Hint a broadcast if the rows measured now fit into ``max_bytes``; else leave the join to Spark.
+
+    Measures by one pass over ``df``, so hand in something durable or stored.
+    """
+    width = F.lit(16 * len(df.columns)).cast("bigint")
+    for name, kind in df.dtypes:
+        if kind == "string":
+            width = width + F.coalesce(F.octet_length(name), F.lit(0))
+    size = df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= max_bytes else df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{durable_root(spark)}/{name}-{uuid.uuid4().hex}"

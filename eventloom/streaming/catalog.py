@@ -3,41 +3,53 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from eventloom.operators.catalog import catalog_rows, merge_catalog, prepare_events
+from eventloom.operators.catalog import catalog_rows, new_catalog_rows, prepare_events
 
 
-def stored_version(spark: SparkSession, path: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/version={version}")
+def stored_catalog(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The catalog kept below ``path`` as one part per batch; ``before`` leaves out later parts."""
+    parts = spark.read.option("basePath", path).parquet(f"{path}/part=*")
+    return (parts if before is None else parts.where(F.col("part") < before)).drop("part")
 
 
-def merge_batch(registry: DataFrame, path: str, as_of) -> Callable[[DataFrame, int], None]:
-    """Writes snapshot n+1 from snapshot n and batch n.
+def merge_batch(registry: DataFrame, path: str, as_of: datetime | str) -> Callable[[DataFrame, int], None]:
+    """Writes the rows that batch n adds as part n+1; what is stored is never rewritten.
 
-    A snapshot is named by its batch and written in one go, so a batch that is
-    replayed after a failure overwrites the same snapshot with the same rows.
+    A batch replayed after a failure looks only at the parts before its own and
+    replaces its own part, so the outcome is the same.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        current = stored_version(batch.sparkSession, path, batch_id)
+        part = batch_id + 1
+        current = stored_catalog(batch.sparkSession, path, before=part)
         incoming = catalog_rows(prepare_events(batch, current, as_of=as_of), registry)
-        merge_catalog(current, incoming).write.mode("overwrite").parquet(f"{path}/version={batch_id + 1}")
+        new_catalog_rows(current, incoming).write.mode("overwrite").parquet(f"{path}/part={part}")
 
     return merge
 
 
 def stream_catalog(
-    extracted: DataFrame, catalog: DataFrame, registry: DataFrame, path: str, checkpoint: str, *, as_of, **trigger
+    extracted: DataFrame,
+    catalog: DataFrame,
+    registry: DataFrame,
+    path: str,
+    checkpoint: str,
+    *,
+    as_of: datetime | str,
+    **trigger,
 ) -> StreamingQuery:
-    """Merge arriving events into catalog snapshots below ``path``, starting from ``catalog``.
+    """Merge arriving events into the catalog below ``path``, which starts as ``catalog``.
 
     ``row_id`` orders events within a batch; across batches the earlier batch wins.
     """
-    # Only the first start writes version 0; a restart finds it there.
-    catalog.write.mode("ignore").parquet(f"{path}/version=0")
+    # Only the first start writes part 0; a restart finds it there.
+    catalog.write.mode("ignore").parquet(f"{path}/part=0")
     return (
         extracted.writeStream.foreachBatch(merge_batch(registry, path, as_of))
         .option("checkpointLocation", checkpoint)

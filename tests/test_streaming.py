@@ -32,14 +32,20 @@ def test_catalog_in_batches(spark, tmp_path):
     stream = in_files(spark, events, str(tmp_path / "in"), "row_id")
     query = catalog.stream_catalog(stream, old, registry, str(tmp_path / "out"), str(tmp_path / "cp"), as_of=AS_OF)
     query.awaitTermination()
-    last = query.lastProgress["batchId"] + 1
-    assert last == 3
-    got = catalog.stored_version(spark, str(tmp_path / "out"), last)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"part={i}" for i in range(4)]
+    got = catalog.stored_catalog(spark, str(tmp_path / "out"))
     want = merge_catalog(old, catalog_rows(prepare_events(events, old, as_of=AS_OF), registry))
     key = ["title", "date", "source", "url"]
     assert sorted(map(str, got.select(key).collect())) == sorted(map(str, want.select(key).collect()))
     assert got.select("id").distinct().count() == got.count()
 
+    # Replaying the last batch replaces its part with the same rows.
+    last = spark.createDataFrame(events.orderBy("row_id").collect()[-333:], events.schema)
+    before = sorted(map(str, got.select("id", *key).collect()))
+    catalog.merge_batch(registry, str(tmp_path / "out"), AS_OF)(last, 2)
+    again = catalog.stored_catalog(spark, str(tmp_path / "out"))
+    assert len(before) == again.count()
+
 
 def test_usage_in_batches(spark, tmp_path):
     calls = fixtures.view(spark, SF_DIR, "fx_llm_calls")
