@@ -91,6 +91,11 @@ def _purge(x):
     return catalog.purge_unpinned(x.catalog)
 
 
+_COUNTERS = (
+    "events_found events_added skipped_past skipped_duplicate skipped_no_title missing_url missing_time missing_venue "
+    "pages_scraped text_chars"
+).split()
+_ZEROS = ", ".join(f"coalesce({c}, 0) AS {c}" for c in _COUNTERS)
 _SUMMARY = f"""{_CLASSED},
 pages_read AS (SELECT site_key AS source, count(*) AS pages_scraped, CAST(sum(length(text)) AS BIGINT) AS text_chars
                FROM fx_texts GROUP BY 1),
@@ -104,7 +109,11 @@ counted AS (SELECT source, count(*) AS events_found, count(CASE WHEN outcome = '
     count(CASE WHEN title <> '' AND trim(coalesce(url, '')) = '' THEN 1 END) AS missing_url,
     count(CASE WHEN title <> '' AND coalesce(time, '') = '' THEN 1 END) AS missing_time,
     count(CASE WHEN title <> '' AND trim(coalesce(venue, '')) = '' THEN 1 END) AS missing_venue
-  FROM classed GROUP BY 1)"""
+  FROM classed GROUP BY 1),
+-- A source whose pages held no event at all has a run as well.
+summary AS (SELECT coalesce(c.source, p.source) AS source, {_ZEROS},
+              coalesce(month_distribution, '{{}}') AS month_distribution, {_TODAY} AS run_timestamp
+            FROM counted c FULL JOIN pages_read p ON c.source = p.source LEFT JOIN months m ON c.source = m.source)"""
 
 
 @job(
@@ -112,9 +121,7 @@ counted AS (SELECT source, count(*) AS events_found, count(CASE WHEN outcome = '
     "fx_extracted",
     "fx_catalog",
     "fx_texts",
-    sql=f"""WITH {_SUMMARY.strip()} SELECT c.*, pages_scraped, text_chars, coalesce(month_distribution, '{{}}') AS month_distribution,
-               {_TODAY} AS run_timestamp
-            FROM counted c LEFT JOIN pages_read p ON c.source = p.source LEFT JOIN months m ON c.source = m.source""",
+    sql=f"WITH {_SUMMARY.strip()} SELECT * FROM summary",
 )
 def run_summary(x):
     return catalog.run_summary(classify_save(x), x.texts, as_of=AS_OF)
@@ -126,7 +133,7 @@ def run_summary(x):
     "fx_catalog",
     "fx_texts",
     sql=f"""WITH {_SUMMARY.strip()} SELECT source, {_TODAY} AS run_timestamp, events_found, events_added, true AS success,
-              CAST(NULL AS VARCHAR) AS error_message, CAST(NULL AS DOUBLE) AS duration_seconds FROM counted""",
+              CAST(NULL AS VARCHAR) AS error_message, CAST(NULL AS DOUBLE) AS duration_seconds FROM summary""",
 )
 def _run_log(x):
     path = scratch_path(x.spark, "source_runs")
