@@ -26,8 +26,8 @@ _EXPORT_LINKS = [
 def read_html(pages: DataFrame) -> DataFrame:
     """Parse ``html`` in Arrow batches and replace it by ``raw_text``, ``tags`` and ``root``.
 
-    The page itself does not travel back to the JVM. Page sizes vary widely: lower
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` for very large pages; rows are
+    The page itself does not travel back to the JVM. Page sizes vary widely; Spark
+    closes a batch at 64 MB (``spark.sql.execution.arrow.maxBytesPerBatch``). Rows are
     independent, so any partitioning will do.
     """
     schema = T.StructType(

@@ -167,17 +167,24 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-@job(
-    "build_prompts",
-    "fx_texts",
-    "fx_registry",
-    sql=f"""WITH {_CHUNKS.strip()}
-    SELECT page_id, site_key, month, year, chunk_no, is_last, text, c.url,
+_PROMPTS = f"""{_CHUNKS},
+prompts AS (SELECT page_id, site_key, month, year, chunk_no, is_last, text, c.url,
       concat({_quoted(pagetext.EXTRACT_TASK)}, chr(10),
         CASE WHEN is_last THEN {_quoted(pagetext.LAST_CHUNK_TASK)} ELSE {_quoted(pagetext.INNER_CHUNK_TASK)} END, chr(10),
         {_quoted(pagetext.ANSWER_TASK)}, chr(10), 'Site: ', coalesce(display_name, 'unknown'), chr(10), 'Page: ', c.url, chr(10), chr(10),
         'PAGE TEXT:', chr(10), text) AS prompt
-    FROM (SELECT *, concat('https://ex.org/p/', page_id) AS url FROM chunks) c LEFT JOIN fx_registry r USING (site_key)""",
+    FROM (SELECT *, concat('https://ex.org/p/', page_id) AS url FROM chunks) c LEFT JOIN fx_registry r USING (site_key)),
+-- The offline completer reports tokens by length and one event per line with an ISO day.
+told AS (SELECT *, CAST(floor(length(prompt) / 2.2) AS BIGINT) AS prompt_tokens,
+           len(list_filter(string_split(text, chr(10)), lambda t: regexp_matches(t, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'))) AS n_events
+         FROM prompts)"""
+
+
+@job(
+    "build_prompts",
+    "fx_texts",
+    "fx_registry",
+    sql=f"WITH {_PROMPTS.strip()} SELECT * FROM prompts",
 )
 def prompts(x):
     url = F.concat(F.lit("https://ex.org/p/"), F.col("page_id"))
@@ -188,19 +195,34 @@ def answers(x):
     return inference.infer_chunks(prompts(x), inference.offline_completer)
 
 
-@job("infer_chunks")
+@job(
+    "infer_chunks",
+    "fx_texts",
+    "fx_registry",
+    sql=f"""WITH {_PROMPTS.strip()} SELECT site_key, page_id, chunk_no, is_last, prompt_tokens, CAST(n_events AS INT) AS n_events,
+              CAST(NULL AS VARCHAR) AS error FROM told""",
+)
 def _infer(x):
-    return answers(x).drop("duration_seconds")
+    parsed = extraction.parse_responses(answers(x))
+    return parsed.select(
+        "site_key", "page_id", "chunk_no", "is_last", "prompt_tokens", F.size("events").alias("n_events"), "error"
+    )
 
 
-@job("sink_call_log")
+@job(
+    "sink_call_log",
+    "fx_texts",
+    "fx_registry",
+    sql=f"""WITH {_PROMPTS.strip()} SELECT TIMESTAMP '{USAGE_AS_OF}' AS timestamp, 'offline' AS provider, 'offline' AS model,
+              'scraping' AS call_type, prompt_tokens, 'none' AS api_key_label FROM told""",
+)
 def _call_log(x):
     path = scratch_path(x.spark, "llm_calls")
     log = inference.call_log(
         answers(x), as_of=USAGE_AS_OF, provider="offline", model="offline", call_type="scraping", api_key_label="none"
     )
     sinks.sink_call_log(log, path)
-    return tables.scan_table(x.spark, "llm_calls", path).drop("id", "day", "duration_seconds")
+    return tables.scan_table(x.spark, "llm_calls", path).drop("id", "day", "duration_seconds", "completion_tokens")
 
 
 @job("sink_stage", "fx_texts", "fx_registry", sql=f"WITH {_TRIM.strip()} SELECT page_id, site_key, text FROM trimmed")
