@@ -1 +1,9 @@
 """Event-intelligence jobs expressed as PySpark DataFrame transformations."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few functions that run inside Python workers travel with the job, so executors
+# need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

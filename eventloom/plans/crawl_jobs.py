@@ -67,8 +67,8 @@ def _seed(x):
             F.max("event_id").alias("tpd"),
         )
     )
-    known = x.spark.createDataFrame([("view", 1, 1, 1, 1)], "model STRING, rpm BIGINT, rpd BIGINT, tpm BIGINT, tpd BIGINT")
-    return tables.seed_limits(edited, tables.default_limits(x.spark).unionByName(known))
+    seed = tables.limits_table(x.spark, [*tables.DEFAULT_LIMITS, ("view", 1, 1, 1, 1)])
+    return tables.seed_limits(edited, seed)
 
 
 @job(

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.sources.tables import limits_table
+
 USAGE_AS_OF = "2024-01-31 00:00:00"
 CATALOG_AS_OF = "2024-02-15 00:00:00"
 
@@ -291,7 +293,7 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def limits(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LIMIT_ROWS, "model STRING, rpm BIGINT, rpd BIGINT, tpm BIGINT, tpd BIGINT")
+    return limits_table(spark, LIMIT_ROWS)
 
 
 LIMITS_SQL = """fx_limits AS (SELECT model, CAST(rpm AS BIGINT) AS rpm, CAST(rpd AS BIGINT) AS rpd, CAST(tpm AS BIGINT) AS tpm,

@@ -88,8 +88,15 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REGISTRY).json(path)
 
 
+def limits_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """Limit rows as literal values, whose size the optimizer knows, so it can broadcast them."""
+    literals = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in row) + ")" for row in rows)
+    numbers = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("rpm", "rpd", "tpm", "tpd"))
+    return spark.sql(f"SELECT model, {numbers} FROM VALUES {literals} AS t(model, rpm, rpd, tpm, tpd)")
+
+
 def default_limits(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DEFAULT_LIMITS, "model STRING, rpm BIGINT, rpd BIGINT, tpm BIGINT, tpd BIGINT")
+    return limits_table(spark, DEFAULT_LIMITS)
 
 
 def seed_limits(existing: DataFrame, seed: DataFrame) -> DataFrame:
