@@ -75,33 +75,35 @@ def budget_free_at(
     most 1441, 60,000 and 1,000 of these, so no window ever holds a pair's calls
     and every aggregation combines on the map side.
     """
+    # Key labels may be missing. As fields of one struct two missing labels are equal in a join.
     recent = _window(calls, ago(as_of, hours=24), provider).select(
-        *PAIR, "timestamp", F.coalesce(call_tokens(), F.lit(0)).alias("tokens")
+        F.struct(*PAIR).alias("pair"), "timestamp", F.coalesce(call_tokens(), F.lit(0)).alias("tokens")
     )
-    in_order = Window.partitionBy(*PAIR).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    in_order = Window.partitionBy("pair").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
 
     def crossing(steps: DataFrame) -> DataFrame:
         """The first step after which more than ``excess`` tokens have left, and what is still over before it."""
         return (
             steps.withColumn("left", F.col("excess") - F.sum("freed").over(in_order))
             .where(F.col("left") < 0)
-            .groupBy(*PAIR)
+            .groupBy("pair")
             .agg(F.min(F.struct("step", (F.col("left") + F.col("freed")).alias("excess"))).alias("first"))
-            .select(*PAIR, F.col("first.step").alias("slot"), F.col("first.excess").alias("excess"))
+            .select("pair", F.col("first.step").alias("slot"), F.col("first.excess").alias("excess"))
         )
 
-    minutes = recent.groupBy(*PAIR, floor_to("minute", F.col("timestamp")).alias("step")).agg(F.sum("tokens").alias("freed"))
-    used = F.sum("freed").over(Window.partitionBy(*PAIR))
+    minutes = recent.groupBy("pair", floor_to("minute", F.col("timestamp")).alias("step")).agg(F.sum("tokens").alias("freed"))
+    used = F.sum("freed").over(Window.partitionBy("pair"))
     found = crossing(
-        minutes.join(limits.select("model", "tpd").where(F.col("tpd") > 0), "model")
+        minutes.withColumn("model", F.col("pair.model"))
+        .join(limits.select("model", "tpd").where(F.col("tpd") > 0), "model")
         .withColumn("excess", used - F.col("tpd"))
         .where(F.col("excess") >= 0)
     )
     for coarse, fine in (("minute", "millisecond"), ("millisecond", "microsecond")):
-        rows = recent.withColumn("slot", floor_to(coarse, F.col("timestamp"))).join(found, [*PAIR, "slot"])
-        steps = rows.groupBy(*PAIR, "excess", floor_to(fine, F.col("timestamp")).alias("step"))
+        rows = recent.withColumn("slot", floor_to(coarse, F.col("timestamp"))).join(found, ["pair", "slot"])
+        steps = rows.groupBy("pair", "excess", floor_to(fine, F.col("timestamp")).alias("step"))
         found = crossing(steps.agg(F.sum("tokens").alias("freed")))
-    return found.select(*PAIR, (F.col("slot") + hours(24)).alias("free_at"))
+    return found.select("pair.*", (F.col("slot") + hours(24)).alias("free_at"))
 
 
 def usage_budget(
@@ -109,10 +111,12 @@ def usage_budget(
 ) -> DataFrame:
     """One card per key and model: usage, share of the daily limit, next tick, free-at and band."""
     shown = F.round("pct", 1)
+    free = budget_free_at(calls, limits, as_of=as_of, provider=provider).select(F.struct(*PAIR).alias("pair"), "free_at")
     return (
         _pair_stats(calls, as_of, provider)
+        .withColumn("pair", F.struct(*PAIR))
         .join(limits.select("model", F.when(F.col("tpd") > 0, F.col("tpd")).alias("tpd")), "model", "left")
-        .join(budget_free_at(calls, limits, as_of=as_of, provider=provider), PAIR, "left")
+        .join(free, "pair", "left")
         .withColumn("pct", F.col("tokens") / F.col("tpd") * 100)
         .withColumn(
             "band",

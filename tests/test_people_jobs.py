@@ -41,12 +41,12 @@ def test_free_at_against_a_plain_loop(spark):
     for i in range(600):
         # Bursts: many calls in one minute, several at the very same moment.
         at = as_of - timedelta(hours=rng.choice([1, 2, 20]), microseconds=rng.choice([0, 1, 999, 10**6, 61 * 10**6]))
-        rows.append((i, at, "p", rng.choice("ab"), 1.0, f"k{rng.randrange(2)}", rng.randrange(50), rng.choice([None, 3])))
+        rows.append((i, at, "p", rng.choice("ab"), 1.0, rng.choice(["k0", "k1", None]), rng.randrange(50), rng.choice([None, 3])))
     calls = spark.createDataFrame(rows, "id BIGINT, timestamp TIMESTAMP_NTZ, provider STRING, model STRING, duration_seconds DOUBLE, api_key_label STRING, prompt_tokens BIGINT, completion_tokens BIGINT")
     limit = {"a": 400, "b": 10**6}
     table = spark.createDataFrame(list(limit.items()), "model STRING, tpd BIGINT")
     want = {}
-    for key in ("k0", "k1"):
+    for key in ("k0", "k1", None):
         for model in "ab":
             mine = sorted((r[1], (r[6] + r[7]) if r[7] is not None else 0) for r in rows if r[5] == key and r[3] == model)
             left = sum(t for _, t in mine)
@@ -57,7 +57,9 @@ def test_free_at_against_a_plain_loop(spark):
                         want[key, model] = at + timedelta(hours=24)
                         break
     got = {(r.api_key_label, r.model): r.free_at for r in usage.budget_free_at(calls, table, as_of=as_of).collect()}
-    assert got == want and want
+    assert got == want and (None, "a") in want
+    cards = usage.usage_budget(calls, table, as_of=as_of, provider="p").where("free_at IS NOT NULL").collect()
+    assert {(r.api_key_label, r.model): r.free_at for r in cards} == want
 
 
 def feedback(spark, n):
