@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventloom.llm import neardup
+from eventloom.llm import neardup, repeats, rules, secretscan
 from eventloom.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +28,123 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op10_minhash_neardup")
+#: Words of a text, in DuckDB.
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP2_SQL = r"""
+WITH rules(kind, kind_no, pattern, grp, least) AS (VALUES
+    ('assign', 0, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 12),
+    ('access', 1, 'AKIA[A-Z0-9]+', 0, 18),
+    ('hex', 2, '[0-9a-f]+', 0, 16),
+    ('private_key', 3, '-----BEGIN [A-Z ]*PRIVATE KEY-----', 0, 1),
+    ('web_token', 4, 'eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}', 0, 1)),
+texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+hits AS (SELECT r, kind, kind_no, grp, least, text, pattern FROM texts, rules WHERE regexp_matches(text, pattern)),
+parts AS (
+    SELECT r, kind, kind_no, least, unnest(regexp_split_to_array(text, pattern)[:-2]) AS gap,
+        unnest(regexp_extract_all(text, pattern)) AS found,
+        unnest(CASE WHEN grp = 2 THEN regexp_extract_all(text, pattern, 2) ELSE regexp_extract_all(text, pattern) END) AS secret,
+        generate_subscripts(regexp_extract_all(text, pattern), 1) AS no
+    FROM hits),
+placed AS (
+    SELECT r, kind, kind_no, secret, least, length(found) AS size,
+        sum(length(gap) + length(found)) OVER (PARTITION BY r, kind_no ORDER BY no) AS stop
+    FROM parts),
+spans AS (SELECT r, kind, kind_no, stop - size AS start, stop FROM placed WHERE length(secret) >= least),
+digest AS (
+    SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+        count(*) FILTER (kind = 'hex') AS n_hex, count(*) AS n_spans,
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no) FILTER (kind_no < 3) AS base,
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no) AS spans
+    FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_spans, 0) AS n_spans, sha256(text) AS blob
+FROM texts LEFT JOIN digest USING (r)
+"""
+
+
+@query("op2_secret_scans", OP2_SQL)
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secretscan.report(docs, secretscan.advance(docs).findings)
+
+
+OP3_SQL = rf"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {WORDS} AS words FROM documents),
+windows AS (
+    SELECT r, pos, array_to_string(words[pos : pos + 4], ' ') AS w
+    FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS pos FROM texts WHERE len(words) >= 5)),
+twice AS (SELECT r, pos FROM windows QUALIFY count(*) OVER (PARTITION BY r, w) > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(pos, pos + 5)) AS p FROM twice) GROUP BY r),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM texts),
+dup AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+measured AS (
+    SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
+        coalesce(n_lines, 0) AS n_lines, coalesce(covered.n, 0) AS n_repeat_words,
+        len(list_filter(words, lambda w: regexp_matches(w, '^\p{{Lu}}{{2,}}([^\p{{Lu}}\p{{Ll}}]|$)'))) AS n_shouted
+    FROM texts LEFT JOIN covered USING (r) LEFT JOIN dup USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > 4 * n_words OR word_chars < 2 * n_words
+        OR word_chars > 15 * n_words OR (n_dup_lines > 3 AND 2 * n_dup_lines > n_lines) OR (n_words >= 10 AND 2 * n_shouted > n_words)) AS kept
+FROM measured
+"""
+
+
+@query("op3_quality_rules", OP3_SQL)
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = rules.evaluate(table(spark, sf_dir, "documents"))
+    base, kept = rules.fails(rules.POLICIES["base"]), ~rules.fails(rules.POLICIES["1"])
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return ledger.select(*columns, base.alias("base_failed"), kept.alias("kept"))
+
+
+OP6_SQL = rf"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS words FROM documents),
+windows AS (
+    SELECT r, pos, array_to_string(words[pos : pos + 34], ' ') AS w
+    FROM (SELECT r, words, unnest(range(1, len(words) - 33)) AS pos FROM texts WHERE len(words) >= 35)),
+twice AS (SELECT r, pos FROM windows QUALIFY count(*) OVER (PARTITION BY w) > 1),
+gone AS (SELECT r, list(DISTINCT p) AS ps FROM (SELECT r, unnest(range(pos, pos + 35)) AS p FROM twice) GROUP BY r),
+kept AS (
+    SELECT doc_id, words, coalesce(ps, []) AS ps,
+        coalesce((SELECT string_agg(w, ' ' ORDER BY i) FROM (SELECT unnest(words) AS w, generate_subscripts(words, 1) AS i)
+            WHERE ps IS NULL OR NOT list_contains(ps, i)), '') AS text
+    FROM texts LEFT JOIN gone USING (r))
+SELECT doc_id, len(words) AS n_words, len(ps) AS n_removed, sha256(text) AS kept_sha256 FROM kept
+"""
+
+
+@query("op6_substring_dedup", OP6_SQL)
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.without_repeats(table(spark, sf_dir, "documents"), length=35)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP10_SQL = rf"""
+WITH RECURSIVE texts AS (
+    SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+    FROM documents),
+shingles AS (
+    SELECT DISTINCT r, array_to_string(words[pos : pos + 3], ' ') AS s
+    FROM (SELECT r, words, unnest(range(1, greatest(len(words) - 2, 2))) AS pos FROM texts WHERE len(words) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r GROUP BY ALL),
+links AS (
+    SELECT a, b FROM common JOIN sizes x ON a = x.r JOIN sizes y ON b = y.r
+    WHERE 100 * common.n >= 80 * (x.n + y.n - common.n)),
+reach(r, root) AS (
+    SELECT r, r FROM texts
+    UNION
+    SELECT b, root FROM reach JOIN links ON reach.r = a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM texts LEFT JOIN sizes USING (r)
+JOIN (SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN texts ON root = texts.r GROUP BY reach.r) USING (r)
+"""
+
+
+@query("op10_minhash_neardup", OP10_SQL)
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
