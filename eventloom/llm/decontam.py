@@ -8,12 +8,13 @@ laid over the document's tokens, and the overlap is verified with substitutions.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.session import broadcast_if_small, durable
+from eventloom.session import durable
 
 #: Selected positions of the fixed masks, six in a span of nine and of eleven.
 MASKS = ((0, 1, 3, 5, 6, 8), (0, 2, 3, 7, 9, 10))
@@ -23,6 +24,8 @@ LEAST_TOKENS = 5
 STRETCH = 13
 #: ... has at least this percentage of equal tokens.
 EQUAL_PERCENT = 80
+#: Seeds of the benchmark that are broadcast at once, some 64 MB; more take another pass over the documents.
+SEEDS_PER_BLOCK = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -77,15 +80,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, perc
     items = durable(benchmark.select("item_id", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS).distinct())
     lengths = [r[0] for r in items.select(F.size("tokens").alias("n")).where(f"n < {min(_span(m) for m in MASKS)}").distinct().collect()]
     masks = _masks_for(lengths)
-    seeds = _positions(items, masks, "item_id", "tokens").select("seed", "item_id", F.col("place").alias("item_at"), "mask", F.size("tokens").alias("length"))
-    seeds = durable(seeds)
+    seeds = durable(_positions(items, masks).select("seed", "item_id", F.col("place").alias("item_at"), "mask", F.size("tokens").alias("length")))
+    blocks = max(1, math.ceil(seeds.count() / SEEDS_PER_BLOCK))
 
     texts = docs.select("doc_id", tokens(F.col("text")).alias("tokens"))
     spread = texts.select("doc_id", "tokens", F.posexplode(_seeds(masks)).alias("index", "seed"))
-    hits = spread.join(broadcast_if_small(seeds), "seed")
     begin = _place(masks, F.col("mask"), F.col("index")) - F.col("item_at")
-    hits = hits.select("doc_id", "item_id", begin.alias("begin"), F.expr("transform(sequence(0, length - 1), i -> i)").alias("at"), "tokens")
-    laid = hits.select("doc_id", "item_id", F.expr("transform(at, i -> get(tokens, begin + i))").alias("laid")).distinct()
+    laid = None
+    for block in range(blocks):
+        part = F.broadcast(seeds.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block))
+        hits = spread.join(part, "seed").select("doc_id", "item_id", "length", begin.alias("begin"), "tokens")
+        hits = hits.select("doc_id", "item_id", F.expr("transform(sequence(0, length - 1), i -> get(tokens, begin + i))").alias("laid"))
+        laid = hits if laid is None else laid.union(hits)
+    laid = laid.distinct()
     equal = laid.join(items.select("item_id", "tokens"), laid["item_id"].eqNullSafe(items["item_id"])).select(
         laid["doc_id"], laid["item_id"], F.expr("transform(tokens, (t, i) -> IF(t <=> laid[i], 1, 0))").alias("equal")
     )
@@ -98,9 +105,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, perc
     )
 
 
-def _positions(rows: DataFrame, masks: Sequence[Sequence[int]], *columns: str) -> DataFrame:
-    """Every seed of ``rows`` with its mask and place."""
-    spread = rows.select(*columns, F.posexplode(_seeds(masks)).alias("index", "seed"))
+def _positions(items: DataFrame, masks: Sequence[Sequence[int]]) -> DataFrame:
+    """Every seed of the items with its mask and place."""
+    spread = items.select("item_id", "tokens", F.posexplode(_seeds(masks)).alias("index", "seed"))
     ends, total = [], F.lit(0)
     for m in masks:
         total = total + F.greatest(F.size("tokens") - F.lit(_span(m) - 1), F.lit(0))

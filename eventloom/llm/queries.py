@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import neardup, repeats, rules, secretscan
+from eventloom.llm import decontam, neardup, repeats, rules, secretscan
 from eventloom.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,6 +122,33 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+OP7_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS words FROM documents),
+items AS (
+    SELECT item_id, words, len(words) AS n, least(len(words), 13) AS span
+    FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS words FROM benchmark) WHERE len(words) >= 5),
+masks(no, picks) AS (
+    SELECT * FROM (VALUES (0, [0, 1, 3, 5, 6, 8]), (1, [0, 2, 3, 7, 9, 10])) UNION
+    SELECT n, range(n) FROM items WHERE n < 9),
+doc_words AS (SELECT doc_id, words, unnest(range(len(words))) AS pos FROM docs),
+item_words AS (SELECT item_id, words, unnest(range(len(words))) AS pos FROM items),
+doc_seeds AS (SELECT DISTINCT no, doc_id, pos, array_to_string([words[pos + k + 1] FOR k IN picks], ' ') AS seed FROM doc_words, masks WHERE pos + picks[-1] < len(words)),
+item_seeds AS (SELECT DISTINCT no, item_id, pos, array_to_string([words[pos + k + 1] FOR k IN picks], ' ') AS seed FROM item_words, masks WHERE pos + picks[-1] < len(words)),
+hits AS (SELECT DISTINCT doc_id, item_id, d.pos - i.pos AS begin_at FROM doc_seeds d JOIN item_seeds i USING (no, seed)),
+equal AS (
+    SELECT doc_id, item_id, begin_at, n, span, [CASE WHEN begin_at + k >= 0 AND docs.words[begin_at + k + 1] = items.words[k + 1] THEN 1 ELSE 0 END FOR k IN range(n)] AS e
+    FROM hits JOIN docs USING (doc_id) JOIN items USING (item_id))
+SELECT doc_id, item_id, max(n) AS n_tokens, max(list_sum(e))::BIGINT AS n_equal
+FROM equal WHERE list_max([list_sum(e[s + 1 : s + span]) FOR s IN range(n - span + 1)]) * 100 >= span * 80
+GROUP BY doc_id, item_id
+"""
+
+
+@query("op7_benchmark_decontamination", OP7_SQL)
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP10_SQL = rf"""
 WITH RECURSIVE texts AS (
     SELECT row_number() OVER () AS r, doc_id,
