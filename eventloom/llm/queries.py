@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontam, neardup, repeats, rules, secretscan
-from eventloom.session import tune
+from eventloom.llm import decontam, mixing, neardup, repeats, rules, secretscan, tokencounts, urlfilter
+from eventloom.session import scratch_path, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -100,6 +100,11 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.select(*columns, base.alias("base_failed"), kept.alias("kept"))
 
 
+@query("op4_source_mixing")
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents")).taken()
+
+
 OP6_SQL = rf"""
 WITH texts AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS words FROM documents),
 windows AS (
@@ -149,6 +154,43 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op8_token_counts")
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rollup = tokencounts.Rollup(spark, scratch_path(spark, "token-rollup"))
+    docs = table(spark, sf_dir, "documents")
+    for version in tokencounts.VERSIONS:
+        rollup.commit(f"insert-{version}", tokencounts.changes(inserted=tokencounts.counted(docs, version)))
+    return rollup.totals()
+
+
+OP9_SQL = r"""
+WITH parts AS (
+    SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS at_ FROM pages),
+urls AS (
+    SELECT page_id, CASE WHEN at_ > 0 THEN substr(url, at_ + 3) ELSE '' END AS tail FROM parts),
+split AS (
+    SELECT page_id, translate(regexp_extract(tail, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path, regexp_replace(tail, '^[^/?#]*', '') AS rest FROM urls),
+rules(rule, verdict, h, p) AS (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'),
+    ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
+listed AS (
+    SELECT page_id, host, path, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
+    FROM split JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL),
+others(name, pattern) AS (VALUES ('pills', '(?i)(^|[^a-z0-9])cheap-pills([^a-z0-9]|$)'), ('casino', '(?i)^([^/?#]*[^a-z0-9/?#])?casino([^a-z0-9]|$)'),
+    ('adult', '(?i)^([^/?#]*[^a-z0-9/?#])?(xxx|porn)([^a-z0-9]|$)'), ('login', '(?i)^[^/?#]*/([^?#]*/)?login([/?#.]|$)')),
+own AS (SELECT page_id, host, rest, min(name) AS name FROM split JOIN others ON regexp_matches(host || rest, pattern) GROUP BY ALL)
+SELECT s.page_id, s.host, s.path, l.rule, coalesce(l.verdict, CASE WHEN name IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+    coalesce(l.rule, name) AS decided_by
+FROM split s LEFT JOIN (SELECT DISTINCT * FROM listed) l USING (page_id, host, path) LEFT JOIN own o USING (page_id, host, rest)
+"""
+
+
+@query("op9_url_filters", OP9_SQL)
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules_of = urlfilter.rule_table(spark, (*urlfilter.SITE_RULES, *urlfilter.PATTERN_RULES))
+    return urlfilter.judge(table(spark, sf_dir, "pages"), rules_of)
+
+
 OP10_SQL = rf"""
 WITH RECURSIVE texts AS (
     SELECT row_number() OVER () AS r, doc_id,
