@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontam, mixing, neardup, repeats, rules, secretscan, tokencounts, urlfilter
+from eventloom.llm import decontam, langmix, mixing, neardup, quality, repeats, rules, secretscan, tokencounts, urlfilter
 from eventloom.session import scratch_path, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def query(name: str, sql: str | None = None):
 #: Words of a text, in DuckDB.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+@query("op1_language_mixture")
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langmix.predict(docs, langmix.train(docs.where(~langmix.held_out(F.col("doc_id")))))
+
+
 OP2_SQL = r"""
 WITH rules(kind, kind_no, pattern, grp, least) AS (VALUES
     ('assign', 0, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 12),
@@ -105,6 +111,12 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).taken()
 
 
+@query("op5_quality_classifier")
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.predict(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 OP6_SQL = rf"""
 WITH texts AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS words FROM documents),
 windows AS (
