@@ -1,4 +1,8 @@
-"""A training corpus made from ``documents``, stage by stage."""
+"""A training corpus made from ``documents``, stage by stage.
+
+Each stage's result is written as Parquet to the shared folder and read again, so
+a lost executor costs no more than the stage at hand.
+"""
 
 from __future__ import annotations
 
@@ -6,24 +10,59 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import neardup
-from eventloom.session import scratch_path, tune
+from eventloom.llm import decontam, mixing, neardup, quality, secretscan
+from eventloom.session import broadcast_if_small, durable, scratch_path, tune
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. It is trained on the labelled ones among ``docs``.
+
+    A doc_id goes if any row with it is rejected.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality.predict(docs, quality.train(docs, labels))
+    return _without(docs, scored.where("predicted = 0"))
+
+
+def distinct_enough(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    return _without(docs, neardup.near_duplicates(docs, width=5, percent=80).where("NOT kept"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontam.overlaps(docs, benchmark))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret is replaced by a mark; the rest of the text and all other documents stay as they are."""
+    return secretscan.redacted(docs.select(*COLUMNS), secretscan.advance(docs).findings)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training mix: taken blocks by shard and slot, each piece with its doc_id and text."""
+    return mixing.mixture(docs).text(docs)
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` but for the rejected ids; a null id is never rejected."""
+    ids = durable(rejected.where("doc_id IS NOT NULL").select("doc_id").distinct())
+    return docs.select(*COLUMNS).join(broadcast_if_small(ids), "doc_id", "left_anti")
 
 
 #: Applied in this order; each works on all rows that its predecessor kept.
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("minhash near-dedup", near_duplicates),
+    ("quality classifier", good_quality),
+    ("minhash near-dedup", distinct_enough),
+    ("benchmark decontamination", decontaminated),
+    ("secret scans", without_secrets),
+    ("source mixing", mixed),
 ]
 
-#: Trained and sampled stages have no SQL; tests hold every stage against a plain version.
+#: Trained and drawn stages have no SQL; tests hold every stage against a plain version.
 ORACLE_SQL = None
 
 

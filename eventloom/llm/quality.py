@@ -24,7 +24,7 @@ EMBED, SPAN, STRIDE, FILTERS, HIDDEN = 8, 8, 2, 24, 16
 POINTS = (CHUNK - SPAN) // STRIDE + 1
 #: Bounds of the training sample: rows, and bytes of a text that may be in it.
 TRAIN_ROWS, TRAIN_BYTES = 1500, 200_000
-EPOCHS, BATCH, RATE = 8, 24, 0.01
+STEPS, BATCH, RATE = 600, 24, 0.01
 #: Chunks that are convolved at once.
 TOGETHER = 256
 THRESHOLD = 0.3
@@ -111,23 +111,22 @@ class Network:
         return [d_embed, d_kernel, d.sum(axis=0), features.T @ d_hidden, d_hidden.sum(axis=0), hidden.T @ d_logit, np.array([d_logit.sum()])]
 
 
-def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> Network:
-    """Adam on the cross entropy, in seeded random batches of whole texts."""
+def fit(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = 5) -> Network:
+    """Adam on the cross entropy: a fixed number of batches of whole texts, in a new seeded order each time all were seen."""
     net, pick = Network.drawn(seed), np.random.default_rng(seed)
     first, second = ([np.zeros_like(w) for w in net.weights] for _ in range(2))
-    step = 0
-    for epoch in range(epochs):
-        order = pick.permutation(len(texts))
-        for at in range(0, len(order), BATCH):
-            batch = order[at : at + BATCH]
-            offsets = np.append(0, np.cumsum([len(texts[i]) for i in batch]))
-            data = np.frombuffer(b"".join(texts[i] for i in batch), np.uint8)
-            step += 1
-            rate = RATE * (1 - epoch / epochs) * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
-            for i, g in enumerate(net.gradients(data, offsets, labels[batch])):
-                first[i] = 0.9 * first[i] + 0.1 * g
-                second[i] = 0.999 * second[i] + 0.001 * g * g
-                net.weights[i] = (net.weights[i] - rate * first[i] / (np.sqrt(second[i]) + 1e-8)).astype(np.float32)
+    queue = np.zeros(0, np.int64)
+    for step in range(1, steps + 1):
+        if len(queue) < min(BATCH, len(texts)):
+            queue = np.append(queue, pick.permutation(len(texts)))
+        batch, queue = queue[:BATCH], queue[BATCH:]
+        offsets = np.append(0, np.cumsum([len(texts[i]) for i in batch]))
+        data = np.frombuffer(b"".join(texts[i] for i in batch), np.uint8)
+        rate = RATE * (1 - step / (steps + 1)) * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
+        for i, g in enumerate(net.gradients(data, offsets, labels[batch])):
+            first[i] = 0.9 * first[i] + 0.1 * g
+            second[i] = 0.999 * second[i] + 0.001 * g * g
+            net.weights[i] = (net.weights[i] - rate * first[i] / (np.sqrt(second[i]) + 1e-8)).astype(np.float32)
     return net
 
 
