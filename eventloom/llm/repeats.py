@@ -149,7 +149,8 @@ def _cut(length: int):
 
 
 def _repeated(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    """Keys met twice or more; stored, so that a join has its own exchange and can split a hot key."""
+    return durable(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
 
 
 def _by_text(rows: DataFrame) -> DataFrame:
@@ -166,7 +167,8 @@ def repeated_windows(docs: DataFrame, length: int = 35, seed: int = SEED) -> Dat
     schema = "anchor long, stretch long, doc_id long, text_key long, first_window int, last_window int"
     found = docs.mapInArrow(_anchors(length, seed), schema)
     extent = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("stretch").alias("low"), F.max("stretch").alias("high"))
-    extent = extent.where("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("same"))
+    # Stored, so that the join has its own exchange and can split a hot anchor.
+    extent = durable(extent.where("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("same")))
     found = durable(found.join(extent, "anchor").select("doc_id", "text_key", "first_window", "last_window", "same"))
 
     unsure = _by_text(found.where("not same"))

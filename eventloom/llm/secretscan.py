@@ -155,9 +155,8 @@ def redacted(docs: DataFrame, findings: DataFrame, mark: str = "[secret]") -> Da
                 ELSE struct(x.stop AS at, array_append(s.parts, substring(text, s.at + 1, x.start - s.at)) AS parts) END,
             s -> concat(array_join(s.parts, '{mark}'), '{mark}', substring(text, s.at + 1)))
     """.format(mark=mark.replace("'", "\\'"))
-    both = docs.withColumn("_blob", address(F.col("text"))).join(found.withColumnRenamed("blob", "_blob"), "_blob", "left")
-    text = F.when(F.col("found").isNotNull(), F.expr(cut)).otherwise(F.col("text"))
-    out = both.withColumn("_clean", text)
-    length = F.when(F.col("found").isNotNull(), F.length("_clean").cast("bigint")).otherwise(F.col("n_chars"))
-    columns = {"text": F.col("_clean"), "n_chars": length}
-    return out.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("row"), F.col("text"), address(F.col("text")).alias("blob"))
+    both = rows.join(found, "blob", "left").select("row", "found", F.when(F.col("found").isNotNull(), F.expr(cut)).alias("clean"))
+    changed = {"text": F.col("clean"), "n_chars": F.length("clean").cast("bigint")}
+    kept = [F.when(F.col("found").isNotNull(), changed[c]).otherwise(F.col("row")[c]).alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns]
+    return both.select(*kept)
