@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.session import durable
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -88,7 +90,8 @@ def evaluate(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     bits = F.lit(0).cast("bigint")
     for i, rule in enumerate(rules):
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint"))
-    return measured.withColumn("failed_bits", bits)
+    # Stored: a filter on the ledger must not be pushed into the measuring.
+    return durable(measured.withColumn("failed_bits", bits))
 
 
 def fails(policy: Sequence[str], rules: Sequence[Rule] = RULES) -> Column:
