@@ -19,7 +19,7 @@ from eventloom.session import durable
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the key up to this one.
 
-    ``order`` must be a total order within the key. Key columns must not be null.
+    ``order`` must be a total order within the key. A null key is a key of its own.
     """
     keys = list(keys)
     placed = df.withColumn("_value", value).repartitionByRange(*[F.col(k) for k in keys], *order)
@@ -32,13 +32,20 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], v
     offsets = (
         placed.groupBy("_slice", *keys)
         .agg(F.sum("_value").alias("_sum"))
-        .select("_slice", *keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+        .select(
+            F.col("_slice").alias("_of"),
+            *[F.col(k).alias(f"_of_{k}") for k in keys],
+            F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"),
+        )
     )
+    same = F.col("_slice") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
     return (
         placed.withColumn("_local", F.sum("_value").over(inside))
-        .join(offsets, ["_slice", *keys])
+        .join(offsets, same)
         .withColumn(out, F.col("_before") + F.col("_local"))
-        .drop("_slice", "_value", "_local", "_before")
+        .drop("_slice", "_value", "_local", "_before", "_of", *[f"_of_{k}" for k in keys])
     )
 
 

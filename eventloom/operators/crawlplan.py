@@ -88,22 +88,22 @@ def advance_frontier(answers: DataFrame, visited: DataFrame, registry: DataFrame
     return onward.join(visited.select("site_key", "url").distinct(), ["site_key", "url"], "left_anti")
 
 
-def follow_links(starts: DataFrame, links: DataFrame, registry: DataFrame, *, max_rounds: int) -> DataFrame:
+def follow_links(starts: DataFrame, links: DataFrame, registry: DataFrame) -> DataFrame:
     """Pages reached over stored links (site_key, url, next_page_url), round by round.
 
-    ``max_rounds`` is the largest page limit of the registry. Each round's result is
-    checkpointed, so the plan does not grow with the rounds.
+    The page limits of the registry end every crawl; the rounds go on until no site
+    has a next page. Each round's result is checkpointed, so the plan does not grow
+    with the rounds.
     """
     frontier = starts.select("site_key", "url", F.lit(1).alias("page_no"))
     visited = durable(frontier)
     frontier = visited
-    for _ in range(1, max_rounds):
+    while True:
         answers = frontier.join(links, ["site_key", "url"]).select("site_key", "page_no", "next_page_url")
         frontier = durable(advance_frontier(answers, visited, registry))
         if frontier.isEmpty():
-            break
+            return visited
         visited = durable(visited.unionByName(frontier))
-    return visited
 
 
 def crawl_estimate(registry: DataFrame) -> DataFrame:

@@ -105,12 +105,12 @@ def export_ics(
     producer: str = "-//eventloom//EN",
     uid: str = "eventloom",
     offset_hours: int = LOCAL_OFFSET_HOURS,
-    events_per_file: int = 1000,
 ) -> DataFrame:
-    """Calendar documents ordered by date, one row per calendar and part.
+    """One calendar document for each calendar, as rows ``(calendar, seq, text)``.
 
-    A calendar with more than ``events_per_file`` events is written as several
-    complete documents, so no task has to hold an unbounded calendar.
+    The texts of a calendar in the order of ``seq``, each ended by a line break, are
+    its document: the head, one entry per event by date, and the end. No task has to
+    hold a whole calendar. Events without a calendar form one of their own.
     """
     rows = vevents(events, as_of=as_of, uid=uid, offset_hours=offset_hours).select(
         calendar.cast("string").alias("calendar"),
@@ -121,9 +121,9 @@ def export_ics(
     )
     # The numbering travels on the narrow columns only; the text joins back by event.
     order = numbered(rows.select("calendar", "date", "id"), ["calendar"], [F.col("date"), F.col("id")])
-    placed = rows.join(order.select("calendar", "id", "row_no"), ["calendar", "id"])
-    part = F.floor((F.col("row_no") - 1) / events_per_file).cast("bigint")
-    entries = F.transform(F.array_sort(F.collect_list(F.struct("row_no", "vevent"))), lambda e: e["vevent"])
+    order = order.select(F.col("calendar").alias("_calendar"), F.col("id").alias("_id"), "row_no")
+    placed = rows.join(order, F.col("calendar").eqNullSafe(F.col("_calendar")) & (F.col("id") == F.col("_id")))
+    entries = placed.select("calendar", F.col("row_no").alias("seq"), F.col("vevent").alias("text"))
     head = F.concat_ws(
         "\r\n",
         F.lit("BEGIN:VCALENDAR"),
@@ -133,13 +133,7 @@ def export_ics(
         F.lit("METHOD:PUBLISH"),
         F.concat(F.lit("X-WR-CALNAME:"), ics_escape(F.col("calendar_name"))),
     )
-    return (
-        placed.groupBy("calendar", part.alias("part_no"))
-        .agg(F.min("calendar_name").alias("calendar_name"), F.count("id").alias("events"), entries.alias("entries"))
-        .select(
-            "calendar",
-            "part_no",
-            "events",
-            F.concat(head, F.lit("\r\n"), F.array_join("entries", "\r\n"), F.lit("\r\nEND:VCALENDAR\r\n")).alias("ics"),
-        )
-    )
+    calendars = rows.groupBy("calendar").agg(F.min("calendar_name").alias("calendar_name"), F.count("id").alias("events"))
+    first = F.struct(F.lit(0).cast("bigint").alias("seq"), head.alias("text"))
+    last = F.struct((F.col("events") + 1).alias("seq"), F.lit("END:VCALENDAR").alias("text"))
+    return calendars.select("calendar", F.inline(F.array(first, last))).unionByName(entries)

@@ -60,7 +60,7 @@ def dedup_in_page(events: DataFrame) -> DataFrame:
     A page whose first chunk is also its last was read in one go and stays as it
     is, which each row shows by itself.
     """
-    single = (F.col("chunk_no") == 1) & F.col("is_last")
+    single = F.coalesce((F.col("chunk_no") == 1) & F.col("is_last"), F.lit(False))
     rest = [c for c in events.columns if c not in ("page_id", "chunk_no", "pos")]
     first = F.min(F.struct("chunk_no", "pos", *rest)).alias("first")
     merged = (

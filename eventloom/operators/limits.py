@@ -95,7 +95,7 @@ def limit_usage_join(errors: DataFrame, calls: DataFrame) -> DataFrame:
     used = total.groupBy("id").agg(
         (seen("now") - seen("minute")).alias("tokens_60s"), (seen("now") - seen("day")).alias("tokens_24h")
     )
-    return errors.join(used, "id")
+    return errors.join(used, "id", "left").withColumns({c: F.coalesce(c, zero) for c in ("tokens_60s", "tokens_24h")})
 
 
 def limit_classify(errors: DataFrame, calls: DataFrame, limits: DataFrame) -> DataFrame:

@@ -115,6 +115,13 @@ def _number(value: Column) -> Column:
     )
 
 
+def _whole(value: Column) -> Column:
+    """A VARIANT number without a fraction as BIGINT; whole numbers never pass through DOUBLE."""
+    number = _number(value)
+    exact = F.when(F.schema_of_variant(value) == "BIGINT", F.try_variant_get(value, "$", "bigint"))
+    return F.coalesce(exact, F.when(number == F.floor(number), number.cast("bigint")))
+
+
 def parse_scores(replies: DataFrame, members: DataFrame, *, per: Sequence[str] = ()) -> DataFrame:
     """Valid scores of each batch, clamped to 0..1.
 
@@ -131,12 +138,11 @@ def parse_scores(replies: DataFrame, members: DataFrame, *, per: Sequence[str] =
     scored = item.where(F.col("pos").isNotNull()).select(
         *keys,
         "pos",
-        _number(F.try_variant_get("item", "$.id", "variant")).alias("_id"),
+        _whole(F.try_variant_get("item", "$.id", "variant")).alias("id"),
         _number(F.try_variant_get("item", "$.score", "variant")).alias("score"),
-    ).where((F.col("_id") == F.floor("_id")) & F.col("score").isNotNull())
+    ).where(F.col("id").isNotNull() & F.col("score").isNotNull())
     return (
-        scored.withColumn("id", F.col("_id").cast("bigint"))
-        .groupBy(*keys, "id")
+        scored.groupBy(*keys, "id")
         .agg(F.max_by("score", "pos").alias("score"))
         .join(members.select(*keys, "id"), [*keys, "id"], "left_semi")
         .withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))))
@@ -161,10 +167,15 @@ def score_coverage(scores: DataFrame, members: DataFrame, *, per: Sequence[str]
     )
 
 
-def score_writeback(catalog: DataFrame, scores: DataFrame) -> DataFrame:
-    """The catalog with new scores where there are any and the old ones elsewhere."""
+def score_writeback(catalog: DataFrame, scores: DataFrame, *, per: Sequence[str] = ()) -> DataFrame:
+    """The catalog with new scores where there are any and the old ones elsewhere.
+
+    With ``per`` the catalog has a row for each event and, say, user, and so have the
+    scores. Several scores for one key would multiply rows; the highest counts.
+    """
+    keys = [*per, "id"]
     return (
-        catalog.join(scores.select("id", F.col("score").alias("_new")), "id", "left")
+        catalog.join(scores.groupBy(*keys).agg(F.max("score").alias("_new")), keys, "left")
         .withColumn("score", F.coalesce("_new", "score"))
         .drop("_new")
     )

@@ -174,11 +174,10 @@ _HEAD = " || chr(13) || chr(10) || ".join(
     "export_ics",
     "fx_catalog",
     sql=f"""WITH {_ICS.strip()},
-    placed AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY date, id) - 1) // 1000 AS part_no FROM entries)
-    SELECT source AS calendar, part_no, count(*) AS events,
-           {_HEAD} || {_CRLF} || 'X-WR-CALNAME:' || source || {_CRLF}
-             || string_agg(vevent, {_CRLF} ORDER BY date, id) || {_CRLF} || 'END:VCALENDAR' || {_CRLF} AS ics
-    FROM placed GROUP BY 1, 2""",
+    placed AS (SELECT source AS calendar, row_number() OVER (PARTITION BY source ORDER BY date, id) AS seq, vevent AS text FROM entries)
+    SELECT * FROM placed UNION ALL
+    SELECT source, 0, {_HEAD} || {_CRLF} || 'X-WR-CALNAME:' || source FROM entries GROUP BY source UNION ALL
+    SELECT source, count(*) + 1, 'END:VCALENDAR' FROM entries GROUP BY source""",
 )
 def export_ics(x):
     return export.export_ics(x.catalog, F.col("source"), as_of=AS_OF)

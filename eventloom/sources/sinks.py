@@ -79,13 +79,18 @@ def sink_error_log(errors: DataFrame, path: str) -> None:
     )
 
 
-def sink_ics(files: DataFrame, path: str) -> None:
-    """Calendar documents as text, one folder per calendar and part, so that each file is one document."""
+def sink_ics(lines: DataFrame, path: str) -> None:
+    """Calendar documents as text, one folder per calendar.
+
+    The part files of a folder in the order of their names are one document; a large
+    calendar is written by several tasks.
+    """
     (
-        files.select("calendar", "part_no", F.rtrim(F.col("ics"), F.lit("\r\n")).alias("value"))
-        .hint("rebalance", "calendar")
+        lines.repartitionByRange("calendar", "seq")
+        .sortWithinPartitions("calendar", "seq")
+        .select("calendar", F.col("text").alias("value"))
         .write.mode("overwrite")
-        .partitionBy("calendar", "part_no")
+        .partitionBy("calendar")
         .option("lineSep", "\r\n")
         .text(path)
     )

@@ -1,4 +1,3 @@
-from collections import Counter
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -82,7 +81,7 @@ def test_follow_links_stops_at_loops_and_limits(spark):
         [("a", f"http://a/{i}", f"http://a/{i + 1}") for i in range(1, 9)] + [("b", "http://b/1", "http://b/2"), ("b", "http://b/2", "http://b/1")],
         "site_key STRING, url STRING, next_page_url STRING",
     )
-    got = sorted((r.url, r.page_no) for r in crawlplan.follow_links(starts, links, registry, max_rounds=9).collect())
+    got = sorted((r.url, r.page_no) for r in crawlplan.follow_links(starts, links, registry).collect())
     assert got == [("http://a/1", 1), ("http://a/2", 2), ("http://a/3", 3), ("http://b/1", 1), ("http://b/2", 2)]
 
 
@@ -102,17 +101,19 @@ def test_ics_text(spark):
     assert got == "a\\\\b\\;c\\,d\\ne\\nf\\ng"
 
 
-def test_ics_documents_split_when_large(spark, tmp_path):
-    rows = [(i, f"T{i}", "", "", "s", "general", datetime(2024, 3, 1 + i % 5, 12, 34), "", None, True) for i in range(7)]
-    files = export.export_ics(spark.createDataFrame(rows, STORED), F.col("source"), as_of=AS_OF, events_per_file=3)
-    got = sorted((r.part_no, r.events, r.ics) for r in files.collect())
-    assert [(p, n) for p, n, _ in got] == [(0, 3), (1, 3), (2, 1)]
-    order = [line[8:] for *_, ics in got for line in ics.split("\r\n") if line.startswith("SUMMARY:")]
-    assert order == ["T0", "T5", "T1", "T6", "T2", "T3", "T4"]
-    assert all(ics.startswith("BEGIN:VCALENDAR\r\n") and ics.endswith("END:VCALENDAR\r\n") for *_, ics in got)
-    sinks.sink_ics(files, str(tmp_path / "out"))
-    texts = [p.read_bytes().decode() for p in (tmp_path / "out").rglob("*.txt")]
-    assert Counter(texts) == Counter(ics for *_, ics in got)
+def test_large_calendars_are_one_document(spark, tmp_path):
+    rows = [(i, f"T{i}", "", "", "s" if i < 1501 else None, "general", datetime(2024, 3, 1 + i % 5, 12, 34), "", None, True) for i in range(1510)]
+    lines = export.export_ics(spark.createDataFrame(rows, STORED), F.col("source"), as_of=AS_OF)
+    sinks.sink_ics(lines, str(tmp_path / "out"))
+    want = {"s": rows[:1501], None: rows[1501:]}
+    for calendar, own in want.items():
+        texts = [r.text for r in sorted((r for r in lines.collect() if r.calendar == calendar), key=lambda r: r.seq)]
+        document = "".join(t + "\r\n" for t in texts)
+        order = [line[8:] for line in document.split("\r\n") if line.startswith("SUMMARY:")]
+        assert order == [r[1] for r in sorted(own, key=lambda r: (r[6], r[0]))]
+        assert document.startswith("BEGIN:VCALENDAR\r\n") and document.endswith("END:VCALENDAR\r\n")
+        folder = tmp_path / "out" / f"calendar={calendar or '__HIVE_DEFAULT_PARTITION__'}"
+        assert "".join(p.read_bytes().decode() for p in sorted(folder.glob("*.txt"))) == document
 
 
 def test_month_bounds():
