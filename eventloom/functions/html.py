@@ -7,6 +7,7 @@ expression can do is left to Catalyst (see ``operators.pagetext``).
 from __future__ import annotations
 
 from html.entities import html5
+from collections import Counter
 from html.parser import HTMLParser
 
 # Subtrees that carry no content, tags that never have content, and
@@ -26,6 +27,9 @@ class PageText(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=False)
         self.open: list[str] = []  # names of the open elements, outermost first
+        # Counts over the open elements, so that no tag or text walks through all of them.
+        self.of: Counter[str] = Counter()
+        self.dropped = self.silent = 0
         self.depth: dict[str, int] = {}  # first kept <main>, <body>: its stack depth while open
         self.seen: set[str] = set()
         self.pieces: list[tuple[str, bool, bool]] = []  # text, inside main, inside body
@@ -38,7 +42,7 @@ class PageText(HTMLParser):
     def flush(self) -> None:
         text = "".join(self.buffer).strip()
         self.buffer.clear()
-        if not text or any(name in DROPPED or name in SILENT for name in self.open):
+        if not text or self.dropped or self.silent:
             return
         if self.link is not None:
             self.link[2].append(text)
@@ -71,6 +75,11 @@ class PageText(HTMLParser):
             self.buffer.append(data[6:])
             self.flush()
 
+    def count(self, tag: str, by: int) -> None:
+        self.of[tag] += by
+        self.dropped += by * (tag in DROPPED)
+        self.silent += by * (tag in SILENT)
+
     # -- structure ------------------------------------------------------------
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.flush()
@@ -78,7 +87,8 @@ class PageText(HTMLParser):
             self.counts[tag] += 1
         self.found_main |= tag == "main"
         self.open.append(tag)
-        kept = self.link is None and not any(name in DROPPED for name in self.open)
+        self.count(tag, 1)
+        kept = self.link is None and not self.dropped
         if tag in ("main", "body") and kept and tag not in self.seen:
             self.seen.add(tag)
             self.depth[tag] = len(self.open)
@@ -96,7 +106,7 @@ class PageText(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.flush()
-        if tag in VOID or tag not in self.open:
+        if tag in VOID or not self.of[tag]:
             return
         while self.open[-1] != tag:
             self.close_innermost()
@@ -104,7 +114,7 @@ class PageText(HTMLParser):
 
     def close_innermost(self) -> None:
         level = len(self.open)
-        self.open.pop()
+        self.count(self.open.pop(), -1)
         if self.link is not None and self.link[0] == level:
             _, href, texts, in_main, in_body = self.link
             self.pieces.append((f"{''.join(texts)} [{href}]".strip(), in_main, in_body))

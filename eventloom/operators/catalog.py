@@ -58,7 +58,7 @@ def resolve_urls(events: DataFrame, registry: DataFrame) -> DataFrame:
     link = F.coalesce(strip(F.col("url")), F.lit(""))
     keep = (link == "") | link.startswith("http") | F.col("_base").isNull()
     return (
-        events.join(sites, "source", "left")
+        events.join(broadcast_if_small(sites), "source", "left")
         .withColumn("url", F.when(keep, link).otherwise(join_url(F.col("_base"), link)))
         .drop("_base")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.text import clip, title_case
 from eventloom.functions.times import midnight, ntz
+from eventloom.session import broadcast_if_small
 
 #: Score shown for events that were not scored yet.
 NEUTRAL_SCORE = 0.5
@@ -63,10 +64,11 @@ def list_sources(catalog: DataFrame, registry: DataFrame) -> DataFrame:
 def source_names(catalog: DataFrame, registry: DataFrame) -> DataFrame:
     """Events with their source's display name; unknown keys are title-cased.
 
-    No broadcast hint: Spark broadcasts the registry while it is below the size
-    threshold and otherwise joins by shuffle with skewed sources split.
+    The registry is broadcast while its measured size allows; beyond that Spark joins
+    by shuffle with skewed sources split.
     """
-    return catalog.join(registry.select(F.col("site_key").alias("source"), "display_name"), "source", "left").withColumn(
+    names = broadcast_if_small(registry.select(F.col("site_key").alias("source"), "display_name"))
+    return catalog.join(names, "source", "left").withColumn(
         "display_name", F.coalesce("display_name", title_case(F.col("source")))
     )
 

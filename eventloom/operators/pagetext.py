@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from eventloom.functions.html import COUNTED, read_page
 from eventloom.functions.text import clip, nullif_empty, strip
 from eventloom.functions.times import moment
+from eventloom.session import broadcast_if_small
 
 CHUNK_SIZE, CHUNK_OVERLAP = 6000, 300
 CHARS_PER_TOKEN = 2.2
@@ -92,7 +93,8 @@ def _with_markers(texts: DataFrame, registry: DataFrame) -> DataFrame:
     markers = registry.select(
         "site_key", nullif_empty(F.col("head")).alias("head"), nullif_empty(F.col("tail")).alias("tail")
     )
-    return texts.join(markers, "site_key", "left")
+    # Beyond the measured bound Spark decides; the texts must not move to meet a few sites.
+    return texts.join(broadcast_if_small(markers), "site_key", "left")
 
 
 def _trimmed() -> Column:
@@ -278,4 +280,4 @@ def build_prompts(chunks: DataFrame, registry: DataFrame) -> DataFrame:
         source,
         F.concat(F.lit("PAGE TEXT:\n"), F.col("text")),
     )
-    return chunks.join(names, "site_key", "left").withColumn("prompt", prompt).drop("_hint")
+    return chunks.join(broadcast_if_small(names), "site_key", "left").withColumn("prompt", prompt).drop("_hint")

@@ -34,6 +34,11 @@ def merge_batch(registry: DataFrame, path: str, as_of: datetime | str) -> Callab
     return merge
 
 
+def _committed(spark: SparkSession, folder: str) -> bool:
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+
+
 def stream_catalog(
     extracted: DataFrame,
     catalog: DataFrame,
@@ -48,8 +53,10 @@ def stream_catalog(
 
     ``row_id`` orders events within a batch; across batches the earlier batch wins.
     """
-    # Only the first start writes part 0; a restart finds it there.
-    catalog.write.mode("ignore").parquet(f"{path}/part=0")
+    # Only the first start writes part 0. A restart finds its commit marker; what a
+    # crashed first write left behind is replaced.
+    if not _committed(catalog.sparkSession, f"{path}/part=0"):
+        catalog.write.mode("overwrite").parquet(f"{path}/part=0")
     return (
         extracted.writeStream.foreachBatch(merge_batch(registry, path, as_of))
         .option("checkpointLocation", checkpoint)

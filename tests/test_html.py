@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from eventloom.functions.html import DROPPED, read_page
@@ -38,3 +40,9 @@ def test_counts_and_root():
 def test_dropped_tags_leave_no_text():
     page = "".join(f"<{t}>secret</{t}>" for t in sorted(DROPPED - {"img"}))
     assert "secret" not in read_page(f"<body>{page}ok</body>")[0]
+
+
+def test_deep_pages_are_linear():
+    began = time.monotonic()
+    text, *_ = read_page("<body>" + "<b>x" * 200_000)
+    assert text.count("x") == 200_000 and time.monotonic() - began < 5
