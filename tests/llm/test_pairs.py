@@ -124,10 +124,14 @@ def overlaps(docs, items):
     masks += [list(range(n)) for n in lengths]
     for doc_id, text in docs:
         doc = cut(text)
+        places = defaultdict(list)
+        for i, token in enumerate(doc):
+            places[token].append(i)
         for item_id, item in items:
             if len(item) < decontam.LEAST_TOKENS:
                 continue
-            for begin in range(-len(item), len(doc)):
+            shared = Counter(i - k for k, token in enumerate(item) for i in places[token])
+            for begin in (b for b, n in shared.items() if n >= decontam.LEAST_TOKENS):  # no mask fits fewer
                 equal = [0 <= begin + k < len(doc) and doc[begin + k] == item[k] for k in range(len(item))]
                 at = lambda p: p < len(item) and equal[p]
                 if not any(all(at(s + k) for k in m) for m in masks for s in range(len(item))):
