@@ -16,8 +16,15 @@ from pyspark.sql import functions as F
 
 from eventloom.session import durable
 
-#: Selected positions of the fixed masks, six in a span of nine and of eleven.
-MASKS = ((0, 1, 3, 5, 6, 8), (0, 2, 3, 7, 9, 10))
+#: Selected positions of the fixed masks. Wherever two of 13 tokens are substituted, one of them still fits.
+MASKS = ((0, 1, 3, 5, 6, 8), (0, 2, 3, 7, 9, 10), (0, 1, 4, 5, 6, 7, 10, 11))
+#: More masks for items of so many tokens, so that one fits whatever the rule lets be substituted: one token of 9, two of 10 to 12.
+SHORT = {
+    9: ((0, 1, 2, 4, 6, 7), (0, 3, 5, 6, 7, 8)),
+    10: ((0, 1, 3, 4, 5), (0, 1, 2, 6, 7)),
+    11: ((0, 1, 2, 3, 4, 6), (0, 1, 4, 7, 8, 9)),
+    12: ((0, 3, 4, 7, 8, 9),),
+}
 #: Items with fewer tokens cannot be told from ordinary prose.
 LEAST_TOKENS = 5
 #: An overlap counts if some stretch of so many tokens (or the whole shorter item) ...
@@ -57,10 +64,10 @@ def _place(masks: Sequence[Sequence[int]], mask: Column, index: Column) -> Colum
     return index - F.element_at(F.array(*begin), mask + 1)
 
 
-def _masks_for(lengths: Sequence[int]) -> list[tuple[int, ...]]:
-    """The fixed masks, and an unbroken one for each length of items too short for all of them."""
-    shortest = min(_span(m) for m in MASKS)
-    return [*MASKS, *(tuple(range(n)) for n in sorted(lengths) if LEAST_TOKENS <= n < shortest)]
+def _masks_for(lengths: Sequence[int]) -> list[tuple[int, tuple[int, ...]]]:
+    """The fixed masks with 0, and with each length of short items its own ones: an unbroken one if all others are too long."""
+    own = [(n, mask) for n in sorted(lengths) for mask in SHORT.get(n, (tuple(range(n)),))]
+    return [*((0, mask) for mask in MASKS), *own]
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, percent: int = EQUAL_PERCENT) -> DataFrame:
@@ -70,7 +77,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, perc
     some ``stretch`` consecutive tokens (the whole item if it is shorter) have at
     least ``percent`` % equal tokens. Tokens are lower-cased runs of letters, marks
     and digits. n_equal is the most equal tokens at any one hit. Every position of
-    whole texts is tried.
+    whole texts is tried. With the given ``stretch`` and ``percent`` the masks hit
+    every place that the rule accepts; for others they may miss some.
 
     Null and empty texts have no tokens and meet nothing, nor do items below five
     tokens. Items of five to eight tokens have to occur unchanged. Rows that repeat
@@ -78,9 +86,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, perc
     ignored; empty tables give an empty result.
     """
     items = durable(benchmark.select("item_id", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS).distinct())
-    lengths = [r[0] for r in items.select(F.size("tokens").alias("n")).where(f"n < {min(_span(m) for m in MASKS)}").distinct().collect()]
-    masks = _masks_for(lengths)
-    seeds = durable(_positions(items, masks).select("seed", "item_id", F.col("place").alias("item_at"), "mask", F.size("tokens").alias("length")))
+    lengths = [r[0] for r in items.select(F.size("tokens").alias("n")).where(f"n <= {max(SHORT)}").distinct().collect()]
+    of, masks = zip(*_masks_for(lengths), strict=True)
+    meant = F.element_at(F.array(*map(F.lit, of)), F.col("mask") + 1).isin(F.lit(0), F.size("tokens"))
+    seeds = durable(_positions(items, masks).where(meant).select("seed", "item_id", F.col("place").alias("item_at"), "mask", F.size("tokens").alias("length")))
     blocks = max(1, math.ceil(seeds.count() / SEEDS_PER_BLOCK))
 
     texts = docs.select("doc_id", tokens(F.col("text")).alias("tokens"))

@@ -171,6 +171,40 @@ def test_overlaps(spark, monkeypatch):
     assert decontam.overlaps(frames[0], frames[1].limit(0)).collect() == []
 
 
+def accepted(docs, items):
+    """The 80 % rule at every alignment, without masks; items of five to eight tokens unchanged."""
+    out = {}
+    for doc_id, doc in docs:
+        for item_id, item in items:
+            span = min(13, len(item))
+            for begin in range(1 - len(item), len(doc)):
+                equal = [0 <= begin + k < len(doc) and doc[begin + k] == token for k, token in enumerate(item)]
+                least = 80 * span if len(item) > 8 else 100 * span
+                if any(100 * sum(equal[s : s + span]) >= least for s in range(len(item) - span + 1)):
+                    key = (doc_id, item_id)
+                    out[key] = (len(item), max(sum(equal), out.get(key, (0, 0))[1]))
+    return sorted((*k, *v) for k, v in out.items())
+
+
+def test_every_accepted_overlap_is_met(spark):
+    from itertools import combinations
+
+    items = [(n, [f"i{n}x{k}" for k in range(n)]) for n in (5, 8, 9, 10, 11, 12, 13, 14, 15, 20)]
+    docs = []
+    for n, item in items:
+        # Substitutions at all places: all that the rule accepts, and one more for items of up to twelve tokens.
+        for places in combinations(range(min(n, 13)), {5: 1, 8: 1, 9: 2}.get(n, 3 if n < 13 else 2)):
+            for left in range(len(places) + 1):
+                text = ["other" if k in places[left:] else t for k, t in enumerate(item[:13])]
+                docs.append((len(docs), ["before"] * (left % 2) + text))
+        docs.append((len(docs), item[-11:]))
+        docs.append((len(docs), item[2:]))
+    got = decontam.overlaps(
+        spark.createDataFrame([(i, " ".join(t)) for i, t in docs], DOCS), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    )
+    assert sorted(map(tuple, got.collect())) == accepted(docs, items)
+
+
 def test_components_of_a_long_chain(spark):
     from eventloom.llm.links import components as connected
 
