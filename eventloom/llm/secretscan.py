@@ -34,12 +34,27 @@ BASE = (
     # A run of hex digits is maximal, so the length can be part of the pattern.
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),
 )
+#: A line break, also one written out in a string, and what may stand around the lines of a key in code.
+_BREAK = r"(?:[\r\n]|\\[nr])"
+_AROUND = r"(?:\\[nrt]|[\s\"'+,;#>*|\\])"
+#: The line has ended, but for closing quotes and the like.
+_ENDS = rf"(?=[\x20\t\"'+,;]*+(?:{_BREAK}|\\?\z))"
+#: All up to the END line of the same kind, if neither another key nor prose comes first ...
+_CLOSED = r"(?:[^-\x20]|-(?!----(?:BEGIN|END)\x20)|\x20(?!(?:[A-Za-z]{1,15}[,.;:]?\x20){4}))*+-----END \1PRIVATE KEY\2-----"
+#: ... or else the header fields and lines of base64, the last of which may be short, and an END line right after them.
+_OPEN = (
+    rf"(?:{_AROUND}*+[A-Z][A-Za-z-]*+:\x20[^\r\n\\]*+(?={_BREAK}))*+"
+    rf"(?:(?:(?:(?!{_BREAK}){_AROUND})*+{_BREAK}{_AROUND}*+[A-Za-z0-9+/=]{{16,}}+{_ENDS}|[\x20\t]++[A-Za-z0-9+/=]{{40,}}+)++"
+    rf"(?:{_AROUND}++[A-Za-z0-9+/=]{{1,15}}+{_ENDS})*+)?+"
+    rf"(?:{_AROUND}*+-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----)?+"
+)
 RULES = (
     *BASE,
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN ([A-Z ]*)PRIVATE KEY((?: BLOCK)?+)-----(?:{_CLOSED}|{_OPEN})"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
-RULE_VERSION = "1"
+#: Raised with every change of the rules, so that ledgers scan all blobs again.
+RULE_VERSION = "1.1"
 FINDING = "blob string, rule_version string, kind string, kind_no int, start int, stop int"
 
 
