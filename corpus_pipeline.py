@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from eventloom.llm import decontam, mixing, neardup, quality, secretscan
 from eventloom.session import broadcast_if_small, durable, scratch_path, tune
@@ -17,24 +18,28 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It is trained on the labelled ones among ``docs``.
-
-    A doc_id goes if any row with it is rejected.
-    """
+    """Rows whose text the classifier rejects go. It is trained on the labelled ones among ``docs``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.predict(docs, quality.train(docs, labels))
-    return _without(docs, scored.where("predicted = 0"))
+    rows = _keyed(docs)
+    scored = quality.predict(rows.select(F.col("row").alias("doc_id"), "text"), quality.train(docs, labels))
+    return _without(rows, scored.where("predicted = 0").select(F.col("doc_id").alias("row")))
 
 
 def distinct_enough(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
-    return _without(docs, neardup.near_duplicates(docs, width=5, percent=80).where("NOT kept"))
+    """One row of each group of near-duplicates stays: the one with the smallest doc_id, null last.
+
+    Among equal ids it is the one with the smallest hash of the text, then the first row.
+    """
+    rows = _keyed(docs)
+    return _without(rows, neardup.surplus(rows, "row", width=5, percent=80))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Rows that hold a passage of the benchmark go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontam.overlaps(docs, benchmark))
+    rows = _keyed(docs)
+    met = decontam.overlaps(rows.select(F.col("row").alias("doc_id"), "text"), benchmark)
+    return _without(rows, met.select(F.col("doc_id").alias("row")))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +52,23 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixture(docs).text(docs)
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` but for the rejected ids; a null id is never rejected."""
-    ids = durable(rejected.where("doc_id IS NOT NULL").select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(broadcast_if_small(ids), "doc_id", "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a stored key of each row, so that repeated and null ids are told apart.
+
+    Rows read straight from Parquet files are known by file and position; any others are
+    stored with a number.
+    """
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        return docs.select(*COLUMNS, F.concat_ws(" ", "_metadata.row_index", "_metadata.file_path").alias("row"))
+    path = scratch_path(docs.sparkSession, "rows")
+    docs.select(*COLUMNS, F.monotonically_increasing_id().cast("string").alias("row")).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``rows`` of ``_keyed`` but for those whose key is in ``rejected``, without the key."""
+    keys = durable(rejected.select("row").distinct())
+    return rows.join(broadcast_if_small(keys), "row", "left_anti").select(*COLUMNS)
 
 
 #: Applied in this order; each works on all rows that its predecessor kept.

@@ -165,11 +165,12 @@ def predict(docs: DataFrame, model: Network | float) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs(doc_id, text)``.
 
     ``score`` is the probability of a good label, ``predicted`` 1 from ``THRESHOLD``
-    on. Null and empty texts are one chunk of padding and get a score like any
+    on. doc_id may have any type. Null and empty texts are one chunk of padding and get a score like any
     other. Rows are scored one by one, so repeated rows and null ids (held out) stay
     as they are; no other column is read; an empty table gives an empty result.
     """
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     # Plain arrays need no package to be read.
     shared = docs.sparkSession.sparkContext.broadcast(model if isinstance(model, float) else model.weights)
-    return rows.mapInArrow(_scored(shared), "doc_id long, held_out boolean, score double, predicted int")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(_scored(shared), f"doc_id {kind}, held_out boolean, score double, predicted int")

@@ -295,6 +295,33 @@ def test_quality(spark):
     assert quality.predict(odd.limit(0), 0.5).collect() == []
 
 
+@pytest.mark.parametrize("stored", [False, True])
+def test_stages_decide_on_rows(spark, tmp_path, monkeypatch, stored):
+    pick = random.Random(7)
+    text = lambda: " ".join(f"w{pick.randrange(10**6)}" for _ in range(30))
+    a, b, c, d, passage = (text() for _ in range(5))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def after(stage, rows):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+        if stored:
+            docs.write.mode("overwrite").parquet(f"{tmp_path}/docs")
+            docs = spark.read.parquet(f"{tmp_path}/docs")
+        return sorted(((r.doc_id, r.text) for r in stage(spark, docs, str(tmp_path)).collect()), key=str)
+
+    # Repeated rows, null ids alone and beside others, and two groups that share an id.
+    rows = [(1, a), (1, a), (1, a), (None, a), (None, b), (None, b), (5, c), (1, c), (5, d), (7, None), (7, None), (None, ""), (9, " ".join(c.split()[:-1]))]
+    want = [(1, a), (None, b), (1, c), (5, d), (7, None), (7, None), (None, "")]
+    assert after(corpus_pipeline.distinct_enough, rows) == sorted(want, key=str)
+    rows = [(1, a), (1, f"x {passage} y"), (None, passage), (None, b), (2, c), (2, c), (None, None)]
+    assert after(corpus_pipeline.decontaminated, rows) == sorted([(1, a), (None, b), (2, c), (2, c), (None, None)], key=str)
+    network = quality.fit([b"good text " * 9, b"bad!!! " * 9], np.array([1, 0], np.float32), 200)
+    monkeypatch.setattr(quality, "train", lambda *_: network)
+    good, bad = "good text " * 9, "bad!!! " * 9
+    assert after(corpus_pipeline.good_quality, [(1, good), (1, bad), (None, bad), (None, good), (2, good), (2, good)]) == sorted([(1, good), (None, good), (2, good), (2, good)], key=str)
+
+
 @needs_data
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
