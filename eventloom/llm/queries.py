@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontam, langmix, mixing, neardup, quality, repeats, rules, secretscan, tokencounts, urlfilter
+from eventloom.llm import decontam, langmix, mixing, neardup, periods, quality, repeats, rules, secretscan, tokencounts, turns, urlfilter
 from eventloom.session import scratch_path, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,3 +229,103 @@ JOIN (SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN texts ON root
 @query("op10_minhash_neardup", OP10_SQL)
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+#: The unsigned CRC-32 of ASCII text {0}, in DuckDB.
+CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda ch: ascii(ch)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+OP12_SQL = rf"""
+WITH RECURSIVE keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {CRC32.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS hit FROM conversations),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+        CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN hit = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM keyed WHERE hit <> 0),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS no FROM damaged),
+faulty AS (
+    SELECT *, role[1:1] AS initial, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY no) AS before,
+        CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b'
+            WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY no) > 1 THEN 'd'
+            WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 't' ELSE '' END AS fault
+    FROM ordered),
+counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+        count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+        count(*) FILTER (no > 1 AND (before || initial) NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+    FROM faulty GROUP BY conv_id),
+inserts(p, q, cost, audit, made) AS (VALUES (0, 0, 0, '', []), (0, 2, 5, 'I', ['user:']), (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 1, 0, '', []),
+    (1, 2, 5, 'I', ['user:']), (1, 3, 10, 'II', ['user:', 'assistant:']), (2, 2, 0, '', []), (2, 3, 5, 'I', ['assistant:']), (3, 3, 0, '', []), (3, 2, 5, 'I', ['user:'])),
+steps(p, initial, q, role) AS (VALUES (0, 's', 1, NULL), (0, 'u', 2, 'user'), (1, 'u', 2, 'user'), (2, 'a', 3, 'assistant'), (3, 'u', 2, 'user')),
+edits AS (
+    SELECT conv_id, no, p, p AS q, 2 AS cost, 'D' AS audit, [] AS made FROM faulty, (VALUES (0), (1), (2), (3)) s(p)
+    UNION ALL
+    SELECT conv_id, no, p, q, CASE WHEN fault = 't' THEN 5 ELSE 0 END, 'K', [f.role || ':' || text] FROM faulty f JOIN steps s USING (initial) WHERE fault NOT IN ('b', 'd')
+    UNION ALL
+    SELECT conv_id, no, p, q, CASE WHEN fault = 't' THEN 6 ELSE 1 END, 'R', [s.role || ':' || text] FROM faulty f, steps s WHERE s.role IS NOT NULL AND fault NOT IN ('b', 'd')),
+moves AS (
+    SELECT conv_id, no, e.p, i.q, e.cost + i.cost AS cost, e.audit || i.audit AS audit, list_concat(e.made, i.made) AS made
+    FROM edits e JOIN inserts i ON e.q = i.p),
+parsed(conv_id, no, q, cost, audit, made) AS (
+    SELECT conv_id, 0::BIGINT, q, cost, audit, made FROM counted, inserts WHERE p = 0
+    UNION ALL
+    SELECT conv_id, no, q, cost, audit, made FROM (
+        SELECT m.conv_id, m.no, m.q, a.cost + m.cost AS cost, a.audit || m.audit AS audit, list_concat(a.made, m.made) AS made
+        FROM parsed a JOIN moves m ON a.conv_id IS NOT DISTINCT FROM m.conv_id AND m.no = a.no + 1 AND m.p = a.q)
+    QUALIFY row_number() OVER (PARTITION BY conv_id, no, q ORDER BY cost, audit) = 1),
+best AS (
+    SELECT parsed.* FROM parsed JOIN counted c ON parsed.conv_id IS NOT DISTINCT FROM c.conv_id AND no = n WHERE q IN (0, 3)
+    QUALIFY row_number() OVER (PARTITION BY parsed.conv_id ORDER BY cost, audit) = 1)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(made, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best b ON o.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
+@query("op12_conversation_repair", OP12_SQL)
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = table(spark, sf_dir, "conversations")
+    rows = turns.damaged(original)
+    found = turns.repairs(rows)
+    out = original.select("conv_id").distinct()
+    for more in (found, turns.digests(turns.repaired(rows, found))):
+        more = more.withColumnRenamed("conv_id", "_conv")
+        out = out.join(more, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+OP13_SQL = rf"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS words, {CRC32.format("doc_id::VARCHAR")} AS h FROM documents),
+plan AS (SELECT *, len(words) AS n, h // 10 AS g FROM texts),
+shifted AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a, CASE WHEN n > 0 THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM plan),
+given AS (
+    SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE words END AS words
+    FROM shifted),
+placed AS (SELECT r, n, unnest(words) AS w, unnest(range(n)) AS i FROM given),
+equal AS (SELECT x.r, x.i, y.i - x.i AS q FROM placed x JOIN placed y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT r, i, q, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM equal),
+stretches AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (
+    SELECT * FROM stretches s WHERE NOT EXISTS (
+        SELECT 1 FROM stretches t WHERE t.r = s.r AND t.q < s.q AND t.start <= s.start AND t.start + t.length >= s.start + s.length)),
+listed AS (
+    SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines,
+        list([start, start + q, start + length]) AS spans FROM runs GROUP BY r),
+top AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length::HUGEINT * 1000000000000 // q DESC, start, q) = 1),
+dropped AS (SELECT DISTINCT r, unnest(range(start + q, start + length)) AS i FROM runs),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS text FROM placed ANTI JOIN dropped USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, q AS period, 1000 * length // q AS exponent_milli,
+    sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM given LEFT JOIN listed USING (r) LEFT JOIN top USING (r) LEFT JOIN kept USING (r)
+"""
+
+
+@query("op13_periodic_runs", OP13_SQL)
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periods.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    out = periods.periodic_runs(docs)
+    return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
