@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 #: Settings every job relies on. All of them can be changed on a live session.
 RUNTIME_CONF = {
@@ -65,15 +66,29 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _bytes_of(column: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes, nested ones included."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(column).cast("bigint"), F.lit(0)) + 16
+    if isinstance(kind, StructType):
+        return sum((_bytes_of(column[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("bigint"))
+    if isinstance(kind, MapType):
+        return _bytes_of(F.map_keys(column), ArrayType(kind.keyType)) + _bytes_of(F.map_values(column), ArrayType(kind.valueType))
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, StructType, MapType, ArrayType)):
+            inside = F.aggregate(column, F.lit(0).cast("bigint"), lambda total, x: total + _bytes_of(x, kind.elementType))
+        else:
+            inside = F.size(column).cast("bigint") * 8
+        return F.coalesce(inside, F.lit(0)) + 24
+    return F.lit(16).cast("bigint")
+
+
 def broadcast_if_small(df: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
     """Hint a broadcast if the rows measured now fit into ``max_bytes``; else leave the join to Spark.
 
     Measures by one pass over ``df``, so hand in something durable or stored.
     """
-    width = F.lit(16 * len(df.columns)).cast("bigint")
-    for name, kind in df.dtypes:
-        if kind == "string":
-            width = width + F.coalesce(F.octet_length(name), F.lit(0))
+    width = sum((_bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0).cast("bigint"))
     size = df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
     return F.broadcast(df) if size <= max_bytes else df
 
