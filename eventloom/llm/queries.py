@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontam, langmix, mixing, neardup, periods, quality, repeats, rules, secretscan, tokencounts, turns, urlfilter
+from eventloom.llm import decontam, langmix, mixing, neardup, periods, quality, repeats, rules, secretscan, suffixes, tokencounts, turns, urlfilter
 from eventloom.session import scratch_path, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,6 +231,33 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+OP11_SQL = r"""
+WITH texts AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, md5(text)) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT r, doc_id, h, length(h) // 2 AS n FROM texts),
+windows AS (
+    SELECT r, i, md5(substr(h, 2 * i + 1, 200)) AS w
+    FROM (SELECT r, h, unnest(range(n - 99)) AS i FROM sized WHERE n >= 100)),
+later AS (SELECT r, i FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY r, i) > 1),
+edges AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM later),
+runs AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM edges),
+spans AS (SELECT r, min(i) AS start, max(i) + 100 AS stop FROM runs GROUP BY r, run),
+gaps AS (
+    SELECT r, start, stop, coalesce(lag(stop) OVER (PARTITION BY r ORDER BY start), 0) AS after, lead(start) OVER (PARTITION BY r ORDER BY start) AS next FROM spans),
+kept AS (
+    SELECT r, count(*) AS n_spans, sum(stop - start)::BIGINT AS n_removed,
+        string_agg(substr(h, 2 * after + 1, 2 * (start - after)), '' ORDER BY start) || substr(any_value(h), 2 * max(stop) + 1) AS h
+    FROM gaps JOIN sized USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.h, s.h))) AS kept_sha256
+FROM sized s LEFT JOIN kept k USING (r)
+"""
+
+
+@query("op11_suffix_array_dedup", OP11_SQL)
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.without_repeats(table(spark, sf_dir, "documents"), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 #: The unsigned CRC-32 of ASCII text {0}, in DuckDB.
 CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda ch: ascii(ch)::BIGINT)),
     lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
@@ -247,9 +274,11 @@ damaged AS (
 ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS no FROM damaged),
 faulty AS (
     SELECT *, role[1:1] AS initial, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY no) AS before,
-        CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b'
+        CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b'
             WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY no) > 1 THEN 'd'
-            WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 't' ELSE '' END AS fault
+            WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 't' ELSE '' END AS fault
     FROM ordered),
 counted AS (
     SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
