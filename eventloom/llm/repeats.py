@@ -15,8 +15,9 @@ equal offsets, so only windows whose anchors occur twice can repeat.
 4. A document's repeating windows are joined into maximal repeats.
 
 Occurrences meet counts, never each other, so a passage in a third of all
-documents costs no more than other text. Texts are found again by doc_id and a
-hash of the text, so rows that share a doc_id stay apart.
+documents costs no more than other text. Equal rows are one text with a number of
+copies; texts that share a doc_id are told apart by a number. Spans go to the texts
+where they are measured to be small.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.llm.texts import distinct_texts, lists_of, with_lists
 from eventloom.llm.words import Runs, bytes_of, signed, slices, word_hashes, words_of
 from eventloom.session import durable
 
@@ -72,11 +74,11 @@ def _anchors(length: int, seed: int):
                     signed(seeds[anchor[lo]]),
                     signed(stretch),
                     part.column("doc_id").take(pa.array(text[lo])),
-                    part.column("text_key").take(pa.array(text[lo])),
+                    part.column("text_no").take(pa.array(text[lo])),
                     pa.array((start[lo] - base).astype(np.int32)),
                     pa.array((start[hi] - base).astype(np.int32)),
                 ],
-                ["anchor", "stretch", "doc_id", "text_key", "first_window", "last_window"],
+                ["anchor", "stretch", "doc_id", "text_no", "first_window", "last_window"],
             )
 
     return run
@@ -105,10 +107,10 @@ def _windows(length: int):
                 [
                     signed(runs(start, start + length)),
                     part.column("doc_id").take(pa.array(row)),
-                    part.column("text_key").take(pa.array(row)),
+                    part.column("text_no").take(pa.array(row)),
                     pa.array(window.astype(np.int32)),
                 ],
-                ["window", "doc_id", "text_key", "at"],
+                ["window", "doc_id", "text_no", "at"],
             )
 
     return run
@@ -135,6 +137,7 @@ def _cut(length: int):
             removed = np.diff(np.append(0, np.cumsum(gone))[words.first]) if len(gone) else np.zeros(part.num_rows, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
+                    part.column("copies"),
                     part.column("doc_id"),
                     pa.array(words.counts),
                     pa.array(removed),
@@ -142,7 +145,7 @@ def _cut(length: int):
                     pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
                     pa.array(repeats, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
                 ],
-                ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256", "repeats"],
+                ["copies", "doc_id", "n_words", "n_removed", "kept_text", "kept_sha256", "repeats"],
             )
 
     return run
@@ -153,35 +156,48 @@ def _repeated(rows: DataFrame, key: str) -> DataFrame:
     return durable(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
 
 
-def _by_text(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first_window", "last_window")).alias("spans"))
-
-
 def repeated_windows(docs: DataFrame, length: int = 35, seed: int = SEED) -> DataFrame:
-    """``(doc_id, text_key, first_window, last_window)``: stretches of windows that start elsewhere too.
+    """``(doc_id, text_no, first_window, last_window)``: stretches of windows that start elsewhere too.
 
-    ``docs`` has ``doc_id``, ``text`` and ``text_key``.
+    ``docs`` has ``doc_id``, ``text`` and ``text_no`` and no row twice.
     """
     if not 0 < seed <= length:
         raise ValueError("the seed must fit into the window")
-    schema = "anchor long, stretch long, doc_id long, text_key long, first_window int, last_window int"
+    schema = "anchor long, stretch long, doc_id long, text_no int, first_window int, last_window int"
+    docs = docs.select("doc_id", "text_no", "text")
     found = docs.mapInArrow(_anchors(length, seed), schema)
     extent = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("stretch").alias("low"), F.max("stretch").alias("high"))
     # Stored, so that the join has its own exchange and can split a hot anchor.
     extent = durable(extent.where("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("same")))
-    found = durable(found.join(extent, "anchor").select("doc_id", "text_key", "first_window", "last_window", "same"))
+    found = durable(found.join(extent, "anchor").select("doc_id", "text_no", "first_window", "last_window", "same"))
 
-    unsure = _by_text(found.where("not same"))
-    schema = "window long, doc_id long, text_key long, at int"
-    windows = _joined(docs, unsure, "inner").mapInArrow(_windows(length), schema)
-    sure = windows.join(_repeated(windows, "window"), "window").select("doc_id", "text_key", F.col("at").alias("first_window"), F.col("at").alias("last_window"))
+    unsure = _spans(found.where("not same").drop("same"), length)
+    schema = "window long, doc_id long, text_no int, at int"
+    windows = with_lists(docs, unsure, "inner").mapInArrow(_windows(length), schema)
+    sure = windows.join(_repeated(windows, "window"), "window").select("doc_id", "text_no", F.col("at").alias("first_window"), F.col("at").alias("last_window"))
     return found.where("same").drop("same").unionByName(sure)
 
 
-def _joined(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    of = spans.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "spans")
-    both = docs.join(of, docs["doc_id"].eqNullSafe(of["_doc"]) & (docs["text_key"] == of["_key"]), how)
-    return both.select("doc_id", "text_key", "text", "spans")
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's stretches of windows, those that meet joined into one."""
+    for batch in batches:
+        row, lo, hi = _flat(batch.column("spans"))
+        order = np.lexsort((lo, row))
+        row, lo, hi = row[order], lo[order], hi[order]
+        out = [[] for _ in range(batch.num_rows)]
+        for r, a, b in zip(row.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            if out[r] and a <= out[r][-1]["last_window"] + 1:
+                out[r][-1]["last_window"] = max(b, out[r][-1]["last_window"])
+            else:
+                out[r].append({"first_window": a, "last_window": b})
+        kind = pa.list_(pa.struct([("first_window", pa.int32()), ("last_window", pa.int32())]))
+        yield batch.drop_columns(["spans"]).append_column("spans", pa.array(out, kind))
+
+
+def _spans(rows: DataFrame, length: int) -> DataFrame:
+    """``(doc_id, text_no, spans)``: each text's stretches of windows, joined where they meet."""
+    lists = lists_of(rows.withColumn("span", F.struct("first_window", "last_window")), "span", "spans")
+    return lists.mapInArrow(_merged, "doc_id long, text_no int, spans array<struct<first_window: int, last_window: int>>")
 
 
 def without_repeats(docs: DataFrame, length: int = 35, seed: int = SEED) -> DataFrame:
@@ -196,7 +212,19 @@ def without_repeats(docs: DataFrame, length: int = 35, seed: int = SEED) -> Data
     rows count as occurrences of each other, also with the same or a null doc_id.
     Further columns of ``docs`` are ignored. An empty table gives an empty result.
     """
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    spans = _by_text(repeated_windows(docs, length, seed))
+    texts = distinct_texts(docs)
+    spans = _spans(repeated_windows(texts, length, seed), length)
     schema = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, repeats array<struct<start: int, stop: int>>"
-    return _joined(docs, spans, "left").mapInArrow(_cut(length), schema)
+    out = with_lists(texts, spans, "left").mapInArrow(_cut(length), f"copies long, {schema}")
+    # All windows of a text that is there twice repeat.
+    out = out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    whole = (F.col("copies") > 1) & (F.col("n_words") >= length)
+    all_of_it = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("stop")))
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.when(whole, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(whole, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
+        F.when(whole, F.sha2(F.lit(b""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+        F.when(whole, all_of_it).otherwise(F.col("repeats")).alias("repeats"),
+    )
