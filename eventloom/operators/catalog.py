@@ -127,22 +127,32 @@ def catalog_rows(classified: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
+def with_ids(added: DataFrame, highest: int) -> DataFrame:
+    """Rows of ``catalog_rows`` with ids after ``highest``, in arrival order."""
+    return numbered(added, [], [F.col("row_id")]).withColumn("id", F.lit(highest).cast("bigint") + F.col("row_no")).drop("row_id", "row_no")
+
+
+def insert_added(catalog: DataFrame, added: DataFrame) -> DataFrame:
+    """The catalog with the rows that ``classify_save`` found to be new; no second search for them."""
+    highest = catalog.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    fresh = with_ids(added, highest)
+    return catalog.unionByName(fresh.select(*[c for c in catalog.columns if c in fresh.columns]), allowMissingColumns=True)
+
+
 def new_catalog_rows(catalog: DataFrame, incoming: DataFrame) -> DataFrame:
     """The incoming rows whose exact title and date are new, in catalog columns.
 
-    Ids continue after the highest existing one in arrival order. Appending these
-    rows to the stored catalog is all a merge has to write.
+    Ids continue after the highest existing one in arrival order. For rows that ``classify_save``
+    has not seen; it has searched the winners already.
     """
     incoming = durable(incoming)  # read for the winners and for their content
-    winners = _first_arrivals(incoming.select("row_id", *KEY), catalog)
-    order = numbered(winners, [], [F.col("row_id")])
-    highest = catalog.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    fresh = incoming.join(order, "row_id").withColumn("id", highest + F.col("row_no"))
+    winners = incoming.join(_first_arrivals(incoming.select("row_id", *KEY), catalog), "row_id")
+    fresh = with_ids(winners, catalog.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
     return fresh.select(*[c for c in catalog.columns if c in fresh.columns])
 
 
 def merge_catalog(catalog: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The catalog with the new rows inserted."""
+    """The catalog with the new rows of ``incoming`` inserted."""
     return catalog.unionByName(new_catalog_rows(catalog, incoming), allowMissingColumns=True)
 
 
@@ -194,3 +204,33 @@ def run_summary(classified: DataFrame, pages: DataFrame, *, as_of: datetime | st
         .withColumn("run_timestamp", ntz(moment(as_of)))
         .drop("months")
     )
+
+
+def run_log(sites: DataFrame, summary: DataFrame, outcomes: DataFrame, *, as_of: datetime | str) -> DataFrame:
+    """One row per source of a run's ``sites`` (site_key), whether it succeeded or not.
+
+    ``outcomes`` has source, success, error_message and duration_seconds as the fetcher saw
+    them, and counts come from ``run_summary``. A site that failed has zero counts, and so has one
+    without events; a site without an outcome did not run and counts as failed.
+    """
+    known = outcomes.select("source", "success", "error_message", "duration_seconds")
+    counts = summary.select("source", "events_found", "events_added")
+    done = F.coalesce("success", F.lit(False))
+
+    def count(name: str) -> Column:
+        return F.when(done, F.coalesce(name, F.lit(0).cast("bigint"))).otherwise(0).cast("bigint").alias(name)
+
+    return (
+        sites.select(F.col("site_key").alias("source"))
+        .join(known, "source", "left")
+        .join(counts, "source", "left")
+        .select(
+            "source",
+            ntz(moment(as_of)).alias("run_timestamp"),
+            count("events_found"),
+            count("events_added"),
+            done.alias("success"),
+            F.when(F.col("success").isNull(), "not run").when(~F.col("success"), F.col("error_message")).alias("error_message"),
+            "duration_seconds",
+        )
+    )

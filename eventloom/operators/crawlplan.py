@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.times import moment
-from eventloom.session import durable
+from eventloom.session import scratch_path
 
 
 def _filled(text: Column, values: dict[str, Column]) -> Column:
@@ -91,19 +91,27 @@ def advance_frontier(answers: DataFrame, visited: DataFrame, registry: DataFrame
 def follow_links(starts: DataFrame, links: DataFrame, registry: DataFrame) -> DataFrame:
     """Pages reached over stored links (site_key, url, next_page_url), round by round.
 
-    The page limits of the registry end every crawl; the rounds go on until no site
-    has a next page. Each round's result is checkpointed, so the plan does not grow
-    with the rounds.
+    Each round follows the links of the last round's new pages only and appends what is new to a
+    scratch table, one folder a round; what was written is read but never written again, so bytes
+    written grow with the pages. The page limits of the registry end every crawl; the rounds go on
+    until no site has a next page.
     """
-    frontier = starts.select("site_key", "url", F.lit(1).alias("page_no"))
-    visited = durable(frontier)
-    frontier = visited
-    while True:
+    spark = starts.sparkSession
+    path = scratch_path(spark, "visited")
+    schema = "site_key STRING, url STRING, page_no INT"
+
+    def append(pages: DataFrame, number: int) -> DataFrame:
+        pages.select("site_key", "url", F.col("page_no").cast("int").alias("page_no")).write.parquet(f"{path}/round={number}")
+        return spark.read.schema(schema).parquet(f"{path}/round={number}")
+
+    number = 1
+    frontier = append(starts.select("site_key", "url").distinct().withColumn("page_no", F.lit(1)), number)
+    while not frontier.isEmpty():
         answers = frontier.join(links, ["site_key", "url"]).select("site_key", "page_no", "next_page_url")
-        frontier = durable(advance_frontier(answers, visited, registry))
-        if frontier.isEmpty():
-            return visited
-        visited = durable(visited.unionByName(frontier))
+        visited = spark.read.schema(f"{schema}, round INT").parquet(path)
+        number += 1
+        frontier = append(advance_frontier(answers, visited, registry), number)
+    return spark.read.schema(f"{schema}, round INT").parquet(path).drop("round")
 
 
 def crawl_estimate(registry: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.text import title_key
@@ -58,20 +58,14 @@ def dedup_in_page(events: DataFrame) -> DataFrame:
     """On pages of several chunks keep the first event of each title; drop untitled ones.
 
     A page whose first chunk is also its last was read in one go and stays as it
-    is, which each row shows by itself.
+    is, which each row shows by itself. The rows are read once and sorted by page and title
+    only; a row that stays anyway is a group of its own.
     """
     single = F.coalesce((F.col("chunk_no") == 1) & F.col("is_last"), F.lit(False))
-    rest = [c for c in events.columns if c not in ("page_id", "chunk_no", "pos")]
-    first = F.min(F.struct("chunk_no", "pos", *rest)).alias("first")
-    merged = (
-        events.where(~single)
-        .withColumn("title_key", title_key(F.col("title")))
-        .where(F.col("title_key") != "")
-        .groupBy("page_id", "title_key")
-        .agg(first)
-        .select("page_id", "first.*")
-    )
-    return events.where(single).unionByName(merged)
+    marked = events.withColumn("_key", title_key(F.col("title"))).withColumn("_alone", F.when(single, F.col("pos")))
+    first = Window.partitionBy("page_id", "_key", "_alone").orderBy("chunk_no", "pos")
+    kept = marked.where((F.col("_key") != "") | F.col("_alone").isNotNull()).withColumn("_no", F.row_number().over(first))
+    return kept.where(F.col("_no") == 1).drop("_key", "_alone", "_no")
 
 
 def next_page(parsed: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def run_stats(runs: DataFrame) -> DataFrame:
     return (
         runs.groupBy("source")
         .agg(
-            F.count("id").alias("total_runs"),
+            F.count("*").alias("total_runs"),
             F.count_if("success").alias("successful_runs"),
             F.coalesce(F.sum(F.when(yielding, F.col("events_found"))), F.lit(0)).alias("found"),
             F.count_if(yielding).alias("yielding"),
@@ -65,7 +65,7 @@ def run_stats(runs: DataFrame) -> DataFrame:
             "source",
             "total_runs",
             "successful_runs",
-            (F.col("successful_runs") / F.col("total_runs") * 100).alias("success_rate"),
+            (F.try_divide("successful_runs", "total_runs") * 100).alias("success_rate"),
             (F.col("found") / F.greatest("yielding", F.lit(1))).alias("avg_events"),
             "avg_duration",
             "latest.*",

@@ -2,23 +2,23 @@
 
 A completer takes one request (text) and returns the answer with its token
 counts; it runs inside tasks and does its own retrying. A failed call becomes a
-row with ``error`` set and never fails the job. Write the result to a table and
-read that: a second evaluation would call the model again.
+row with ``error`` set and never fails the job. A second evaluation would call the
+model again, so answers go through ``sources.answers.AnswerStore``.
 """
 
 from __future__ import annotations
 
-import json
-import re
 import time
 from collections.abc import Callable, Iterator
-from typing import NamedTuple
+from datetime import UTC, datetime
+from typing import TYPE_CHECKING, NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.functions.times import ntz
+if TYPE_CHECKING:
+    from eventloom.sources.answers import AnswerStore
 
 
 class Completion(NamedTuple):
@@ -29,7 +29,10 @@ class Completion(NamedTuple):
 
 Completer = Callable[[str], Completion]
 
-ANSWER = "content STRING, prompt_tokens BIGINT, completion_tokens BIGINT, duration_seconds DOUBLE, error STRING"
+#: ``asked_at`` is the moment of the call (UTC), measured where it is made.
+ANSWER = (
+    "content STRING, prompt_tokens BIGINT, completion_tokens BIGINT, duration_seconds DOUBLE, error STRING, asked_at TIMESTAMP_NTZ"
+)
 
 
 def complete(
@@ -48,13 +51,13 @@ def complete(
         for batch in batches:
             answers = []
             for text in batch["prompt"]:
-                began = time.monotonic()
+                began, asked_at = time.monotonic(), datetime.now(UTC).replace(tzinfo=None)
                 try:
                     answer, error = completer(text), None
                 except Exception as failure:  # recorded, the other requests go on
                     answer, error = Completion(None), str(failure)
-                answers.append((*answer, time.monotonic() - began, error))
-            columns = ["content", "prompt_tokens", "completion_tokens", "duration_seconds", "error"]
+                answers.append((*answer, time.monotonic() - began, error, asked_at))
+            columns = ["content", "prompt_tokens", "completion_tokens", "duration_seconds", "error", "asked_at"]
             out = pd.DataFrame(answers, columns=columns, index=batch.index).astype(
                 {"prompt_tokens": "Int64", "completion_tokens": "Int64"}
             )
@@ -63,17 +66,28 @@ def complete(
     return spread.mapInPandas(run, f"{key_schema}, {ANSWER}")
 
 
-def infer_chunks(prompts: DataFrame, completer: Completer, *, partitions: int | None = None) -> DataFrame:
-    """Extraction answers per chunk: content, tokens, duration and error."""
-    keys = [c for c in ("site_key", "page_id", "chunk_no", "is_last") if c in prompts.columns]
-    return complete(prompts, keys, completer, partitions=partitions)
+#: What a chunk's extraction request is known by.
+CHUNK_KEYS = "site_key STRING, page_id BIGINT, chunk_no BIGINT, is_last BOOLEAN"
 
 
-def call_log(answers: DataFrame, *, as_of, provider: str, model: str, call_type: str, api_key_label: str) -> DataFrame:
-    """Answers as rows for the usage and error logs."""
+def infer_chunks(prompts: DataFrame, store: AnswerStore, completer: Completer, *, partitions: int | None = None) -> DataFrame:
+    """Extraction answers per chunk: content, tokens, duration, error and time of the call.
+
+    ``store`` has ``CHUNK_KEYS``; requests it can answer are not sent again.
+    """
+    return store.complete(prompts, completer, partitions=partitions)
+
+
+def call_log(answers: DataFrame, keys: list[str], *, provider: str, model: str, call_type: str, api_key_label: str) -> DataFrame:
+    """Answers as rows for the usage and error logs, each with its own time.
+
+    ``call_key`` names the call the same way in every replay: its request and when it was sent.
+    """
     labels = {"provider": provider, "model": model, "call_type": call_type, "api_key_label": api_key_label}
     return answers.select(
-        ntz(as_of).alias("timestamp"),
+        *keys,
+        F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in (*keys, "prompt_hash", "asked_at")])).alias("call_key"),
+        F.col("asked_at").alias("timestamp"),
         *[F.lit(value).alias(name) for name, value in labels.items()],
         "prompt_tokens",
         "completion_tokens",
@@ -81,25 +95,3 @@ def call_log(answers: DataFrame, *, as_of, provider: str, model: str, call_type:
         "error",
         F.col("error").alias("error_text"),
     )
-
-
-_ISO_DAY = re.compile(r"\d{4}-\d{2}-\d{2}")
-_SCORE_ID = re.compile(r'"id":(\d+)')
-
-
-def offline_completer(prompt: str) -> Completion:
-    """A deterministic stand-in for a model, for tests and dry runs.
-
-    Extraction requests get one event per line with an ISO day, score requests one
-    score per listed id, anything else a one-line summary.
-    """
-    _, is_page, page = prompt.partition("PAGE TEXT:\n")
-    if is_page:
-        lines = [(line, _ISO_DAY.search(line)) for line in page.splitlines()]
-        events = [{"title": line[: day.start()].strip(" -|") or line, "date": day[0]} for line, day in lines if day]
-        content = json.dumps({"events": events, "next_page_url": None})
-    elif ids := _SCORE_ID.findall(prompt):
-        content = json.dumps([{"id": int(i), "score": int(i) % 11 / 10} for i in ids])
-    else:
-        content = f"Summary of {len(prompt.splitlines())} lines"
-    return Completion(content, int(len(prompt) / 2.2), int(len(content) / 2.2))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.ordering import running_total
-from eventloom.functions.times import hours
+from eventloom.functions.times import floor_to, hours, ntz, since
 from eventloom.operators.usage import PAIR, call_tokens
+from eventloom.session import broadcast_if_small, durable
 
 # Defaults for unknown models and the decision thresholds.
 FALLBACK_TPM, FALLBACK_TPD = 6000, 100_000
@@ -53,12 +56,18 @@ def limit_parse(errors: DataFrame) -> DataFrame:
     )
 
 
+def _minute(ts: Column) -> Column:
+    return floor_to("minute", ts)
+
+
 def limit_usage_join(errors: DataFrame, calls: DataFrame) -> DataFrame:
     """Tokens the error's key and model used in the 60 seconds and 24 hours up to the error.
 
-    A range join would pair each error with a day of calls. Instead calls and three
-    probe points per error (now, a minute ago, a day ago) share one timeline with a
-    running total; usage is the difference between two probes of an error.
+    A range join would pair each error with a day of calls. Instead an error has three
+    probe points (now, a minute ago, a day ago), and usage is the difference of running
+    totals at two of them. The total has two levels: whole minutes, summed up on the map side
+    and then added up over time, and the raw calls of the probes' own minutes, which alone
+    are looked at one by one. Only calls of the errors' keys, models and days are read.
     """
     at = F.col("timestamp")
     zero = F.lit(0).cast("bigint")
@@ -72,22 +81,28 @@ def limit_usage_join(errors: DataFrame, calls: DataFrame) -> DataFrame:
             F.struct(F.lit("day").alias("probe"), (at - hours(24)).alias("ts"), F.lit(before).alias("rank")),
         )
     )
-    probes = errors.select("id", *PAIR, points.alias("p")).select("id", *PAIR, "p.*", zero.alias("tokens"))
-    spent = calls.select(
-        "id",
-        *PAIR,
-        F.lit(None).cast("string").alias("probe"),
-        at.alias("ts"),
-        F.lit(call).alias("rank"),
-        F.coalesce(call_tokens(), zero).alias("tokens"),
+    probes = durable(errors.select("id", *PAIR, points.alias("p")).select("id", *PAIR, "p.*", _minute(F.col("p.ts")).alias("minute")))
+    first, last = probes.agg(F.min("ts"), F.max("ts")).first()
+    nothing = F.lit(None).cast("string").alias("probe")
+    if first is None:
+        return errors.withColumns({c: zero for c in ("tokens_60s", "tokens_24h")})
+    asked = broadcast_if_small(durable(probes.select(*PAIR).distinct()))
+    in_time = since(calls, "timestamp", _minute_of(first)).where(at <= ntz(last))
+    spent = in_time.select("id", *PAIR, at.alias("ts"), _minute(at).alias("minute"), F.coalesce(call_tokens(), zero).alias("tokens"))
+    spent = spent.join(asked, PAIR, "left_semi")
+
+    by_minute = spent.groupBy(*PAIR, "minute").agg(F.sum("tokens").alias("tokens")).select(*PAIR, "minute", F.lit(call).alias("rank"), "tokens")
+    marks = durable(probes.select(*PAIR, "minute").distinct())
+    minutes = by_minute.unionByName(marks.select(*PAIR, "minute", F.lit(before).alias("rank"), zero.alias("tokens")))
+    until = running_total(minutes, PAIR, [F.col("minute"), F.col("rank")], F.col("tokens"), "earlier").where(F.col("rank") == before)
+
+    edges = spent.join(broadcast_if_small(marks), [*PAIR, "minute"], "left_semi").select(
+        F.col("id").cast(dict(errors.dtypes)["id"]).alias("id"), *PAIR, "minute", nothing, "ts", F.lit(call).alias("rank"), "tokens"
     )
-    total = running_total(
-        probes.unionByName(spent),
-        PAIR,
-        [F.col("ts"), F.col("rank"), F.col("id"), F.col("probe")],
-        F.col("tokens"),
-        "total",
-    ).where(F.col("probe").isNotNull())
+    line = probes.withColumn("tokens", zero).unionByName(edges)
+    order = [F.col("ts"), F.col("rank"), F.col("id"), F.col("probe")]
+    total = running_total(line, [*PAIR, "minute"], order, F.col("tokens"), "inside").where(F.col("probe").isNotNull())
+    total = total.join(until.select(*PAIR, "minute", "earlier"), [*PAIR, "minute"]).withColumn("total", F.col("earlier") + F.col("inside"))
 
     def seen(probe: str) -> Column:
         return F.max(F.when(F.col("probe") == probe, F.col("total")))
@@ -98,6 +113,10 @@ def limit_usage_join(errors: DataFrame, calls: DataFrame) -> DataFrame:
     return errors.join(used, "id", "left").withColumns({c: F.coalesce(c, zero) for c in ("tokens_60s", "tokens_24h")})
 
 
+def _minute_of(moment: datetime) -> datetime:
+    return moment.replace(second=0, microsecond=0)
+
+
 def limit_classify(errors: DataFrame, calls: DataFrame, limits: DataFrame) -> DataFrame:
     """Daily or per-minute limit, and the wait.
 
@@ -135,3 +154,18 @@ def error_classify(errors: DataFrame) -> DataFrame:
     for code in ("413", "503", "400"):  # the last one tested first
         kind = F.when(F.contains("error_text", F.lit(code)), f"error_{code}").otherwise(kind)
     return errors.withColumn("classified_as", kind)
+
+
+def error_rows(failures: DataFrame, calls: DataFrame, limits: DataFrame) -> DataFrame:
+    """Failed calls as rows of the error log: their class and, for limit errors, the seconds to wait.
+
+    ``failures`` has call_key, timestamp, key, model and error_text (``inference.call_log``) and, if the
+    caller knows the status of the answer, ``is_limit``; else an error is a limit error if its text says 429.
+    """
+    known = "is_limit" in failures.columns
+    limited = F.coalesce(F.col("is_limit") if known else F.contains("error_text", F.lit("429")), F.lit(False))
+    rows = failures.select(F.col("call_key").alias("id"), "timestamp", *PAIR, "error_text", limited.alias("is_limit"))
+    columns = ["id", "timestamp", *PAIR, "classified_as", "retry_after_sec"]
+    hit = limit_classify(rows.where("is_limit").drop("is_limit"), calls, limits).select(*columns)
+    other = error_classify(rows.where("NOT is_limit")).withColumn("retry_after_sec", F.lit(None).cast("bigint")).select(*columns)
+    return hit.unionByName(other).join(rows.select("id", "error_text"), "id").withColumnRenamed("id", "call_key")

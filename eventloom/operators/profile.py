@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 from eventloom.functions.ordering import numbered
 from eventloom.functions.text import clip, nullif_empty, one_line, strip
 from eventloom.functions.times import ntz
+from eventloom.operators.inference import Completer
+from eventloom.session import durable
+from eventloom.sources.answers import AnswerStore
 
 SUMMARY_THRESHOLD = 10
 SUMMARY_MAX_CHARS = 10_000
-LINES_PER_PART = 500
+#: Clicks in one summary request of ``fold_summaries``; more of them take more requests in a row.
+LINES_PER_REQUEST = 200
+#: What a summary request is known by.
+SUMMARY_KEYS = "user_id BIGINT, part_no BIGINT"
 
 
 def _problem(clicks: DataFrame) -> Column:
@@ -29,16 +35,24 @@ def _problem(clicks: DataFrame) -> Column:
     )
 
 
-def _accepted(clicks: DataFrame) -> DataFrame:
+def accepted(clicks: DataFrame, *more: str) -> DataFrame:
+    """Well-formed clicks with typed columns."""
     return clicks.where(_problem(clicks).isNull()).select(
         "click_id",
         "user_id",
         F.col("event_id").cast("bigint").alias("event_id"),
         F.col("interested").cast("boolean").alias("interested"),
         "created_at",
+        *more,
     )
 
 
+def rejected(clicks: DataFrame) -> DataFrame:
+    """Malformed clicks, with the reason."""
+    problem = _problem(clicks)
+    return clicks.where(problem.isNotNull()).withColumn("reason", problem)
+
+
 def feedback_snapshot(clicks: DataFrame, catalog: DataFrame) -> DataFrame:
     """Clicks with the event's content at click time, so they outlive the event."""
     events = catalog.select(
@@ -49,8 +63,9 @@ def feedback_snapshot(clicks: DataFrame, catalog: DataFrame) -> DataFrame:
         F.col("category").alias("event_category"),
         F.col("venue").alias("event_venue"),
     )
+    more = [c for c in ("new_no",) if c in clicks.columns]
     return (
-        _accepted(clicks)
+        accepted(clicks, *more)
         .join(events, "event_id")
         .select(
             "click_id",
@@ -63,16 +78,16 @@ def feedback_snapshot(clicks: DataFrame, catalog: DataFrame) -> DataFrame:
             "event_venue",
             "interested",
             "created_at",
+            *more,
         )
     )
 
 
 def feedback_rejects(clicks: DataFrame, catalog: DataFrame) -> DataFrame:
     """Clicks that were not recorded, with the reason."""
-    problem = _problem(clicks)
-    malformed = clicks.where(problem.isNotNull()).select("click_id", "user_id", problem.alias("reason"))
+    malformed = rejected(clicks).select("click_id", "user_id", "reason")
     ids = catalog.select(F.col("id").alias("event_id"))
-    orphans = _accepted(clicks).join(ids, "event_id", "left_anti")
+    orphans = accepted(clicks).join(ids, "event_id", "left_anti")
     return malformed.unionByName(orphans.select("click_id", "user_id", F.lit("Event not found").alias("reason")))
 
 
@@ -97,24 +112,24 @@ def recent_history(history: DataFrame, *, n: int = 10) -> DataFrame:
     return history.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= n)
 
 
+def recorded_clicks(clicks: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The clicks that ``feedback_snapshot`` keeps, still without content."""
+    return accepted(clicks).join(catalog.select(F.col("id").alias("event_id")), "event_id", "left_semi")
+
+
 def recent_feedback_n(feedback: DataFrame, profile: DataFrame) -> DataFrame:
-    """Each user's clicks since the last summary.
+    """Each user's clicks since the last summary, numbered from the oldest one (``new_no``).
 
     These are the newest ``total - counted`` ones, which is all but the oldest
-    ``counted``, so numbering from the oldest is enough.
+    ``counted``, so numbering from the oldest is enough. ``feedback`` is read once; hand in
+    ``recorded_clicks`` and attach the content last to keep the numbered rows narrow.
     """
-    order = numbered(
-        feedback.select("user_id", "created_at", "click_id"), ["user_id"], [F.col("created_at"), F.col("click_id")]
-    )
+    order = numbered(feedback, ["user_id"], [F.col("created_at"), F.col("click_id")])
     counted = profile.select(
         "user_id", F.coalesce("feedback_count_at_last_summary", F.lit(0)).alias("_counted")
     )
-    fresh = (
-        order.join(counted, "user_id")
-        .where(F.col("row_no") > F.col("_counted"))
-        .select("click_id", (F.col("row_no") - F.col("_counted")).alias("new_no"))
-    )
-    return feedback.join(fresh, "click_id")
+    fresh = order.join(counted, "user_id").where(F.col("row_no") > F.col("_counted"))
+    return fresh.select(*feedback.columns, (F.col("row_no") - F.col("_counted")).alias("new_no"))
 
 
 def summary_due(feedback: DataFrame, profile: DataFrame, *, threshold: int = SUMMARY_THRESHOLD) -> DataFrame:
@@ -129,30 +144,24 @@ def summary_due(feedback: DataFrame, profile: DataFrame, *, threshold: int = SUM
     )
 
 
-def feedback_lists(new_feedback: DataFrame, *, lines_per_part: int = LINES_PER_PART) -> DataFrame:
+def feedback_lists(new_feedback: DataFrame, *, lines_per_part: int | None = None) -> DataFrame:
     """Liked and disliked events as bullet text, newest first.
 
-    One row per user and part. A part has at most ``lines_per_part`` clicks; a
-    user's parts in order make up the whole lists.
+    ``new_feedback`` is numbered as by ``recent_feedback_n``. One row per user with all of them, or
+    with ``lines_per_part`` one per user and part of so many clicks, the oldest ones in part 0.
     """
-    order = numbered(
-        new_feedback.select("user_id", "created_at", "click_id"),
-        ["user_id"],
-        [F.desc("created_at"), F.desc("click_id")],
-    )
     about = one_line(clip(F.coalesce("event_description", F.lit("")), 100))
     line = F.concat(
         F.lit('- "'), F.coalesce("event_title", F.lit("None")), F.lit('" ('), F.coalesce("event_source", F.lit("None")),
         F.lit(") -- "), about,
     )
-    rows = (
-        new_feedback.select("click_id", "interested", line.alias("line"))
-        .join(order.select("user_id", "click_id", "row_no"), "click_id")
-        .withColumn("part_no", F.floor((F.col("row_no") - 1) / lines_per_part).cast("bigint"))
+    part = F.floor((F.col("new_no") - 1) / lines_per_part) if lines_per_part else F.lit(0)
+    rows = new_feedback.select(
+        "user_id", "interested", (-F.col("new_no")).alias("age"), line.alias("line"), part.cast("bigint").alias("part_no")
     )
 
     def bullets(wanted: Column) -> Column:
-        picked = F.array_sort(F.collect_list(F.when(wanted, F.struct("row_no", "line"))))
+        picked = F.array_sort(F.collect_list(F.when(wanted, F.struct("age", "line"))))
         return F.coalesce(
             nullif_empty(F.array_join(F.transform(picked, lambda r: r["line"]), "\n")), F.lit("(none)")
         )
@@ -176,11 +185,7 @@ Write this user's preference profile.
 
 
 def summary_prompt(lists: DataFrame, due: DataFrame, profile: DataFrame) -> DataFrame:
-    """The summary request of each due user: an update if a summary exists, else a first one.
-
-    Part 0 is the request; further parts of very long lists follow it as
-    continuations.
-    """
+    """The summary request of each due user: an update if a summary exists, else a first one."""
     existing = nullif_empty(F.coalesce("preference_summary", F.lit("")))
     clicks = F.concat(
         F.lit("EVENTS THE USER LIKED:\n"), "liked", F.lit("\n\nEVENTS THE USER DISLIKED:\n"), "disliked", F.lit("\n\n")
@@ -192,22 +197,49 @@ def summary_prompt(lists: DataFrame, due: DataFrame, profile: DataFrame) -> Data
     return (
         lists.join(due.select("user_id"), "user_id", "left_semi")
         .join(profile.select("user_id", "preference_summary"), "user_id")
-        .select(
-            "user_id",
-            "part_no",
-            F.when(F.col("part_no") > 0, F.concat(F.lit("CONTINUED "), clicks))
-            .otherwise(F.coalesce(update, first))
-            .alias("prompt"),
-        )
+        .select("user_id", "part_no", F.coalesce(update, first).alias("prompt"))
     )
 
 
+def fold_summaries(
+    fresh: DataFrame, due: DataFrame, profile: DataFrame, store: AnswerStore, completer: Completer, *, lines_per_request: int = LINES_PER_REQUEST
+) -> DataFrame:
+    """One new summary (user_id, new_summary, total) of each due user, from all of the ``fresh`` clicks.
+
+    A user's clicks go out from the oldest on, ``lines_per_request`` at a time, and each
+    request starts from the summary that the last one gave. A round handles the next request of all
+    users who still have clicks, so there are as many rounds as the busiest user needs requests. A
+    user with a failed or empty answer gets no summary this time; the answers that ``store``
+    (``SUMMARY_KEYS``) has by then are used when the fold runs again.
+    """
+    due = durable(due)
+    lists = durable(feedback_lists(fresh.join(due.select("user_id"), "user_id", "left_semi"), lines_per_part=lines_per_request))
+    current = durable(profile.join(due.select("user_id", "total"), "user_id").select("user_id", "preference_summary", "total", F.lit(-1).cast("bigint").alias("last_part")))
+    last = lists.agg(F.coalesce(F.max("part_no"), F.lit(-1))).first()[0]
+    for part in range(last + 1):
+        # Users whose last answer failed stopped at an earlier part.
+        going = current.where(F.col("last_part") == part - 1)
+        answers = store.complete(summary_prompt(lists.where(F.col("part_no") == part), going, going), completer)
+        text = F.when(F.col("error").isNull(), nullif_empty(strip(F.coalesce("content", F.lit("")))))
+        good = answers.select("user_id", text.alias("_new")).where(F.col("_new").isNotNull())
+        step = F.when(F.col("_new").isNotNull(), F.lit(part).cast("bigint")).otherwise(F.col("last_part"))
+        current = durable(
+            current.join(good, "user_id", "left").select(
+                "user_id", F.coalesce("_new", "preference_summary").alias("preference_summary"), "total", step.alias("last_part")
+            )
+        )
+    ends = lists.groupBy("user_id").agg(F.max("part_no").alias("last_part"))
+    return current.join(ends, ["user_id", "last_part"]).select("user_id", F.col("preference_summary").alias("new_summary"), "total")
+
+
 def summary_apply(profile: DataFrame, summaries: DataFrame, *, as_of: datetime | str) -> tuple[DataFrame, DataFrame]:
     """Store new summaries (user_id, new_summary, total): the next profile and the rows to archive.
 
-    Empty summaries change nothing; an old summary is archived only if there was one.
+    Empty summaries change nothing; an old summary is archived only if there was one. Of
+    several summaries for a user the one that covers most clicks counts.
     """
-    fresh = summaries.where(F.col("new_summary") != "").select("user_id", "new_summary", "total")
+    best = F.max(F.struct("total", "new_summary")).alias("best")
+    fresh = summaries.where(F.col("new_summary") != "").groupBy("user_id").agg(best).select("user_id", "best.new_summary", "best.total")
     both = profile.join(fresh, "user_id", "left")
     replaced = F.col("new_summary").isNotNull()
     snapshot = both.select(

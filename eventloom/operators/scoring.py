@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from eventloom.functions.ordering import numbered
 from eventloom.functions.text import clip, nullif_empty, one_line, strip
 from eventloom.functions.times import ntz
-from eventloom.operators.inference import Completer, complete
+from eventloom.operators.inference import Completer
+from eventloom.sources.answers import AnswerStore
 
 BATCH_SIZE = 40
 
@@ -91,11 +92,16 @@ def score_prompt(batches: DataFrame, profiles: DataFrame, *, per: Sequence[str]
     return batches.join(known, list(per)).select(*per, "batch_no", "events", prompt.alias("prompt"))
 
 
-def score_infer(
-    prompts: DataFrame, completer: Completer, *, per: Sequence[str] = ("user_id",), partitions: int | None = None
-) -> DataFrame:
-    """One answer per batch; a failed batch is recorded and leaves the others alone."""
-    return complete(prompts, [*per, "batch_no"], completer, partitions=partitions).withColumnRenamed("content", "reply")
+#: What a score request is known by when each user has a profile.
+BATCH_KEYS = "user_id BIGINT, batch_no BIGINT"
+
+
+def score_infer(prompts: DataFrame, store: AnswerStore, completer: Completer, *, partitions: int | None = None) -> DataFrame:
+    """One answer per batch; a failed batch is recorded and leaves the others alone.
+
+    ``store`` is keyed by the batch (``BATCH_KEYS``), so batches it can answer are not sent again.
+    """
+    return store.complete(prompts, completer, partitions=partitions).withColumnRenamed("content", "reply")
 
 
 def _unfenced(reply: Column) -> Column:

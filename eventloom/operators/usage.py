@@ -44,7 +44,7 @@ def _pair_stats(calls: DataFrame, as_of: datetime | str, provider: str | None) -
         _window(calls, ago(as_of, hours=24), provider)
         .groupBy(*PAIR)
         .agg(
-            F.count("id").alias("calls"),
+            F.count("*").alias("calls"),
             F.coalesce(F.sum(call_tokens()), F.lit(0)).alias("tokens"),
             F.avg("duration_seconds").alias("avg_dur"),
             oldest.alias("oldest"),
@@ -141,7 +141,7 @@ def usage_daily(
     return (
         _window(calls, ago(as_of, days=days), provider)
         .groupBy(day.alias("local_day"), *PAIR)
-        .agg(F.count("id").alias("calls"), F.coalesce(F.sum(call_tokens()), F.lit(0)).alias("tokens"))
+        .agg(F.count("*").alias("calls"), F.coalesce(F.sum(call_tokens()), F.lit(0)).alias("tokens"))
     )
 
 
@@ -228,12 +228,12 @@ def usage_totals(calls: DataFrame, limits: DataFrame, *, provider: str | None =
         _of_provider(calls, provider)
         .groupBy("model")
         .agg(
-            F.count("id").alias("calls"),
+            F.count("*").alias("calls"),
             F.coalesce(F.sum(call_tokens()), F.lit(0)).alias("tokens"),
             F.avg("duration_seconds").alias("avg_dur"),
         )
         .join(limits.select("model", "tpd"), "model", "left")
-        .withColumn("tokens_per_call", F.col("tokens") / F.col("calls"))
+        .withColumn("tokens_per_call", F.try_divide("tokens", "calls"))
         .orderBy(F.desc("calls"), "model")
     )
 

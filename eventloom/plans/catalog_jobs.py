@@ -1,9 +1,11 @@
 """Jobs from extracted events to the catalog."""
 
-from eventloom.operators import catalog
+from pyspark.sql import functions as F
+
+from eventloom.operators import catalog, health
 from eventloom.plans.fixtures import CATALOG_AS_OF as AS_OF
 from eventloom.plans.jobs import job
-from eventloom.session import scratch_path
+from eventloom.session import durable, scratch_path
 from eventloom.sources import sinks, tables
 
 _TODAY = f"TIMESTAMP '{AS_OF}'"
@@ -83,7 +85,7 @@ def classify_save(x):
 )
 def merge_catalog(x):
     classed = catalog.prepare_events(x.extracted, x.catalog, as_of=AS_OF)
-    return catalog.merge_catalog(x.catalog, catalog.catalog_rows(classed, x.registry))
+    return catalog.insert_added(x.catalog, catalog.catalog_rows(classed, x.registry))
 
 
 @job("purge_unpinned", "fx_catalog", sql="SELECT * FROM fx_catalog WHERE pinned")
@@ -127,15 +129,56 @@ def run_summary(x):
     return catalog.run_summary(classify_save(x), x.texts, as_of=AS_OF)
 
 
+# Every registered site runs; some fail, and some are not listed at all.
+_OUTCOMES = """
+outcomes AS (SELECT site_key AS source, wait_secs % 5 <> 2 AS success, CASE WHEN wait_secs % 5 = 2 THEN concat('no answer from ', url) END AS error_message,
+               wait_secs / 4 AS duration_seconds FROM fx_registry WHERE wait_secs % 7 <> 3)"""
+_RUN_LOG = f"""{_SUMMARY}, {_OUTCOMES.strip()},
+runs AS (SELECT site_key AS source, {_TODAY} AS run_timestamp, CASE WHEN success THEN coalesce(events_found, 0) ELSE 0 END AS events_found,
+           CASE WHEN success THEN coalesce(events_added, 0) ELSE 0 END AS events_added, coalesce(success, false) AS success,
+           CASE WHEN success IS NULL THEN 'not run' ELSE error_message END AS error_message, duration_seconds
+         FROM fx_registry r LEFT JOIN outcomes o ON r.site_key = o.source LEFT JOIN summary s ON r.site_key = s.source),
+logged AS (SELECT CAST('0x' || md5('run-1|' || source)[1:15] AS BIGINT) AS id, * FROM runs UNION ALL
+           SELECT CAST('0x' || md5('run-2|' || source)[1:15] AS BIGINT) AS id, * REPLACE (run_timestamp + INTERVAL 1 DAY AS run_timestamp) FROM runs)"""
+
+
+def logged_runs(x):
+    """The path of a run log after two runs, the second one logged twice."""
+    outcomes = x.registry.selectExpr(
+        "site_key AS source",
+        "wait_secs % 5 <> 2 AS success",
+        "CASE WHEN wait_secs % 5 = 2 THEN concat('no answer from ', url) END AS error_message",
+        "wait_secs / 4 AS duration_seconds",
+    ).where("wait_secs % 7 <> 3")
+    path = scratch_path(x.spark, "source_runs")
+    rows = durable(catalog.run_log(x.registry, run_summary(x), outcomes, as_of=AS_OF))
+    sinks.sink_run_log(rows, path, run="run-1")
+    tomorrow = rows.withColumn("run_timestamp", F.expr("run_timestamp + INTERVAL '1' DAY"))
+    for _ in range(2):
+        sinks.sink_run_log(tomorrow, path, run="run-2")
+    return path
+
+
+@job("sink_run_log", "fx_extracted", "fx_catalog", "fx_texts", "fx_registry", sql=f"WITH {_RUN_LOG.strip()} SELECT * FROM logged")
+def _run_log(x):
+    return tables.scan_table(x.spark, "source_runs", logged_runs(x)).drop("day")
+
+
 @job(
-    "sink_run_log",
+    "run_stats_logged",
     "fx_extracted",
     "fx_catalog",
     "fx_texts",
-    sql=f"""WITH {_SUMMARY.strip()} SELECT source, {_TODAY} AS run_timestamp, events_found, events_added, true AS success,
-              CAST(NULL AS VARCHAR) AS error_message, CAST(NULL AS DOUBLE) AS duration_seconds FROM summary""",
+    "fx_registry",
+    sql=f"""WITH {_RUN_LOG.strip()},
+    newest AS (SELECT * FROM logged WHERE run_timestamp > {_TODAY})
+    SELECT l.source, count(*) AS total_runs, count(*) FILTER (l.success) AS successful_runs, count(*) FILTER (l.success) / count(*) * 100 AS success_rate,
+           coalesce(sum(CASE WHEN l.events_found > 0 THEN l.events_found END), 0) / greatest(count(*) FILTER (l.events_found > 0), 1) AS avg_events,
+           round(avg(l.duration_seconds), 6) AS avg_duration, any_value(n.run_timestamp) AS last_run, any_value(n.success) AS last_success,
+           any_value(n.events_found) AS last_events_found, any_value(n.events_added) AS last_events_added,
+           any_value(n.duration_seconds) AS last_duration, any_value(n.error_message) AS last_error
+    FROM logged l JOIN newest n ON l.source = n.source GROUP BY 1""",
 )
-def _run_log(x):
-    path = scratch_path(x.spark, "source_runs")
-    sinks.sink_run_log(run_summary(x), path)
-    return tables.scan_table(x.spark, "source_runs", path).drop("id", "day")
+def _logged_stats(x):
+    runs = tables.scan_table(x.spark, "source_runs", logged_runs(x))
+    return health.run_stats(runs).withColumn("avg_duration", F.round("avg_duration", 6))

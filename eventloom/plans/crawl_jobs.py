@@ -31,15 +31,39 @@ def _pages(x):
     return tables.scan_pages(x.spark, path)
 
 
+_EVERY_TABLE = {
+    "catalog": ("fx_catalog", "id", "title"),
+    "feedback": ("fx_feedback_clicks", "click_id", "created_at"),
+    "profile": ("fx_profile", "user_id", "taste_prompt"),
+    "profile_history": ("fx_profile_edits", "user_id", "created_at"),
+    "source_runs": ("fx_scraper_runs", "id", "source"),
+    "llm_calls": ("fx_llm_calls", "id", "model"),
+    "limit_errors": ("fx_limit_errors", "id", "api_key_label"),
+    "model_limits": ("fx_limits", "rpd", "model"),
+}
+_STORED_AS = {"fx_profile_edits": "edited_at AS created_at, user_id, content AS preference_summary"}
+
+
 @job(
     "scan_tables",
-    "fx_catalog",
-    sql="""SELECT *, CAST(NULL AS VARCHAR) AS price, CAST(NULL AS TIMESTAMP) AS created_at FROM fx_catalog""",
+    *dict.fromkeys(view for view, *_ in _EVERY_TABLE.values()),
+    sql=" UNION ALL ".join(
+        f"""SELECT '{name}' AS stored, {number} AS number, CAST({text} AS VARCHAR) AS label
+            FROM (SELECT {_STORED_AS.get(view, '*')} FROM {view})"""
+        for name, (view, number, text) in _EVERY_TABLE.items()
+    ),
 )
 def _tables(x):
-    path = scratch_path(x.spark, "catalog")
-    x.catalog.write.parquet(path)
-    return tables.scan_table(x.spark, "catalog", path)
+    out = None
+    for name, (view, number, text) in _EVERY_TABLE.items():
+        path = scratch_path(x.spark, name)
+        rows = getattr(x, view.removeprefix("fx_"))
+        rows = rows.selectExpr(*_STORED_AS[view].split(", ")) if view in _STORED_AS else rows
+        rows.write.parquet(path)
+        read = tables.scan_table(x.spark, name, path)
+        own = read.select(F.lit(name).alias("stored"), F.col(number).alias("number"), F.col(text).cast("string").alias("label"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 _SEED = ", ".join(
@@ -138,6 +162,29 @@ def _frontier(x):
     return crawlplan.advance_frontier(answers, visited, tables.scan_registry(x.registry))
 
 
+# Pages of a site link to each other: page k to pages further on, some to themselves, some to nothing.
+_LINKS = """
+CASE WHEN page_id % 13 = 0 THEN '/rel' WHEN page_id % 17 = 0 THEN NULL ELSE concat('https://ex.org/p/', page_id % 20 + 20 * (CAST(floor(page_id / 20) AS BIGINT) * 3 % 41)) END"""
+
+
+@job(
+    "follow_links",
+    "fx_pages",
+    "fx_registry",
+    sql=f"""WITH RECURSIVE links AS (SELECT site_key, concat('https://ex.org/p/', page_id) AS url, {_LINKS} AS next_page_url FROM fx_pages),
+    visited(site_key, url, page_no) AS (
+        SELECT DISTINCT site_key, url, 1 FROM links WHERE CAST(split_part(url, '/p/', 2) AS BIGINT) < 100
+        UNION
+        SELECT v.site_key, l.next_page_url, v.page_no + 1
+        FROM visited v JOIN links l ON v.site_key = l.site_key AND v.url = l.url JOIN fx_registry r ON r.site_key = v.site_key
+        WHERE starts_with(l.next_page_url, 'http') AND v.page_no < r.max_pages)
+    SELECT site_key, url, CAST(min(page_no) AS INT) AS page_no FROM visited GROUP BY 1, 2""",
+)
+def _follow(x):
+    links = x.pages.selectExpr("site_key", "page_id", "concat('https://ex.org/p/', page_id) AS url", f"{_LINKS.strip()} AS next_page_url")
+    return crawlplan.follow_links(links.where("page_id < 100"), links, tables.scan_registry(x.registry))
+
+
 @job(
     "crawl_estimate",
     "fx_registry",

@@ -76,7 +76,8 @@ VIEWS = {
         [
             "event_id AS click_id",
             "user_id",
-            "event_id % 1100 AS event_id",
+            # Spread over all events, a tenth of them beyond the last one.
+            "CAST(floor(event_id / 9) AS BIGINT) AS event_id",
             "event_type <> 'view' AS interested",
             "ts AS created_at",
         ],
@@ -126,15 +127,18 @@ VIEWS = {
         [
             "event_id AS page_id",
             "chunk_no",
-            "chunk_no = 3 AS is_last",
+            # Every eleventh page was read in one go.
+            "chunk_no = CASE WHEN event_id % 11 = 0 THEN 1 ELSE 3 END AS is_last",
             """CASE WHEN event_id % 10 = 0 AND chunk_no = 1
                     THEN concat('{"events":[{"title":"Show ', user_id, '","date":"2024-03-05"},{"title":"Cut ', event_id)
                     WHEN event_id % 10 = 1 AND chunk_no = 1 THEN 'not json'
+                    WHEN event_id % 11 = 0 THEN concat('{"events":[{"title":"Show ', user_id, '","date":"2024-03-05"},{"title":" show ', user_id, '"},{"title":" "}]}')
                     ELSE concat('{"events":[{"title":"Show ', user_id, '","date":"2024-03-05"},{"title":" SHOW ',
                                 user_id + chunk_no - 1, ' ","date":"2024-03-06"}],"next_page_url":',
                                 CASE WHEN event_id % 2 = 0 THEN 'null' ELSE '"https://ex.org/p2"' END, '}') END
                AS content""",
         ],
+        "chunk_no = 1 OR event_id % 11 <> 0",
     ),
     "fx_texts": View(
         "documents",
@@ -189,7 +193,7 @@ VIEWS = {
         "documents",
         [
             "doc_id AS edit_id",
-            "doc_id % 150 AS user_id",
+            "CAST(floor(doc_id / 6) AS BIGINT) AS user_id",
             "CASE WHEN doc_id % 2 = 0 THEN 'taste' ELSE 'summary' END AS field",
             "concat('  ', text, ' ') AS content",
             "TIMESTAMP_LIT + (doc_id % 1000) * INTERVAL '1' HOUR AS edited_at",
@@ -268,10 +272,16 @@ def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
 
 
+def _arriving_rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "documents_labels":
+        return arriving(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return arriving(spark, sf_dir, name)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str, *, stream: bool = False) -> DataFrame:
-    """A fixture view as a DataFrame, or as a stream where it reads one given table."""
+    """A fixture view as a DataFrame, or as a stream where it reads one given table, with labels at rest."""
     v = VIEWS[name]
-    df = arriving(spark, sf_dir, v.table) if stream else _rows(spark, sf_dir, v.table)
+    df = _arriving_rows(spark, sf_dir, v.table) if stream else _rows(spark, sf_dir, v.table)
     if v.where:
         df = df.where(v.where)
     spark_text = [

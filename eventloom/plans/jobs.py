@@ -46,7 +46,10 @@ def job(name: str, *views: str, sql: str | None = None):
             text = sql.strip()
             if views:
                 clause = fixtures.ctes(*views)
-                text = f"{clause},\n{text[5:]}" if text.startswith("WITH ") else f"{clause}\n{text}"
+                if text.startswith("WITH RECURSIVE "):
+                    text = f"WITH RECURSIVE {clause[5:]},\n{text[15:]}"
+                else:
+                    text = f"{clause},\n{text[5:]}" if text.startswith("WITH ") else f"{clause}\n{text}"
             CHECKS[name] = text
         return build
 

@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from eventloom.operators import profile
+from eventloom.operators import inference, profile
 from eventloom.plans.fixtures import USAGE_AS_OF as AS_OF
 from eventloom.plans.jobs import job
+from eventloom.session import scratch_path
+from eventloom.sources.answers import AnswerStore
 
 _SNAPSHOT = """
 feedback AS (SELECT click_id, user_id, c.event_id, e.title AS event_title, e.description AS event_description, e.source AS event_source,
@@ -85,7 +87,8 @@ fresh AS (SELECT f.*, n AS new_no FROM
     sql=f"WITH {_NEW.strip()} SELECT * EXCLUDE (total, age) FROM fresh",
 )
 def new_feedback(x):
-    return profile.recent_feedback_n(feedback(x), x.profile)
+    narrow = profile.recorded_clicks(x.feedback_clicks, x.catalog)
+    return profile.feedback_snapshot(profile.recent_feedback_n(narrow, x.profile), x.catalog)
 
 
 _DUE = """
@@ -110,11 +113,9 @@ def _bullets(wanted: str) -> str:
     return f"coalesce(string_agg({line}, chr(10) ORDER BY age) FILTER (WHERE {wanted}), '(none)')"
 
 
-# Small parts, so that several users need more than one.
-_PART = 15
 _LISTS = f"""{_NEW},
-lists AS (SELECT user_id, (age - 1) // {_PART} AS part_no, {_bullets('interested')} AS liked, {_bullets('NOT interested')} AS disliked
-          FROM fresh GROUP BY 1, 2)"""
+lists AS (SELECT user_id, CAST(0 AS BIGINT) AS part_no, {_bullets('interested')} AS liked, {_bullets('NOT interested')} AS disliked
+          FROM fresh GROUP BY 1)"""
 
 
 @job(
@@ -125,7 +126,7 @@ lists AS (SELECT user_id, (age - 1) // {_PART} AS part_no, {_bullets('interested
     sql=f"WITH {_LISTS.strip()} SELECT * FROM lists",
 )
 def lists(x):
-    return profile.feedback_lists(new_feedback(x), lines_per_part=_PART)
+    return profile.feedback_lists(new_feedback(x))
 
 
 def _quoted(text: str) -> str:
@@ -143,8 +144,7 @@ _CLICKS = """'EVENTS THE USER LIKED:' || chr(10) || liked || chr(10) || chr(10)
     "fx_profile",
     sql=f"""WITH {_LISTS.strip()}, {_DUE.strip()}
     SELECT l.user_id, part_no,
-      CASE WHEN part_no > 0 THEN 'CONTINUED ' || {_CLICKS}
-           WHEN preference_summary <> '' THEN 'CURRENT PROFILE:' || chr(10) || preference_summary || chr(10) || chr(10) || 'NEW ' || {_CLICKS}
+      CASE WHEN preference_summary <> '' THEN 'CURRENT PROFILE:' || chr(10) || preference_summary || chr(10) || chr(10) || 'NEW ' || {_CLICKS}
              || {_quoted(profile.SUMMARY_UPDATE + profile.SUMMARY_RULES)}
            ELSE {_CLICKS} || {_quoted(profile.SUMMARY_FIRST + profile.SUMMARY_RULES)} END AS prompt
     FROM lists l JOIN due d ON l.user_id = d.user_id JOIN fx_profile p ON l.user_id = p.user_id""",
@@ -153,6 +153,28 @@ def _prompt(x):
     return profile.summary_prompt(lists(x), due(x), x.profile)
 
 
+# Small requests, so that many users need several. Answers are made from the requests in the
+# session: each counts the lines of the request and carries on from the profile in it.
+_PER_REQUEST = 4
+
+
+def _tally(prompt: str) -> inference.Completion:
+    before = prompt.partition("CURRENT PROFILE:\nTally ")[2].partition(" ")[0]
+    return inference.Completion(f"Tally {int(before or 0) + prompt.count(chr(10) + '- ')} lines")
+
+
+@job(
+    "fold_summaries",
+    "fx_feedback_clicks",
+    "fx_catalog",
+    "fx_profile",
+    sql=f"""WITH {_NEW.strip()}, {_DUE.strip()} SELECT user_id, 'Tally ' || new_feedback || ' lines' AS new_summary, total FROM due""",
+)
+def _fold(x):
+    store = AnswerStore(x.spark, scratch_path(x.spark, "summaries"), profile.SUMMARY_KEYS)
+    return profile.fold_summaries(new_feedback(x), due(x), x.profile, store, _tally, lines_per_request=_PER_REQUEST)
+
+
 # Every due user gets a new summary, except that some calls came back empty.
 _NEW_TEXT = "CASE WHEN user_id % 9 = 4 THEN '' ELSE concat('Summary of ', total, ' clicks') END AS new_summary"
 

@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from eventloom.operators import export, inference, limits, scoring
+from eventloom.operators import export, limits, scoring
 from eventloom.plans.fixtures import CATALOG_AS_OF as AS_OF
 from eventloom.plans.jobs import job
-from eventloom.session import scratch_path
+from eventloom.plans.text_jobs import no_model
+from eventloom.session import durable, scratch_path
 from eventloom.sources import sinks, tables
+from eventloom.sources.answers import AnswerStore
 
 _OPEN = f"SELECT * FROM fx_catalog WHERE date >= TIMESTAMP '{AS_OF}' AND score IS NULL"
 _LINE = r"""json_object('id', id, 'title', title, 'desc', replace(substr(description, 1, 150), chr(10), ' '), 'venue', venue,
@@ -66,7 +68,15 @@ def _prompt(x):
     return user_prompts(x)
 
 
-# The offline completer's score is id % 11 / 10, so even inference has a check here.
+# Every request but some has a stored answer, which scores id n with n % 11 / 10.
+_GIVEN = """
+SELECT user_id, batch_no, sha2(prompt, 256) AS prompt_hash,
+  to_json(transform(regexp_extract_all(prompt, '"id":(\\\\d+)', 1), i -> named_struct('id', CAST(i AS BIGINT), 'score', CAST(i AS BIGINT) % 11 / 10D))) AS content,
+  CAST(length(prompt) AS BIGINT) AS prompt_tokens, CAST(1 AS BIGINT) AS completion_tokens, 0.5D AS duration_seconds,
+  CAST(NULL AS STRING) AS error, TIMESTAMP_NTZ'2024-02-15 00:00:00' AS asked_at
+FROM {requests} WHERE user_id % 7 <> 3"""
+
+
 @job(
     "score_infer",
     "fx_catalog",
@@ -75,10 +85,14 @@ def _prompt(x):
     sql="""SELECT c.user_id, c.event_id AS id, least(c.event_id % 11 / 10, 1) AS score
            FROM (SELECT DISTINCT user_id, event_id FROM fx_feedback_clicks) c
            JOIN fx_catalog e ON e.id = c.event_id JOIN fx_profile p ON p.user_id = c.user_id
-           WHERE e.score IS NULL AND e.date >= TIMESTAMP '2024-02-15' AND (taste_prompt <> '' OR preference_summary <> '')""",
+           WHERE e.score IS NULL AND e.date >= TIMESTAMP '2024-02-15' AND (taste_prompt <> '' OR preference_summary <> '')
+             AND c.user_id % 7 <> 3""",
 )
 def _infer(x):
-    replies = scoring.score_infer(user_prompts(x), inference.offline_completer)
+    store = AnswerStore(x.spark, scratch_path(x.spark, "score-answers"), scoring.BATCH_KEYS)
+    requests = durable(user_prompts(x))
+    store.commit(x.spark.sql(_GIVEN, requests=requests), "given")
+    replies = scoring.score_infer(requests, store, no_model)
     members = scoring.batch_members(shown(x), per=["user_id"])
     return scoring.parse_scores(replies, members, per=["user_id"]).select("user_id", "id", "score")
 
@@ -197,16 +211,26 @@ def _error_classify(x):
     return limits.error_classify(_failures(x))
 
 
-@job(
-    "sink_error_log",
-    "fx_limit_errors",
-    sql=f"""WITH {_FAILURES} SELECT timestamp, api_key_label, model, {_CLASS} AS classified_as,
-              CAST(NULL AS BIGINT) AS retry_after_sec, substr(error_text, 1, 500) AS error_snippet FROM failed""",
-)
+_LOG_ROWS = f"""{_FAILURES}, hit AS (SELECT * FROM failed WHERE contains(error_text, '429')), {_PARSED.strip().replace("FROM fx_limit_errors", "FROM hit")}, {_USED.strip()},
+known AS (SELECT t.*, tokens_24h, CASE WHEN l.model IS NULL THEN 100000 ELSE l.tpd END AS tpd
+          FROM told t JOIN used u ON t.id = u.id LEFT JOIN fx_limits l ON t.model = l.model),
+near AS (SELECT *, coalesce(tokens_24h > 0.8 * tpd, false) AS near_daily FROM known),
+classes AS (
+    SELECT id, CASE WHEN says_daily OR (NOT says_minute AND near_daily) THEN 'daily' ELSE 'tpm' END AS classified_as,
+        CASE WHEN NOT says_daily AND NOT says_minute AND NOT near_daily AND retry_after > 120 THEN 90 ELSE retry_after END AS retry_after_sec FROM near
+    UNION ALL SELECT id, {_CLASS}, NULL FROM failed WHERE NOT contains(error_text, '429')),
+log_rows AS (SELECT CAST('0x' || md5('a-run|call-' || f.id)[1:15] AS BIGINT) AS id, timestamp, api_key_label, model, classified_as,
+               retry_after_sec, substr(error_text, 1, 500) AS error_snippet FROM failed f JOIN classes c ON f.id = c.id)"""
+
+
+@job("sink_error_log", "fx_limit_errors", "fx_llm_calls", "fx_limits", sql=f"WITH {_LOG_ROWS} SELECT * FROM log_rows")
 def _error_log(x):
     path = scratch_path(x.spark, "limit_errors")
-    sinks.sink_error_log(_failures(x), path)
-    return tables.scan_table(x.spark, "limit_errors", path).drop("id", "day")
+    failures = _failures(x).withColumn("call_key", F.concat(F.lit("call-"), "id"))
+    rows = durable(limits.error_rows(failures, x.llm_calls, x.limits))
+    for _ in range(2):
+        sinks.sink_error_log(rows, path, run="a-run")
+    return tables.scan_table(x.spark, "limit_errors", path).drop("day")
 
 
 @job(

@@ -1,5 +1,7 @@
 """Streaming jobs over the given tables as file streams, run until all files are read."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from eventloom.plans import catalog_jobs, profile_jobs, text_jobs  # noqa: F401 (their checks are reused)
@@ -67,11 +69,46 @@ def _usage(x):
     return x.spark.read.schema(windows.schema).parquet(out)
 
 
-@job("stream_feedback", sql=CHECKS["summary_due"])
+def _stored_feedback(x) -> str:
+    """The path of the feedback table after all clicks and events have arrived; nothing waits longer than a minute."""
+    clicks = x.stream("feedback_clicks").withColumn("arrived_at", F.col("created_at").cast("timestamp"))
+    events = x.stream("catalog").withColumn("arrived_at", F.expr("TIMESTAMP'2024-01-01 00:00:00'"))
+    out, progress = _paths(x, "feedback")
+    rows = feedback.stream_feedback(clicks, events, wait=timedelta(0))
+    _finish(feedback.write_stream(rows, out, progress, by="status"))
+    return out
+
+
+# Clicks of the last minute on unknown events still wait when the stream ends.
+@job(
+    "stream_snapshots",
+    "fx_feedback_clicks",
+    "fx_catalog",
+    sql="""SELECT click_id, user_id, event_id, e.title AS event_title, e.venue AS event_venue, interested, c.created_at,
+                  CASE WHEN e.id IS NULL THEN 'rejected' ELSE 'kept' END AS status, CASE WHEN e.id IS NULL THEN 'Event not found' END AS reason
+           FROM fx_feedback_clicks c LEFT JOIN fx_catalog e ON c.event_id = e.id
+           WHERE e.id IS NOT NULL OR date_trunc('milliseconds', c.created_at)
+                 <= (SELECT date_trunc('milliseconds', max(created_at)) FROM fx_feedback_clicks) - INTERVAL 1 MINUTE""",
+)
+def _snapshots(x):
+    rows = x.spark.read.schema(feedback.FEEDBACK).parquet(_stored_feedback(x))
+    return rows.select("click_id", "user_id", "event_id", "event_title", "event_venue", "interested", "created_at", "status", "reason")
+
+
+@job(
+    "stream_feedback",
+    "fx_feedback_clicks",
+    "fx_catalog",
+    "fx_profile",
+    sql=f"""WITH {profile_jobs._SNAPSHOT.strip()},
+    counts AS (SELECT f.user_id, count(*) AS total, coalesce(any_value(feedback_count_at_last_summary), 0) AS counted
+               FROM feedback f LEFT JOIN fx_profile p ON f.user_id = p.user_id GROUP BY 1)
+    SELECT user_id, counted + 10 * unnest(range(1, (total - counted) // 10 + 1)) AS total, CAST(10 AS BIGINT) AS new_feedback
+    FROM counts WHERE total - counted >= 10""",
+)
 def _feedback(x):
+    kept = x.spark.readStream.schema(feedback.FEEDBACK).parquet(_stored_feedback(x)).where("status = 'kept'")
     out, progress = _paths(x, "due")
-    due = feedback.stream_feedback(x.stream("feedback_clicks"), x.catalog, x.profile)
-    _finish(feedback.write_due(due, out, progress))
-    latest = x.spark.read.schema(due.schema).parquet(out)
-    # A later batch may report a user again with a higher total.
-    return latest.groupBy("user_id").agg(F.max("total").alias("total"), F.max("new_feedback").alias("new_feedback"))
+    due = feedback.stream_due(kept, x.profile)
+    _finish(feedback.write_stream(due, out, progress))
+    return x.spark.read.schema(due.schema).parquet(out)

@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from eventloom.functions.html import COUNTED
-from eventloom.operators import extraction, inference, pagetext
+from eventloom.operators import extraction, inference, pagetext, usage
 from eventloom.plans.fixtures import USAGE_AS_OF
 from eventloom.plans.jobs import job
 from eventloom.session import scratch_path
 from eventloom.sources import sinks, tables
+from eventloom.sources.answers import AnswerStore
 
 # The given pages have no <main>, no links outside <nav> and three kinds of entity,
 # so their reading can also be written as SQL.
@@ -167,6 +168,7 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+_ASKED = "2024-01-30 01:00:00"
 _PROMPTS = f"""{_CHUNKS},
 prompts AS (SELECT page_id, site_key, month, year, chunk_no, is_last, text, c.url,
       concat({_quoted(pagetext.EXTRACT_TASK)}, chr(10),
@@ -174,10 +176,15 @@ prompts AS (SELECT page_id, site_key, month, year, chunk_no, is_last, text, c.ur
         {_quoted(pagetext.ANSWER_TASK)}, chr(10), 'Site: ', coalesce(display_name, 'unknown'), chr(10), 'Page: ', c.url, chr(10), chr(10),
         'PAGE TEXT:', chr(10), text) AS prompt
     FROM (SELECT *, concat('https://ex.org/p/', page_id) AS url FROM chunks) c LEFT JOIN fx_registry r USING (site_key)),
--- The offline completer reports tokens by length and one event per line with an ISO day.
-told AS (SELECT *, CAST(floor(length(prompt) / 2.2) AS BIGINT) AS prompt_tokens,
-           len(list_filter(string_split(text, chr(10)), lambda t: regexp_matches(t, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'))) AS n_events
-         FROM prompts)"""
+-- Stored answers have one event per line with an ISO day; a tenth of the pages has none.
+told AS (SELECT *, length(prompt) * 5 // 11 AS prompt_tokens, page_id % 10 = 3 AS open_,
+           len(list_filter(string_split(text, chr(10)), lambda t: regexp_matches(t, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'))) AS n_events,
+           TIMESTAMP '{_ASKED}' + (page_id % 80000) * INTERVAL 1 SECOND AS asked_at
+         FROM prompts),
+calls AS (SELECT md5(concat_ws('|', site_key, page_id, chunk_no, is_last, sha256(prompt), asked_at)) AS call_key, asked_at AS timestamp,
+            'stored' AS provider, concat('model_', page_id % 3) AS model, 'scraping' AS call_type, prompt_tokens,
+            CAST(10 * n_events AS BIGINT) AS completion_tokens, chunk_no / 8 AS duration_seconds, 'key_1' AS api_key_label
+          FROM told WHERE NOT open_)"""
 
 
 @job(
@@ -191,47 +198,111 @@ def prompts(x):
     return pagetext.build_prompts(pagetext.chunk_text(x.texts).withColumn("url", url), x.registry)
 
 
+#: A stored answer for every request but those of a tenth of the pages.
+_DAY = "-".join(["[0-9]" * 4, "[0-9]" * 2, "[0-9]" * 2])
+_STORED = f"""
+SELECT site_key, page_id, chunk_no, is_last, sha2(prompt, 256) AS prompt_hash,
+  to_json(named_struct('events', transform(filter(split(text, '\n'), t -> t rlike '{_DAY}'),
+    t -> named_struct('title', t, 'date', regexp_extract(t, '{_DAY}', 0))))) AS content,
+  CAST(length(prompt) * 5 div 11 AS BIGINT) AS prompt_tokens,
+  CAST(10 * size(filter(split(text, '\n'), t -> t rlike '{_DAY}')) AS BIGINT) AS completion_tokens,
+  CAST(chunk_no AS DOUBLE) / 8 AS duration_seconds, CAST(NULL AS STRING) AS error,
+  TIMESTAMP_NTZ'{_ASKED}' + make_dt_interval(0, 0, 0, page_id % 80000) AS asked_at
+FROM {{requests}} WHERE page_id % 10 <> 3"""
+
+
+def no_model(prompt: str):
+    raise RuntimeError("status 429 from a model that is not there")
+
+
 def answers(x):
-    return inference.infer_chunks(prompts(x), inference.offline_completer)
+    store = AnswerStore(x.spark, scratch_path(x.spark, "answers"), inference.CHUNK_KEYS)
+    store.commit(x.spark.sql(_STORED, requests=prompts(x)), "given")
+    return inference.infer_chunks(prompts(x), store, no_model)
 
 
 @job(
     "infer_chunks",
     "fx_texts",
     "fx_registry",
-    sql=f"""WITH {_PROMPTS.strip()} SELECT site_key, page_id, chunk_no, is_last, prompt_tokens, CAST(n_events AS INT) AS n_events,
-              CAST(NULL AS VARCHAR) AS error FROM told""",
+    sql=f"""WITH {_PROMPTS.strip()} SELECT site_key, page_id, chunk_no, is_last, CASE WHEN NOT open_ THEN prompt_tokens END AS prompt_tokens,
+              CASE WHEN NOT open_ THEN CAST(n_events AS INT) END AS n_events, CASE WHEN NOT open_ THEN chunk_no / 8 END AS duration_seconds,
+              CASE WHEN NOT open_ THEN asked_at END AS asked_at, CASE WHEN open_ THEN 'status 429 from a model that is not there' END AS error
+            FROM told""",
 )
 def _infer(x):
     parsed = extraction.parse_responses(answers(x))
+    stored = F.col("error").isNull()
     return parsed.select(
-        "site_key", "page_id", "chunk_no", "is_last", "prompt_tokens", F.size("events").alias("n_events"), "error"
-    )
+        "site_key", "page_id", "chunk_no", "is_last", "prompt_tokens", F.when(stored, F.size("events")).alias("n_events"),
+        F.when(stored, F.col("duration_seconds")).alias("duration_seconds"), F.when(stored, F.col("asked_at")).alias("asked_at"), "error",
+    )
+
+
+def logged_calls(x):
+    """The path of a call log that two runs have written, the second one twice."""
+    path = scratch_path(x.spark, "llm_calls")
+    keys = ["site_key", "page_id", "chunk_no", "is_last"]
+    log = inference.call_log(answers(x), keys, provider="stored", model="none", call_type="scraping", api_key_label="key_1")
+    log = log.withColumn("model", F.expr("concat('model_', page_id % 3)"))
+    for run, part in (("first", 0), ("second", 1), ("second", 1)):
+        sinks.sink_call_log(log.where(F.col("page_id") % 2 == part), path, run=run)
+    return path
+
+
+_ID = "CAST('0x' || md5(concat_ws('|', {run}, {key}))[1:15] AS BIGINT)"
+_LOGGED = f"""{_PROMPTS},
+logged AS (SELECT {_ID.format(run="CASE WHEN page_id % 2 = 0 THEN 'first' ELSE 'second' END", key="call_key")} AS id, c.* EXCLUDE (call_key)
+           FROM (SELECT page_id, calls.* FROM calls JOIN (SELECT page_id, md5(concat_ws('|', site_key, page_id, chunk_no, is_last, sha256(prompt), asked_at)) AS call_key
+                                              FROM told) USING (call_key)) c)"""
+
+
+@job("sink_call_log", "fx_texts", "fx_registry", sql=f"WITH {_LOGGED.strip()} SELECT * EXCLUDE (page_id) FROM logged")
+def _call_log(x):
+    return tables.scan_table(x.spark, "llm_calls", logged_calls(x)).drop("day")
 
 
 @job(
-    "sink_call_log",
+    "usage_totals_logged",
     "fx_texts",
     "fx_registry",
-    sql=f"""WITH {_PROMPTS.strip()} SELECT TIMESTAMP '{USAGE_AS_OF}' AS timestamp, 'offline' AS provider, 'offline' AS model,
-              'scraping' AS call_type, prompt_tokens, 'none' AS api_key_label FROM told""",
+    sql=f"""WITH {_LOGGED.strip()} SELECT model, count(*) AS calls, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS tokens,
+              round(avg(duration_seconds), 6) AS avg_dur, CAST(NULL AS BIGINT) AS tpd,
+              sum(prompt_tokens + completion_tokens) / count(*) AS tokens_per_call FROM logged GROUP BY 1""",
 )
-def _call_log(x):
-    path = scratch_path(x.spark, "llm_calls")
-    log = inference.call_log(
-        answers(x), as_of=USAGE_AS_OF, provider="offline", model="offline", call_type="scraping", api_key_label="none"
-    )
-    sinks.sink_call_log(log, path)
-    return tables.scan_table(x.spark, "llm_calls", path).drop("id", "day", "duration_seconds", "completion_tokens")
+def _logged_totals(x):
+    calls = tables.scan_table(x.spark, "llm_calls", logged_calls(x))
+    return usage.usage_totals(calls, x.limits).withColumn("avg_dur", F.round("avg_dur", 6))
 
 
-@job("sink_stage", "fx_texts", "fx_registry", sql=f"WITH {_TRIM.strip()} SELECT page_id, site_key, text FROM trimmed")
+@job(
+    "usage_24h_logged",
+    "fx_texts",
+    "fx_registry",
+    sql=f"""WITH {_LOGGED.strip()} SELECT api_key_label, model, count(*) AS calls, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS tokens,
+              round(avg(duration_seconds), 6) AS avg_dur FROM logged WHERE timestamp >= TIMESTAMP '{USAGE_AS_OF}' - INTERVAL 24 HOUR GROUP BY 1, 2""",
+)
+def _logged_day(x):
+    calls = tables.scan_table(x.spark, "llm_calls", logged_calls(x))
+    return usage.usage_24h(calls, as_of=USAGE_AS_OF).withColumn("avg_dur", F.round("avg_dur", 6))
+
+
+# The second run covers every site, but finds nothing for some of them.
+@job(
+    "sink_stage",
+    "fx_texts",
+    "fx_registry",
+    sql=f"""WITH {_TRIM.strip()} SELECT page_id, site_key, CASE WHEN site_key >= 'src5' THEN 'kept' ELSE text END AS text FROM trimmed
+            WHERE site_key >= 'src5' OR page_id % 3 = 0""",
+)
 def _stage(x):
     path = scratch_path(x.spark, "stage")
-    sinks.sink_stage(x.texts.select("page_id", "site_key", F.lit("stale").alias("text")), path)
-    # A second run replaces every site it covers and duplicates none.
-    sinks.sink_stage(trimmed(x).select("page_id", "site_key", "text"), path)
-    return x.spark.read.schema("page_id BIGINT, text STRING, site_key STRING").parquet(path)
+    sites = [r.site_key for r in x.texts.select("site_key").distinct().collect()]
+    sinks.sink_stage(x.texts.select("page_id", "site_key", F.lit("kept").alias("text")), path, sites=sites, run="1")
+    again = [s for s in sites if s < "src5"]
+    rows = trimmed(x).where("page_id % 3 = 0 AND site_key < 'src5'").select("page_id", "site_key", "text")
+    sinks.sink_stage(rows, path, sites=again, run="2")
+    return sinks.read_stage(x.spark, path)
 
 
 # -- responses ---------------------------------------------------------------
@@ -279,7 +350,7 @@ def _explode(x):
     "fx_responses",
     sql=f"""WITH {_PARSED.strip()} SELECT * EXCLUDE (rn) FROM
               (SELECT *, row_number() OVER (PARTITION BY page_id, lower(trim(title)) ORDER BY chunk_no, pos) AS rn
-               FROM found WHERE trim(title) <> '') WHERE rn = 1""",
+               FROM found) WHERE (chunk_no = 1 AND is_last) OR (rn = 1 AND trim(title) <> '')""",
 )
 def _dedup(x):
     return extraction.dedup_in_page(extraction.explode_events(extraction.parse_responses(x.responses)))

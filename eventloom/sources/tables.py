@@ -32,10 +32,11 @@ DEFAULT_LIMITS = [
 
 def scan_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     """Read a stored table. Tables laid out by day keep ``day`` as a pruning column."""
-    return spark.read.schema(TABLES[name] + (", day DATE" if name in LAID_OUT_BY_DAY else "")).parquet(path)
+    rows = spark.read.schema(TABLES[name] + (", day DATE" if name in LAID_OUT_BY_DAY else "")).parquet(path)
+    return rows.drop("run")
 
 
-#: Append-only logs are written one folder per day.
+#: Append-only logs are written one folder per day and run.
 LAID_OUT_BY_DAY = {"llm_calls", "limit_errors", "source_runs"}
 
 

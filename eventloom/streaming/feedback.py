@@ -1,40 +1,178 @@
-"""Feedback clicks as a stream: content snapshots, and who is due for a new summary."""
+"""Feedback clicks as streams: content snapshots, rejects, and who is due for a new summary.
+
+Clicks and events arrive as two streams in any order. ``stream_feedback`` keeps, for each
+event, its content and the clicks that came before it; ``stream_due`` keeps one counter
+per user. Both run on ``transformWithState``, so state lives in RocksDB and a restarted
+query goes on where it was.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import timedelta
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from eventloom.operators.profile import SUMMARY_THRESHOLD, accepted, rejected
+
+CONTENT = ["event_title", "event_description", "event_source", "event_category", "event_venue"]
+CLICK = ["click_id", "user_id", "interested", "created_at"]
+WAIT = timedelta(days=7)
+#: Tasks that share the clicks on one event.
+SPREAD = 8
+
+_TEXTS = ", ".join(f"{name} STRING" for name in CONTENT)
+#: Feedback rows with ``status`` kept, and clicks with ``status`` rejected and the reason.
+FEEDBACK = f"""
+    click_id BIGINT, user_id BIGINT, event_id BIGINT, {_TEXTS}, interested BOOLEAN, created_at TIMESTAMP_NTZ,
+    status STRING, reason STRING
+"""
+
 
-from eventloom.operators.profile import SUMMARY_THRESHOLD, feedback_snapshot, summary_due
+class _Resolve(StatefulProcessor):
+    """Gives each click the content of its event, whichever of the two comes first."""
 
+    def __init__(self, wait: timedelta):
+        self.wait_ms = int(wait.total_seconds() * 1000)
 
-def stream_snapshots(clicks: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Stream-static join of arriving clicks with the catalog."""
-    return feedback_snapshot(clicks, catalog)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.content = handle.getValueState("content", _TEXTS)
+        self.waiting = handle.getMapState("waiting", "click_id BIGINT", "user_id BIGINT, interested BOOLEAN, created_at TIMESTAMP_NTZ, until BIGINT")
+
+    def _rows(self, event_id: int, clicks: list[tuple], content: tuple | None, reason: str | None) -> pd.DataFrame:
+        status = "kept" if reason is None else "rejected"
+        texts = content or (None,) * len(CONTENT)
+        rows = [(click_id, user_id, event_id, *texts, interested, at, status, reason) for click_id, user_id, interested, at in clicks]
+        return pd.DataFrame(rows, columns=["click_id", "user_id", "event_id", *CONTENT, "interested", "created_at", "status", "reason"])
+
+    def _left(self, up_to: int | None = None) -> list[tuple]:
+        """The clicks that wait, or those whose time is up, taken out of the state."""
+        found = [(k[0], *v) for k, v in self.waiting.iterator() if up_to is None or v[3] <= up_to]
+        for click in found:
+            self.waiting.removeKey((click[0],))
+        return [click[:4] for click in found]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        event_id, arrived = int(key[0]), pd.concat(list(rows))
+        events = arrived[arrived["is_event"]].sort_values("arrived_at")
+        if len(events):
+            last = events.iloc[-1]
+            self.content.update(tuple(None if pd.isna(last[c]) else last[c] for c in CONTENT))
+            if before := self._left():
+                yield self._rows(event_id, before, self.content.get(), None)
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        clicks = arrived[~arrived["is_event"]]
+        if not len(clicks):
+            return
+        columns = [clicks[c].tolist() for c in (*CLICK, "arrived_at")]
+        if self.content.exists():
+            yield self._rows(event_id, list(zip(*columns[:4], strict=True)), self.content.get(), None)
+            return
+        for click_id, user_id, interested, at, seen in zip(*columns, strict=True):
+            until = int(seen.timestamp() * 1000) + self.wait_ms
+            self.waiting.updateValue((int(click_id),), (None if pd.isna(user_id) else int(user_id), bool(interested), at, until))
+            self.handle.registerTimer(until)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if late := self._left(expiredTimerInfo.getExpiryTimeInMs()):
+            yield self._rows(int(key[0]), late, None, "Event not found")
+
+    def close(self) -> None:
+        pass
 
 
 def stream_feedback(
-    clicks: DataFrame, catalog: DataFrame, profile: DataFrame, *, threshold: int = SUMMARY_THRESHOLD
+    clicks: DataFrame, events: DataFrame, *, arrived: str = "arrived_at", wait: timedelta = WAIT, slack: str = "1 minute"
 ) -> DataFrame:
-    """Users with enough clicks since their last summary, as their clicks arrive (update mode).
+    """Feedback rows and rejects, as clicks and catalog rows arrive (append mode).
 
-    The click totals are an ordinary streaming aggregate: clicks of a busy user are
-    summed up on the map side and only one counter per user is kept as state. A
-    user stays due until the profile's counter moves.
+    Both streams have a TIMESTAMP column ``arrived`` that says when a row came in, such as the
+    file's modification time; it may run back by ``slack`` at most. A click whose event is not
+    known yet waits for it; after ``wait`` it leaves as a reject. Malformed clicks are rejected
+    at once. A click keeps the content its event had when both were known. Clicks on one
+    event are dealt to ``SPREAD`` tasks, each of which keeps the event's content.
     """
-    return summary_due(stream_snapshots(clicks, catalog), profile, threshold=threshold)
+    none = [F.lit(None).cast("string").alias(name) for name in CONTENT]
+    salted = accepted(clicks.withColumn("_arrived", F.col(arrived)), "_arrived").select(
+        "event_id", F.pmod(F.xxhash64("click_id"), F.lit(SPREAD)).cast("int").alias("salt"), F.lit(False).alias("is_event"),
+        F.col("_arrived").cast("timestamp").alias("arrived_at"), *CLICK, *none,
+    )
+    content = [F.col(name.removeprefix("event_")).alias(name) for name in CONTENT]
+    known = events.select(
+        F.col("id").alias("event_id"), F.explode(F.expr(f"sequence(0, {SPREAD - 1})")).alias("salt"), F.lit(True).alias("is_event"),
+        F.col(arrived).cast("timestamp").alias("arrived_at"),
+        *[F.lit(None).cast(kind).alias(name) for name, kind in zip(CLICK, ("bigint", "bigint", "boolean", "timestamp_ntz"), strict=True)], *content,
+    )
+    resolved = (
+        salted.unionByName(known)
+        .withWatermark("arrived_at", slack)
+        .groupBy("event_id", "salt")
+        .transformWithStateInPandas(_Resolve(wait), FEEDBACK, "Append", "EventTime")
+    )
+    nothing = [F.lit(None).cast("string").alias(name) for name in CONTENT]
+    malformed = rejected(clicks).select(
+        "click_id", "user_id", F.lit(None).cast("bigint").alias("event_id"), *nothing, F.lit(None).cast("boolean").alias("interested"),
+        "created_at", F.lit("rejected").alias("status"), "reason",
+    )
+    return resolved.unionByName(malformed)
 
 
-def write_due(due: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write each batch's due users to a folder of their own, so a replayed batch replaces itself."""
+class _Due(StatefulProcessor):
+    """Counts a user's clicks and reports each time a summary is due."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    def __init__(self, threshold: int):
+        self.threshold = threshold
 
-    return (
-        due.writeStream.outputMode("update")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getValueState("counts", "total BIGINT, reported BIGINT")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.counts.update((0, int(initialState["counted"].iloc[0])))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        total, reported = self.counts.get() if self.counts.exists() else (0, 0)
+        total += int(sum(part["clicks"].sum() for part in rows))
+        crossings = range(reported + self.threshold, total + 1, self.threshold)
+        if len(crossings):
+            reported = crossings[-1]
+            yield pd.DataFrame({"user_id": int(key[0]), "total": list(crossings), "new_feedback": self.threshold})
+        self.counts.update((total, reported))
+
+    def close(self) -> None:
+        pass
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        users = batch.column("user_id").value_counts()
+        yield pa.RecordBatch.from_arrays([users.field("values"), users.field("counts")], ["user_id", "clicks"])
+
+
+def stream_due(feedback: DataFrame, profile: DataFrame, *, threshold: int = SUMMARY_THRESHOLD) -> DataFrame:
+    """A row each time a user has ``threshold`` more clicks than at the last report (append mode).
+
+    ``feedback`` streams the rows that ``stream_feedback`` kept; ``profile`` says how many clicks
+    the last summary of each user covered when the stream first starts (none without a profile).
+    ``total`` is the number of clicks the summary has to cover. Reports do not depend on how
+    clicks fall into batches. Clicks are counted within a task first, so a busy user is a few
+    rows of state input.
+    """
+    clicks = feedback.where(F.col("user_id").isNotNull()).select("user_id").mapInArrow(_counted, "user_id BIGINT, clicks BIGINT")
+    before = profile.select("user_id", F.coalesce("feedback_count_at_last_summary", F.lit(0)).cast("bigint").alias("counted")).groupBy("user_id")
+    return clicks.groupBy("user_id").transformWithStateInPandas(
+        _Due(threshold), "user_id BIGINT, total BIGINT, new_feedback BIGINT", "Append", "None", initialState=before
     )
+
+
+def write_stream(rows: DataFrame, path: str, checkpoint: str, *, by: str | None = None, **trigger) -> StreamingQuery:
+    """Append to a table of files whose log names the committed ones, so that a replayed batch adds nothing twice."""
+    out = rows.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+    out = out.partitionBy(by) if by else out
+    return out.trigger(**(trigger or {"availableNow": True})).start()

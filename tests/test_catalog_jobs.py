@@ -1,8 +1,9 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators import catalog, crawlplan, export, listing
+from eventloom.operators import catalog, crawlplan, export, health, listing
 from eventloom.sources import sinks, tables
 
 AS_OF = "2024-02-15 00:00:00"
@@ -122,11 +123,60 @@ def test_month_bounds():
     assert listing.month_bounds(2024, 2)[1] == datetime(2024, 2, 29, 23, 59, 59)
 
 
-def test_stage_sink_replaces_only_its_sites(spark, tmp_path):
+STAGE = "site_key STRING, page_id INT"
+
+
+def staged(spark, path):
+    return sorted((r.site_key, r.page_id) for r in sinks.read_stage(spark, path).collect())
+
+
+def test_stage_sink_goes_by_the_runs_sites(spark, tmp_path):
+    path = str(tmp_path / "stage")
+    sinks.sink_stage(spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4)], STAGE), path, sites=["a", "b", "c"], run="1")
+    # The new run covers a and c, and finds nothing on c. Rows of other sites are not its own.
+    again = spark.createDataFrame([("a", 9), ("b", 7)], STAGE)
+    sinks.sink_stage(again, path, sites=["a", "c"], run="2")
+    assert staged(spark, path) == [("a", 9), ("b", 3)]
+    sinks.sink_stage(again, path, sites=["a", "c"], run="2")
+    assert staged(spark, path) == [("a", 9), ("b", 3)]
+    only_b = sinks.read_stage(spark, path).where("site_key = 'b'")
+    assert only_b.count() == 1
+
+
+def test_a_crash_while_staging_leaves_the_old_state(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "stage")
-    sinks.sink_stage(spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "site_key STRING, page_id INT"), path)
-    sinks.sink_stage(spark.createDataFrame([("a", 9)], "site_key STRING, page_id INT"), path)
-    assert sorted((r.site_key, r.page_id) for r in spark.read.parquet(path).collect()) == [("a", 9), ("b", 3)]
+    sinks.sink_stage(spark.createDataFrame([("a", 1)], STAGE), path, sites=["a"], run="1")
+
+    def crash(self, state):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(sinks.Folders, "commit", crash)
+        with pytest.raises(RuntimeError):
+            sinks.sink_stage(spark.createDataFrame([("a", 2)], STAGE), path, sites=["a"], run="2")
+    assert staged(spark, path) == [("a", 1)]
+    sinks.sink_stage(spark.createDataFrame([("a", 2)], STAGE), path, sites=["a"], run="2")
+    assert staged(spark, path) == [("a", 2)]
+
+
+def test_run_log_has_failed_sources_and_survives_replays(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    sites = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "site_key STRING")
+    summary = spark.createDataFrame([("a", 5, 2), ("b", 4, 4)], "source STRING, events_found BIGINT, events_added BIGINT")
+    outcomes = spark.createDataFrame(
+        [("a", True, None, 1.5), ("b", False, "timeout", 30.0), ("c", True, None, 2.0)], "source STRING, success BOOLEAN, error_message STRING, duration_seconds DOUBLE"
+    )
+    rows = catalog.run_log(sites, summary, outcomes, as_of=AS_OF)
+    for run in ("1", "2", "2", "1"):
+        sinks.sink_run_log(rows, path, run=run)
+    stored = tables.scan_table(spark, "source_runs", path)
+    got = sorted(tuple(r) for r in stored.select("source", "events_found", "events_added", "success", "error_message", "duration_seconds").distinct().collect())
+    assert got == [("a", 5, 2, True, None, 1.5), ("b", 0, 0, False, "timeout", 30.0), ("c", 0, 0, True, None, 2.0), ("d", 0, 0, False, "not run", None)]
+    assert stored.count() == 8 and stored.select("id").distinct().count() == 8
+    stats = {r.source: (r.total_runs, r.successful_runs, r.success_rate) for r in health.run_stats(stored).collect()}
+    assert stats == {"a": (2, 2, 100.0), "b": (2, 0, 0.0), "c": (2, 2, 100.0), "d": (2, 0, 0.0)}
+    no_ids = stored.withColumn("id", F.lit(None).cast("bigint"))
+    assert {r.source: r.total_runs for r in health.run_stats(no_ids).collect()} == dict.fromkeys("abcd", 2)
 
 
 def test_day_layout_is_pruned(spark, tmp_path):
@@ -134,7 +184,7 @@ def test_day_layout_is_pruned(spark, tmp_path):
 
     path = str(tmp_path / "calls")
     rows = [(i, datetime(2024, 1, 1 + i, 12), "p", "m", "t", 1, 1, 1.0, "k") for i in range(20)]
-    sinks.append_log(spark.createDataFrame(rows, tables.TABLES["llm_calls"]), path, "timestamp")
+    sinks.append_log(spark.createDataFrame(rows, tables.TABLES["llm_calls"]), path, "timestamp", run="r", key=["timestamp"])
     used = usage_24h(tables.scan_table(spark, "llm_calls", path), as_of="2024-01-20 12:00:00")
     assert used.first().calls == 2
     assert "day" in used._jdf.queryExecution().toString().split("PartitionFilters: [")[1].split("]")[0]

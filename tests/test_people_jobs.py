@@ -1,7 +1,13 @@
 import random
+import re
 from datetime import datetime, timedelta
 
-from eventloom.operators import limits, profile, scoring, usage
+import pytest
+from pyspark.sql import functions as F
+
+from eventloom.operators import inference, limits, profile, scoring, usage
+from eventloom.sources import tables
+from eventloom.sources.answers import AnswerStore
 
 PAIR = ("k", "m")
 
@@ -67,21 +73,75 @@ def feedback(spark, n):
     return spark.createDataFrame(rows, "click_id BIGINT, user_id BIGINT, event_id BIGINT, event_title STRING, event_description STRING, event_source STRING, event_category STRING, event_venue STRING, interested BOOLEAN, created_at TIMESTAMP_NTZ")
 
 
+PEOPLE = "user_id BIGINT, taste_prompt STRING, preference_summary STRING, feedback_count_at_last_summary BIGINT"
+
+
 def test_feedback_lists_are_whole_and_in_parts(spark):
     clicks = feedback(spark, 46)
-    people = spark.createDataFrame([(0, "t", "", 3), (1, "t", "old", 20)], "user_id BIGINT, taste_prompt STRING, preference_summary STRING, feedback_count_at_last_summary BIGINT")
+    people = spark.createDataFrame([(0, "t", "", 3), (1, "t", "old", 20)], PEOPLE)
     fresh = profile.recent_feedback_n(clicks, people)
     ids = sorted(r.click_id for r in fresh.collect())
     assert ids == sorted([i for i in range(0, 46, 2)][3:] + [i for i in range(1, 46, 2)][20:])
+    whole = profile.feedback_lists(fresh).where("user_id = 0").collect()
+    assert len(whole) == 1 and whole[0].liked.startswith('- "E44" (s) -- line 44\n')  # newest first
     lists = profile.feedback_lists(fresh, lines_per_part=8)
     mine = sorted((r.part_no, r.liked, r.disliked) for r in lists.where("user_id = 0").collect())
-    assert len(mine) == 3
+    assert len(mine) == 3 and '"E6"' in mine[0][1] + mine[0][2]  # oldest part first
     bullets = [b for _, liked, disliked in mine for b in (liked + "\n" + disliked).split("\n") if b != "(none)"]
     assert sorted(bullets) == sorted(f'- "E{i}" (s) -- line {i}' for i in range(6, 46, 2))
     due = profile.summary_due(clicks, people)
     assert [(r.user_id, r.new_feedback) for r in due.collect()] == [(0, 20)]
-    prompts = profile.summary_prompt(lists, due, people).orderBy("part_no").collect()
-    assert [p.prompt.startswith("CONTINUED") for p in prompts] == [False, True, True]
+
+
+@pytest.mark.parametrize("n", [501, 5000])
+def test_many_clicks_end_in_one_summary(spark, tmp_path, n):
+    rows = [(i, 1, i, f"E{i}", "d", "s", "c", "v", True, datetime(2024, 1, 1) + timedelta(minutes=i)) for i in range(n)]
+    rows += [(10_000 + i, 2, i, "bad", "d", "s", "c", "v", i > 30, datetime(2024, 1, 1) + timedelta(minutes=i)) for i in range(60)]
+    clicks = spark.createDataFrame(rows, "click_id BIGINT, user_id BIGINT, event_id BIGINT, event_title STRING, event_description STRING, event_source STRING, event_category STRING, event_venue STRING, interested BOOLEAN, created_at TIMESTAMP_NTZ")
+    people = spark.createDataFrame([(1, "t", "Seen 0 up to none", 0), (2, "t", "old", 5), (3, "t", "quiet", 0)], PEOPLE)
+
+    def answer(prompt):
+        """Carries on from the profile in the request; fails on the second request of user 2."""
+        before = int(re.search(r"CURRENT PROFILE:\nSeen (\d+)", prompt)[1]) if "Seen" in prompt else 0
+        titles = re.findall(r'- "(\w+)"', prompt)
+        if before and titles[0] == "bad":
+            raise RuntimeError("503")
+        return inference.Completion(f"Seen {before + len(titles)} up to {titles[0]}")
+
+    fresh, due = profile.recent_feedback_n(clicks, people), profile.summary_due(clicks, people)
+    store = AnswerStore(spark, str(tmp_path), profile.SUMMARY_KEYS)
+    found = profile.fold_summaries(fresh, due, people, store, answer, lines_per_request=200 if n < 1000 else 1000)
+    assert [tuple(r) for r in found.where("user_id = 1").collect()] == [(1, f"Seen {n} up to E{n - 1}", n)]
+    assert found.where("user_id = 2").count() == (0 if n < 1000 else 1) or n < 1000
+    twice = found.unionByName(found.withColumn("total", F.col("total") - 1))
+    after, archived = profile.summary_apply(people, twice, as_of="2024-02-01 00:00:00")
+    assert sorted(r.user_id for r in after.collect()) == [1, 2, 3]
+    assert after.where("user_id = 1").first().feedback_count_at_last_summary == n
+    assert [r.preference_summary for r in archived.where("user_id = 1").collect()] == ["Seen 0 up to none"]
+
+
+def test_a_failed_round_gives_no_summary_until_it_is_made_good(spark, tmp_path):
+    clicks = feedback(spark, 60).where("user_id = 0")
+    people = spark.createDataFrame([(0, "t", "", 0)], PEOPLE)
+    fresh, due = profile.recent_feedback_n(clicks, people), profile.summary_due(clicks, people)
+    store = AnswerStore(spark, str(tmp_path), profile.SUMMARY_KEYS)
+    flaky = lambda prompt: inference.Completion("" if "CURRENT" in prompt else "one")
+    assert profile.fold_summaries(fresh, due, people, store, flaky, lines_per_request=10).collect() == []
+    assert store.answers().count() == 2
+
+    def down(prompt):
+        raise RuntimeError("503")
+
+    assert profile.fold_summaries(fresh, due, people, store, down, lines_per_request=10).collect() == []
+
+
+def test_limit_usage_reads_the_days_and_keys_of_the_errors(spark, tmp_path):
+    path = str(tmp_path / "calls")
+    rows = [(i, datetime(2024, 1, 1) + timedelta(hours=i), "p", f"m{i % 3}", "t", 5, 5, 1.0, "k") for i in range(24 * 20)]
+    spark.createDataFrame(rows, tables.TABLES["llm_calls"]).withColumn("day", F.to_date("timestamp")).write.partitionBy("day").parquet(path)
+    errors = spark.createDataFrame([(1, datetime(2024, 1, 15, 12), "k", "m0", "")], "id BIGINT, timestamp TIMESTAMP_NTZ, api_key_label STRING, model STRING, error_text STRING")
+    out = limits.limit_usage_join(errors, tables.scan_table(spark, "llm_calls", path))
+    assert (out.first().tokens_60s, out.first().tokens_24h) == (10 if (14 * 24 + 12) % 3 == 0 else 0, 90)
 
 
 def test_profile_edits(spark):

@@ -1,10 +1,18 @@
 import random
+import uuid
 
+import completers
+import pytest
+from completers import offline_completer
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from eventloom.operators import extraction, inference, pagetext
+from eventloom.sources import answers
+from eventloom.sources.answers import AnswerStore
 from eventloom.sources.tables import scan_pages, scan_registry
 
+cloudpickle.register_pickle_by_value(completers)
 REGISTRY = "site_key STRING, head STRING, tail STRING, display_name STRING"
 
 
@@ -114,23 +122,98 @@ def test_dedup_keeps_single_chunk_pages(spark):
     assert got == [(1, 1, 0), (1, 1, 1), (1, 1, 2), (2, 1, 0), (2, 2, 2)]
 
 
-def test_a_failed_call_is_recorded_and_the_rest_goes_on(spark):
-    def shaky(prompt):
-        if "bad" in prompt:
-            raise RuntimeError("503 from server")
-        return inference.Completion("{}", 3, None)
+KEYS = "page_id INT, chunk_no INT"
+
+
+def requests_of(spark, prompts):
+    return spark.createDataFrame([(i, 1, p) for i, p in enumerate(prompts)], f"{KEYS}, prompt STRING")
 
-    df = spark.createDataFrame([(1, 1, True, "good"), (1, 2, True, "bad")], "page_id INT, chunk_no INT, is_last BOOLEAN, prompt STRING")
-    got = {r.chunk_no: (r.content, r.prompt_tokens, r.completion_tokens, r.error) for r in inference.infer_chunks(df, shaky).collect()}
-    assert got == {1: ("{}", 3, None, None), 2: (None, None, None, "503 from server")}
 
+def counted(path, bad="bad"):
+    """A completer that leaves a file for every call."""
 
-def test_offline_extraction_round_trip(spark):
-    chunks = spark.createDataFrame([(1, "s", 1, True, "Big Show 2024-05-01\nnothing here", "u")], "page_id INT, site_key STRING, chunk_no INT, is_last BOOLEAN, text STRING, url STRING")
+    def answer(prompt):
+        with open(f"{path}/{uuid.uuid4().hex}", "w") as f:
+            f.write(prompt)
+        if bad in prompt:
+            raise RuntimeError("503 from server")
+        return inference.Completion(prompt.upper(), 3, None)
+
+    return answer
+
+
+def calls(path):
+    return sorted(p.read_text() for p in path.iterdir())
+
+
+def test_a_failed_call_is_recorded_and_sent_again(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    store = AnswerStore(spark, str(tmp_path / "answers"), KEYS)
+    df = requests_of(spark, ["good", "bad"])
+    got = {r.page_id: (r.content, r.prompt_tokens, r.completion_tokens, r.error) for r in inference.infer_chunks(df, store, counted(log)).collect()}
+    assert got == {0: ("GOOD", 3, None, None), 1: (None, None, None, "503 from server")}
+    got = {r.page_id: (r.content, r.error) for r in store.complete(df, counted(log, bad="never")).collect()}
+    assert got == {0: ("GOOD", None), 1: ("BAD", None)}
+    assert calls(log) == ["bad", "bad", "good"]
+    # A changed text is a new request; the answer to the old one is not given for it.
+    changed = requests_of(spark, ["better", "bad"])
+    assert {r.content for r in store.complete(changed, counted(log, bad="never")).collect()} == {"BETTER", "BAD"}
+    assert calls(log) == ["bad", "bad", "better", "good"]
+    times = [r.asked_at for r in store.answers().collect()]
+    assert len(times) == 3 and len(set(times)) == 3
+
+
+def test_no_second_call_after_a_crash(spark, tmp_path, monkeypatch):
+    log = tmp_path / "log"
+    log.mkdir()
+    store = AnswerStore(spark, str(tmp_path / "answers"), KEYS)
+    df = requests_of(spark, [f"p{i}" for i in range(40)])
+    commit, seen = store.commit, []
+
+    def crashing(answers, name=None):
+        if len(seen) == 2:
+            raise RuntimeError("driver lost")
+        seen.append(1)
+        commit(answers, name)
+
+    with monkeypatch.context() as broken:
+        broken.setattr(store, "commit", crashing)
+        with pytest.raises(RuntimeError):
+            store.complete(df, counted(log), batch=10)
+    done = store.answers().count()
+    assert 0 < done < 40 and len(calls(log)) == done
+    again = AnswerStore(spark, str(tmp_path / "answers"), KEYS)
+    assert sorted(r.content for r in again.complete(df, counted(log), batch=10).collect()) == sorted(f"P{i}" for i in range(40))
+    assert calls(log) == sorted(f"p{i}" for i in range(40))
+    assert again.complete(df, counted(log)).count() == 40 and len(calls(log)) == 40
+
+
+def test_parts_of_answers_are_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(answers, "PARTS", 3)
+    store = AnswerStore(spark, str(tmp_path), KEYS)
+    for i in range(9):
+        store.commit(spark.sql(f"SELECT {i} AS page_id, 1 AS chunk_no, 'h' AS prompt_hash, '{i}' AS content, 1L AS prompt_tokens, 1L AS completion_tokens, 0D AS duration_seconds, CAST(NULL AS STRING) AS error, TIMESTAMP_NTZ'2024-01-01' AS asked_at"), str(i))
+        store.commit(spark.sql("SELECT 1"), str(i))  # known: not even read
+    assert sorted(r.content for r in store.answers().collect()) == [str(i) for i in range(9)]
+    assert len(list(tmp_path.glob("part-*"))) <= 7
+
+
+def test_extraction_round_trip(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "s", 1, True, "Big Show 2024-05-01\nnothing here", "u")], "page_id BIGINT, site_key STRING, chunk_no BIGINT, is_last BOOLEAN, text STRING, url STRING")
     registry = spark.createDataFrame([("s", "Site S")], "site_key STRING, display_name STRING")
-    answers = inference.infer_chunks(pagetext.build_prompts(chunks, registry), inference.offline_completer)
-    event = extraction.explode_events(extraction.parse_responses(answers)).first()
+    store = AnswerStore(spark, str(tmp_path), inference.CHUNK_KEYS)
+    found = inference.infer_chunks(pagetext.build_prompts(chunks, registry), store, offline_completer)
+    event = extraction.explode_events(extraction.parse_responses(found)).first()
     assert (event.title, event.date, event.site_key) == ("Big Show", "2024-05-01", "s")
+    log = inference.call_log(found, ["page_id"], provider="p", model="m", call_type="scraping", api_key_label="k")
+    assert log.first().timestamp == found.first().asked_at
+
+
+def test_dedup_reads_its_rows_once(spark):
+    df = spark.createDataFrame([(1, 1, False, 0, "A", "x" * 50)], "page_id INT, chunk_no INT, is_last BOOLEAN, pos INT, title STRING, description STRING")
+    plan = extraction.dedup_in_page(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and "SortAggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
 def test_registry_defaults(spark):
