@@ -8,14 +8,14 @@ positions that have to be told apart together:
 
 1. Every window of ``length`` bytes has an anchor, the ``seed`` bytes inside it with the
    smallest hash. Equal windows have equal anchors at equal offsets. Windows that
-   follow each other and share their anchor are one stretch, some 40 bytes wide.
+   follow each other and share their anchor are one stretch, some 30 bytes wide.
 2. A round names each stretch by its *core*, the bytes that all its windows have in
    common, and by its *reach*, the bytes of all its windows together. A core met once
    leaves. Among stretches with equal reach all windows are equal; the earliest one
    stands for them, and the others are wholly repeats. Where the stretches
    that are left differ although their cores are equal, the earliest ones are cut into
    blocks by the distance from the anchor and go into the next round.
-3. Smaller blocks have longer cores: with the blocks of ``BLOCKS``, names cover 20, 69,
+3. Smaller blocks have longer cores: with the blocks of ``BLOCKS``, names cover 40, 69,
    93 and in the end all 100 bytes, each a pair of the names of its first and last
    64, 32 or 16 bytes. In the last round a block is one window and core and reach are the same.
 
@@ -34,17 +34,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.texts import distinct_texts, lists_of, with_lists
+from eventloom.llm.texts import PLACES, distinct_texts, lists_of, with_lists
 from eventloom.llm.words import BYTE_VALUES, GOLDEN, Runs, bytes_of, mix, signed, slices
-from eventloom.session import durable
+from eventloom.session import broadcast_if_small, durable
 
-SEED = 20
+#: Long enough that prose rarely repeats it by chance.
+SEED = 40
 #: Windows of a block in each round after the first; the last has to be 1.
 BLOCKS = (32, 8, 1)
 #: Windows that are handled at once, unless one slice of short texts has more.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
 #: Stretches whose bytes are handled at once.
-STRETCHES = 1 << 14
+STRETCHES = 1 << 12
+#: Bytes of text in a slice: a byte takes some 100 bytes of working memory.
+SLICE = 1 << 19
 #: A place is a position with the distances from its first and to its last window, in a byte each.
 FIRST, LAST = 8, 16
 
@@ -86,7 +89,7 @@ def _stretches(length: int, seed: int, whole: bool):
     low = np.uint64((1 << 24) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", limit=SLICE):
             for data, offsets, base in _pieces(*bytes_of(part.column("text")), length):
                 counts = np.maximum(np.diff(offsets) - length + 1, 0)
                 if not counts.any():
@@ -108,8 +111,8 @@ def _stretches(length: int, seed: int, whole: bool):
                     yield pa.RecordBatch.from_arrays([core], ["core"])
                     continue
                 place = (anchor - offsets[:-1][text] + base[text]) << 2 * FIRST | (hi - lo) << FIRST | anchor - hi
-                keys = [part.column(c).take(pa.array(text)) for c in ("doc_id", "text_key")]
-                yield pa.RecordBatch.from_arrays([core, signed(runs(lo, hi + length)), *keys, pa.array(place)], ["core", "reach", "doc_id", "text_key", "place"])
+                keys = [part.column(c).take(pa.array(text)) for c in ("doc_id", "text_no")]
+                yield pa.RecordBatch.from_arrays([core, signed(runs(lo, hi + length)), *keys, pa.array(place)], ["core", "reach", "doc_id", "text_no", "place"])
 
     return run
 
@@ -147,8 +150,8 @@ def _finer(length: int, block: int):
                 core = names(anchor[of] - number * block + shift, anchor[of] - (number + 1) * block + 1 + length + shift)
                 reach = names(first + shift, last + length + shift)
                 place = anchor[of] << 2 * FIRST | (last - first) << FIRST | anchor[of] - last
-                keys = [part.column(c).take(pa.array(row[of])) for c in ("doc_id", "text_key")]
-                yield pa.RecordBatch.from_arrays([signed(core), signed(reach), *keys, pa.array(place)], ["core", "reach", "doc_id", "text_key", "place"])
+                keys = [part.column(c).take(pa.array(row[of])) for c in ("doc_id", "text_no")]
+                yield pa.RecordBatch.from_arrays([signed(core), signed(reach), *keys, pa.array(place)], ["core", "reach", "doc_id", "text_no", "place"])
 
     return run
 
@@ -194,12 +197,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("copies"), *made], names)
 
 
-STRETCH = "core long, reach long, doc_id long, text_key long, place long"
+STRETCH = "core long, reach long, doc_id long, text_no int, place long"
 
 
 def _order() -> Column:
-    """Where a stretch lies: documents by doc_id (null last), then by a hash of the text."""
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "place")
+    """Where a stretch lies: documents by doc_id (null last), then by the number of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_no", "place")
 
 
 def _settled(live: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -208,20 +211,21 @@ def _settled(live: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds = durable(live.groupBy("core", "reach").agg(F.count("*").alias("n"), F.min(_order()).alias("first")))
     several = durable(kinds.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
     later = live.join(kinds.where("n > 1").select("core", "reach", "first"), ["core", "reach"]).where(_order() > F.col("first"))
-    open_ = kinds.join(several, "core").select("first.doc_id", "first.text_key", "first.place")
-    return later.select("doc_id", "text_key", "place"), open_
+    open_ = kinds.join(several, "core").select("first.doc_id", "first.text_no", "first.place")
+    return later.select("doc_id", "text_no", "place"), open_
 
 
 def repeats(docs: DataFrame, length: int = 100, seed: int = SEED) -> DataFrame:
-    """``(doc_id, text_key, place)``: stretches of windows of ``length`` bytes that also start earlier.
+    """``(doc_id, text_no, place)``: stretches of windows of ``length`` bytes that also start earlier.
 
-    ``docs`` has ``doc_id``, ``text`` and ``text_key`` and no row twice.
+    ``docs`` has ``doc_id``, ``text`` and ``text_no`` and no row twice.
     """
     if not 1 < seed <= length or length - seed > 255:
         raise ValueError("the seed must be two bytes or more and at most 255 bytes shorter than the window")
     cores = docs.select("text").mapInArrow(_stretches(length, seed, False), "core long")
     shared = durable(cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
-    live = durable(docs.select("doc_id", "text_key", "text").mapInArrow(_stretches(length, seed, True), STRETCH).join(shared, "core"))
+    found_at = docs.select("doc_id", "text_no", "text").mapInArrow(_stretches(length, seed, True), STRETCH)
+    live = durable(found_at.join(broadcast_if_small(shared, PLACES), "core"))
     later, open_ = _settled(live)
     found = [later]
     for block in BLOCKS:
@@ -254,7 +258,7 @@ def without_repeats(docs: DataFrame, length: int = 100, seed: int = SEED) -> Dat
     schema = (
         "doc_id long, copies long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start: long, stop: long>>"
     )
-    removed = lists_of(found, "place", "places").mapInArrow(_removed(length), "doc_id long, text_key long, removed array<struct<start: long, stop: long>>")
+    removed = lists_of(found, "place", "places").mapInArrow(_removed(length), "doc_id long, text_no int, removed array<struct<start: long, stop: long>>")
     out = with_lists(texts, removed, "left").mapInArrow(_cut, schema)
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
     out = out.select("*", copy)
