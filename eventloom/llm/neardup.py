@@ -8,12 +8,9 @@
    smallest node, then the largest. Members that are in one component by then
    need no further comparison.
 4. Where a bucket still holds several components, every member outside its
-   largest one is compared with all members of the other components. Where these
-   are many (a passage that unrelated texts share), the bucket is first split by
-   a second band: a pair at the threshold shares 13 of 32 bands on average, and
-   just one, which is then not enough, in about one case in 10^6. Blocks
-   of finer sketches meet in numpy and only pairs that pass their likelihood test
-   leave.
+   largest one is compared with all members of the other components whose set
+   sizes allow the threshold. Blocks of finer sketches meet in numpy and only pairs
+   that pass their likelihood test leave.
 5. Pairs that may reach the threshold by the joint likelihood of their registers
    are confirmed on the full sets of the two whole texts.
 
@@ -22,6 +19,7 @@ No step emits all pairs of a group, and no bucket has a cap.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +30,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.links import components
 from eventloom.llm.sketches import FINE_BYTES, REGISTERS, WIDTH, fine, finely_plausible, plausible, sketch
+from eventloom.llm.texts import distinct_texts
 from eventloom.llm.words import GOLDEN, LOWER_VALUES, mix, shingles, signed, slices, word_hashes, words_of
 from eventloom.session import broadcast_if_small, durable
 
@@ -40,14 +39,10 @@ BAND = 4
 MARGIN = 12.5
 #: Members of a bucket that meet as one block, on average.
 BLOCK = 64
-#: Bytes of texts that are copied to every executor rather than shuffled once for each pair.
-TEXTS = 32 << 20
 #: Comparisons made in one go.
 PAIRS_AT_ONCE = 1 << 14
 #: The largest key of a bucket in 32 bits.
 LAST = np.iinfo(np.int32).max
-#: Comparisons from which a bucket is split by a second band first.
-MANY = 1 << 22
 
 
 def _described(width: int, carried: tuple[str, ...]):
@@ -124,8 +119,7 @@ def _within_blocks(similarity: float):
     """Plausible pairs of a left and a right member with different labels, for each row's two blocks.
 
     A pair that shares several buckets leaves from the one with the smallest key, by
-    the keys' low 32 bits; buckets of a second band, whose keys are no band's, let
-    all their pairs go.
+    the keys' low 32 bits.
     """
 
     def columns(batch: pa.RecordBatch, side: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -157,7 +151,7 @@ def _within_blocks(similarity: float):
                 i, j, at = i[pick], j[pick], at[pick]
                 own = left["bands"][i]
                 smallest = np.where(own == right["bands"][j], own, LAST).min(axis=1, initial=LAST)
-                pick = (smallest == at) | ~(own == at[:, None]).any(axis=1)
+                pick = smallest == at
                 a, b = left["node"][i[pick]], right["node"][j[pick]]
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -178,8 +172,7 @@ class _Comparison:
     """Nodes with their registers and texts, and what it takes to confirm pairs of them."""
 
     def __init__(self, nodes: DataFrame, texts: DataFrame, width: int, percent: int):
-        self.nodes, self.width, self.percent = nodes, width, percent
-        self.texts = broadcast_if_small(texts, TEXTS)
+        self.nodes, self.texts, self.width, self.percent = nodes, texts, width, percent
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``(a, b)`` that the registers allow and the full sets confirm."""
@@ -215,12 +208,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Null and blank texts have no shingles and are linked with nothing. Rows with
     the same doc_id stay separate rows; those with equal sets share a component.
     Rows whose doc_id is null take part and get the smallest non-null doc_id of
-    their component, else null. Further columns of ``docs`` are ignored. An empty
+    their component, else null. Equal rows are compared once. Further columns of ``docs`` are ignored. An empty
     table gives an empty result.
     """
-    described, of_set = _components(docs, width, percent)
+    described, of_set = _components(distinct_texts(docs), width, percent, "text_no int", "copies long")
     out = described.join(of_set, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
@@ -231,30 +225,33 @@ def surplus(docs: DataFrame, key: str, width: int = 5, percent: int = 80) -> Dat
     stays, null last; among equal ids the one with the smallest hash of its text, then
     the smallest key. Null and blank texts are linked with nothing and all stay.
     """
-    described, of_set = _components(docs, width, percent, key)
+    keyed = docs.select("doc_id", "text", key, F.xxhash64("text").alias("text_hash"))
+    described, of_set = _components(keyed, width, percent, f"{key} string", "text_hash long")
     rows = described.where("n_shingles > 0")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", key)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", key)
     first = rows.join(of_set.select("set_a", "set_b", "component"), ["set_a", "set_b"]).groupBy("component").agg(F.min(order).alias("first"))
     return rows.select(key).join(first.select(f"first.{key}"), key, "left_anti")
 
 
 def _components(docs: DataFrame, width: int, percent: int, *keys: str) -> tuple[DataFrame, DataFrame]:
-    """Every row with its set but without its text, and the component of every set that is not empty."""
-    docs = docs.select("doc_id", *keys, "text", F.xxhash64("text").alias("text_key"))
-    kinds = "".join(f"{key} string, " for key in keys)
-    described = durable(
-        docs.mapInArrow(
-            _described(width, ("doc_id", *keys, "text_key")), f"doc_id long, {kinds}text_key long, n_shingles long, set_a long, set_b long, registers binary"
-        )
-    )
+    """Every row with its set but without its text, and the component of every set that is not empty.
+
+    ``keys`` are further columns of ``docs`` with their types, of which the first one tells rows
+    with equal doc_ids apart.
+    """
+    names = [key.split()[0] for key in keys]
+    docs = docs.select("doc_id", *names, "text")
+    schema = f"doc_id long, {', '.join(keys)}, n_shingles long, set_a long, set_b long, registers binary"
+    described = durable(docs.mapInArrow(_described(width, ("doc_id", *names)), schema))
     sets = described.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles")
     sets = sets.agg(
         F.min("doc_id").alias("smallest"),
-        F.min(F.struct("doc_id", "text_key")).alias("copy"),
+        F.min(F.struct("doc_id", F.col(names[0]).alias("key"))).alias("copy"),
         F.any_value("registers").alias("registers"),
     )
     # The ids have to be read as they are made, so they are stored at once.
     nodes = durable(sets.withColumn("node", F.monotonically_increasing_id()))
+    docs = docs.withColumn("key", F.col(names[0]))
     labels = _labels(nodes, docs, width, percent)
     smallest = nodes.join(labels, "node").groupBy("label").agg(F.min("smallest").alias("component_id"))
     found = labels.join(smallest, "label").select("node", "label", "component_id")
@@ -278,8 +275,9 @@ def _labels(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
 
     labels = durable(members.select("node", F.col("node").alias("label")).distinct())
     near = durable(nodes.join(labels, "node"))
-    ids = durable(near.select("node", "copy.doc_id", "copy.text_key"))
-    same = docs["doc_id"].eqNullSafe(ids["doc_id"]) & (docs["text_key"] == ids["text_key"])
+    # One row of ``docs`` for each node, however many copies it has.
+    ids = durable(near.select("node", "copy.doc_id", "copy.key"))
+    same = docs["doc_id"].eqNullSafe(ids["doc_id"]) & (docs["key"] == ids["key"])
     texts = durable(docs.join(broadcast_if_small(ids), same).select("node", "text"))
     compare = _Comparison(near, texts, width, percent)
 
@@ -295,25 +293,29 @@ def _labels(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
 
 
 def _apart(members: DataFrame, nodes: DataFrame, finer: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of different components within a bucket, each once."""
-    members = durable(members.join(_labelled(members), "bucket"))
-    many = F.col("others") * F.col("size") > MANY
-    second = members.where(many).select("bucket", "node", "label").join(nodes.select("node", F.explode(_bands()).alias("band")), "node")
-    second = second.where("band <> bucket").select(F.xxhash64("bucket", "band").alias("bucket"), "node", "label")
-    second = second.join(_labelled(second), "bucket")
-    members = durable(members.where(~many).unionByName(second).withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))))
+    """Plausible pairs of different components within a bucket, each once.
+
+    Sizes are put into classes one threshold wide, so sets that may be linked are in the same
+    class or in neighbouring ones; only blocks of such classes meet.
+    """
+    members = members.join(_labelled(members), "bucket").join(nodes.select("node", "n_shingles"), "node")
+    members = durable(members.withColumn("class", F.floor(F.log(F.col("n_shingles").cast("double")) / -math.log(percent / 100)).cast("int")))
+    sizes = members.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))
+    members = durable(members.join(sizes, ["bucket", "class"]).select("bucket", "class", "node", "label", "main", block.alias("block")))
 
     short = F.transform(_bands(), lambda key: F.shiftright(F.shiftleft(key, 32), 32).cast("int"))
     content = F.collect_list(F.struct("node", "label", "n_shingles", "fine", "bands"))
     full = members.join(finer.join(nodes.select("node", short.alias("bands")), "node"), "node")
-    right = full.groupBy("bucket", "block").agg(content.alias("right")).drop("block")
-    left = full.where("label <> main").groupBy("bucket", "block").agg(content.alias("left")).drop("block")
-    pairs = left.join(right, "bucket").select("bucket", "left", "right")
+    right = full.groupBy("bucket", "class", "block").agg(content.alias("right")).drop("block")
+    left = full.where("label <> main").groupBy("bucket", "class", "block").agg(content.alias("left")).drop("block")
+    left = left.withColumn("class", F.explode(F.array(*[F.col("class") + step for step in (-1, 0, 1)])))
+    pairs = left.join(right, ["bucket", "class"]).select("bucket", "left", "right")
     return pairs.mapInArrow(_within_blocks(percent / 100), "a long, b long").distinct()
 
 
 def _labelled(members: DataFrame) -> DataFrame:
-    """Buckets that hold several components: the size, the largest component and the number of members outside it."""
+    """Buckets that hold several components, with the largest one."""
     by_label = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    of = by_label.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"))
-    return of.where("labels > 1").select("bucket", "size", F.col("top.label").alias("main"), (F.col("size") - F.col("top.n")).alias("others"))
+    of = by_label.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"))
+    return of.where("labels > 1").select("bucket", F.col("top.label").alias("main"))
