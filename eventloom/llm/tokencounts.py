@@ -10,6 +10,7 @@ over committed batches.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,26 +20,40 @@ from eventloom.llm.words import slices
 
 VOCABULARIES = "/opt/tokenizers"
 #: Tokenizer versions and their vocabulary files.
-VERSIONS = {"byte_bpe_50k": "byte_bpe_50k.tiktoken"}
+VERSIONS = {"byte_bpe_50k": "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k": "byte_bpe_multi_50k.tiktoken"}
 #: Fixed value: how the byte-level vocabularies split a text before merging.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of so many blanks are cut out before the splitting, whose look-ahead fails on very long ones.
+LONG_BLANKS = 10_000
+BLANKS = re.compile("[ \\t\\n\\r\\f\\v\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % LONG_BLANKS)
 KEYS = ("source", "lang", "tokenizer")
 TOTALS = "source string, lang string, tokenizer string, documents long, tokens long"
 
 
-def _encoder(path: str, split: str):
+def _encoders(path: str, split: str):
+    """The tokenizer, and one that takes a whole text as a single piece."""
     import tiktoken
 
     with open(path, "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    return tiktoken.Encoding("vocabulary", pat_str=split, mergeable_ranks=ranks, special_tokens={})
+    return [tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) for pattern in (split, r"[\s\S]+")]
+
+
+def _length(text: str, whole, piece) -> int:
+    """The number of tokens. A long run of blanks is one piece by itself but for a last blank that goes to what follows it."""
+    total = at = 0
+    for run in BLANKS.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        total += len(whole(text[at : run.start()])) + len(piece(text[run.start() : end]))
+        at = end
+    return total + len(whole(text[at:]))
 
 
 def _counter(path: str, split: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path, split).encode_ordinary  # read once a task
+        whole, piece = (encoder.encode_ordinary for encoder in _encoders(path, split))  # read once a task
         for part in slices(batches, "text"):
-            counts = [len(encode(t)) if t else 0 for t in part.column("text").to_pylist()]
+            counts = [_length(t, whole, piece) if t else 0 for t in part.column("text").to_pylist()]
             at = part.schema.get_field_index("text")
             yield part.set_column(at, "tokens", pa.array(counts, pa.int64()))
 
@@ -48,7 +63,7 @@ def _counter(path: str, split: str):
 def counted(docs: DataFrame, tokenizer: str, folder: str = VOCABULARIES, split: str = SPLIT) -> DataFrame:
     """``(doc_id, source, lang, tokenizer, tokens)`` for every row of ``docs``; a null or empty text has none.
 
-    Whole texts are encoded. Every executor needs the vocabulary below ``folder``.
+    Whole texts are encoded, also very long ones and long runs of blanks. Every executor needs the vocabulary below ``folder``.
     """
     rows = docs.select("doc_id", "source", "lang", "text").mapInArrow(
         _counter(f"{folder}/{VERSIONS[tokenizer]}", split), "doc_id long, source string, lang string, tokens long"

@@ -205,11 +205,44 @@ def test_token_rollup(spark, tmp_path):
     assert {tuple(r)[:3]: list(r)[3:] for r in rollup.totals().collect()} == {k: v for k, v in want.items() if v != [0, 0]}
     with pytest.raises(ValueError):
         rollup.commit("../x", tokencounts.changes(inserted=count(docs)))
+    long_ones = [(0, " " * 1_000_000 + "a"), (1, "x" + "\n" * 30_000 + " y" + " " * 20_000), (2, "\u3000" * 12_000 + "\tb")]
+    blanks = tokencounts.counted(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in long_ones], DOCS), "byte_bpe_50k").collect()
+    assert {r.doc_id: r.tokens for r in blanks if r.doc_id} == {i: len(encode(t)) for i, t in long_ones if i}
+    # Too long for the library in one go; in this vocabulary each blank is a token, and the last one goes with the letter.
+    assert len(encode(" " * 999)) == 999
+    assert next(r.tokens for r in blanks if r.doc_id == 0) == 999_999 + len(encode(" a"))
     empty = tokencounts.Rollup(spark, str(tmp_path / "empty"))
     empty.commit("1", tokencounts.changes(inserted=count(docs.limit(0))))
     assert empty.totals().collect() == []
 
 
+@needs_data
+def test_token_query_ends_at_the_whole_table(spark):
+    import tiktoken
+
+    want = defaultdict(lambda: [0, 0])
+    rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()
+    for version, name in tokencounts.VERSIONS.items():
+        with open(f"{tokencounts.VOCABULARIES}/{name}", "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        encode = tiktoken.Encoding("plain", pat_str=tokencounts.SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        for r in rows:
+            want[r.source, r.lang, version][0] += 1
+            want[r.source, r.lang, version][1] += len(encode(r.text or ""))
+    got = queries.QUERIES["op8_token_counts"](spark, SF_DIR).collect()
+    assert {(r.source, r.lang, r.tokenizer): [r.documents, r.tokens] for r in got} == want
+
+
+def test_one_label_on_many_rows_brings_one_text(spark, monkeypatch):
+    """What reaches the driver is bounded by ids, not by the rows that repeat them."""
+    docs = spark.createDataFrame([(3, f"text {i % 7}") for i in range(3000)] + [(5, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1), (5, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, target: seen.extend(texts))
+    quality.train(docs, labels)
+    assert len(seen) <= 2
+
+
 def test_url_rules(spark):
     pick = random.Random(5)
     hosts = ["net", "example.net", "a.example.net", "xnet", "example.com", "b.Example.COM", "org", "x.org", "www.casino.info", "mycasino.info", "cheap-pills.info", "", "user@h.net:80", "xxx.info"]
