@@ -32,6 +32,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 #: Tokens of a block, and slots of an output shard on average.
 BLOCK = 128
 SLOTS_PER_SHARD = 1 << 16
+#: Slots that one task lays out.
+SLOTS_PER_TASK = 1 << 16
 
 
 STEPS = mix(np.arange(1, 5, dtype=np.uint64))
@@ -182,6 +184,8 @@ def mixture(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
     total = plan.agg(F.sum("slots")).first()[0] or 0
     shards = max(1, math.ceil(total / slots_per_shard))
     drawn = plan.mapInPandas(_drawn(shards, seed), "shard long, source_no long, blocks long, first long, slots long")
-    slots = drawn.repartition("shard", "source_no").select("shard", "source_no", "blocks", F.explode(F.expr("sequence(first, first + slots - 1)")).alias("slot"))
+    # A number of tasks that follows the slots: adaptive execution would judge by the few rows that come in.
+    tasks = max(1, math.ceil(total / SLOTS_PER_TASK))
+    slots = drawn.repartition(tasks, "shard", "source_no").select("shard", "source_no", "blocks", F.explode(F.expr("sequence(first, first + slots - 1)")).alias("slot"))
     slots = slots.mapInArrow(_placed(seed), "shard long, source_no long, slot long, block long")
     return Mix(sources, documents, slots, block)

@@ -143,7 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text_bytes
     short = docs.where(F.octet_length("text") <= text_bytes).select("doc_id")
     known = known.join(short, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = docs.join(broadcast_if_small(durable(known)), "doc_id").where(F.octet_length("text") <= text_bytes)
-    sample = chosen.select("doc_id", "text", "quality").toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+    # One text an id before anything leaves Spark, however many rows repeat it.
+    sample = chosen.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     target = sample["quality"].to_numpy(np.float32)
     if len(np.unique(target)) < 2:
         return float(target.mean()) if len(target) else 0.5

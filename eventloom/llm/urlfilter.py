@@ -98,9 +98,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     index = durable(rules.join(rarest, "name", "left").select("name", "rule_verdict", "pattern", "weight", "listed", F.col("of.token").alias("token")))
 
     found = words.join(broadcast_if_small(index.where("token is not null")), "token").drop("token")
-    always = index.where("token is null").agg(F.collect_list(F.struct("name", "rule_verdict", "pattern", "weight", "listed")).alias("all"))
-    # One row with the few rules that no token can index; every URL tries them.
-    everywhere = targets.join(F.broadcast(always)).select("target", F.inline("all"))
+    # Rules that no token can index are tried on every URL: they are filed under a token that all URLs have.
+    everywhere = targets.withColumn("token", F.lit("")).join(broadcast_if_small(index.where("token is null").withColumn("token", F.lit(""))), "token").drop("token")
     tried = found.unionByName(everywhere).where(F.expr("target RLIKE pattern"))
     best = tried.groupBy("target").agg(F.min(F.struct((-F.col("weight")).alias("w"), "name", "rule_verdict", "listed")).alias("best"))
 
