@@ -8,13 +8,15 @@ and joins the findings back to all paths. All of it is Spark SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.session import broadcast_if_small, durable
+from eventloom.sources.manifest import Folders
 
 
 @dataclass(frozen=True)
@@ -121,6 +123,35 @@ def advance(docs: DataFrame, ledger: Ledger | None = None, rules: Sequence[Rule]
     return Ledger(fresh.select("blob", F.lit(version).alias("rule_version")), durable(scan(blobs, rules, version)))
 
 
+class StoredLedger:
+    """A ledger kept below a folder that all executors share, one increment after the other.
+
+    An increment counts once the manifest names it, so one that was lost half-way is scanned
+    again and one that is repeated finds nothing left to scan. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self._folders = Folders(spark, path)
+
+    def ledger(self) -> Ledger:
+        parts = self._folders.read().get("increments", [])
+        if not parts:
+            return Ledger.empty(self.spark)
+        read = lambda name, schema: self.spark.read.schema(schema).parquet(*[f"{self.path}/{part}/{name}" for part in parts])
+        return Ledger(read("scanned", "blob string, rule_version string"), read("findings", FINDING))
+
+    def advance(self, docs: DataFrame, rules: Sequence[Rule] = RULES, version: str = RULE_VERSION) -> Ledger:
+        """Scan what ``docs`` holds and the ledger does not know under this version; store and return the new rows."""
+        new = advance(docs, self.ledger(), rules, version)
+        parts = self._folders.read().get("increments", [])
+        part = f"increment-{uuid.uuid4().hex}"
+        new.scanned.write.parquet(f"{self.path}/{part}/scanned")
+        new.findings.write.parquet(f"{self.path}/{part}/findings")
+        self._folders.commit({"increments": [*parts, part]})
+        return new
+
+
 def _listed(found: Column) -> Column:
     """``kind:start:stop`` of all entries, by start and then kind."""
     entry = F.transform(F.array_sort(found), lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"]))

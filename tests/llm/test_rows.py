@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from eventloom.llm import langmix, mixing, quality, queries, rules, secretscan, tokencounts, urlfilter
@@ -71,6 +72,30 @@ def test_secrets_and_their_ledger(spark):
     assert secretscan.report(docs.limit(0), found).collect() == []
 
 
+def test_a_stored_ledger_scans_nothing_twice(spark, tmp_path, monkeypatch):
+    rows = [(i, f"secret = abcdefghijkl{i % 5} and more", "en", "s", 0) for i in range(20)] + [(50, None, None, None, 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    ledger = secretscan.StoredLedger(spark, str(tmp_path))
+    assert ledger.advance(docs.where("doc_id < 3")).scanned.count() == 3
+    assert ledger.advance(docs).scanned.count() == 3  # two more texts and the null one
+    again = ledger.advance(docs)
+    assert again.scanned.count() == 0 and again.findings.count() == 0
+    kept = secretscan.StoredLedger(spark, str(tmp_path)).ledger()
+    assert (kept.scanned.count(), kept.findings.count()) == (6, 5)
+
+    def crash(self, state):
+        raise RuntimeError("lost")
+
+    more = docs.withColumn("text", F.concat("text", F.lit(" token=0123456789abc")))
+    with monkeypatch.context() as broken:
+        broken.setattr(secretscan.Folders, "commit", crash)
+        with pytest.raises(RuntimeError):
+            ledger.advance(more)
+    assert ledger.ledger().scanned.count() == 6
+    assert ledger.advance(more).scanned.count() == 5
+    assert sorted(map(str, secretscan.report(docs, ledger.ledger().findings).collect())) == sorted(map(str, secretscan.report(docs, secretscan.advance(docs).findings).collect()))
+
+
 def test_whole_private_keys_are_found(spark):
     pick = random.Random(3)
     line = lambda n: "".join(pick.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
