@@ -39,6 +39,9 @@ BAND = 4
 MARGIN = 12.5
 #: Members of a bucket that meet as one block, on average.
 BLOCK = 64
+#: Bytes of left texts whose pairs are confirmed together, and pairs from which they are split.
+BLOCK_BYTES = 4 << 20
+PAIRS_IN_PART = 8_000
 #: Comparisons made in one go.
 PAIRS_AT_ONCE = 1 << 14
 #: The largest key of a bucket in 32 bits.
@@ -94,23 +97,34 @@ def _kept(similarity: float):
 
 
 def _confirmed(width: int, percent: int):
-    """Pairs with 100 * intersection >= percent * union; rows come sorted by ``a``, whose set is kept."""
+    """Pairs with 100 * intersection >= percent * union.
+
+    Rows come by block and part: first the texts of the left nodes, whose sets are kept until the
+    next part, then each right text with the left nodes it is compared with.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, None
-        for part in slices(batches, "text_a", "text_b"):
-            words = words_of(part.column("text_b"))
+        place, left = None, {}
+        for part in slices(batches, "text"):
+            words = words_of(part.column("text"))
             elements, first = shingles(words, word_hashes(words, LOWER_VALUES), width)
-            keep = np.zeros(part.num_rows, bool)
-            for i, a in enumerate(part.column("a").to_pylist()):
-                if a != last:
-                    own = words_of(part.column("text_a").slice(i, 1))
-                    last, left = a, shingles(own, word_hashes(own, LOWER_VALUES), width)[0]
-                right = elements[first[i] : first[i + 1]]
-                at = np.searchsorted(left, right)
-                common = int((left[np.minimum(at, len(left) - 1)] == right).sum()) if len(left) else 0
-                keep[i] = common > 0 and 100 * common >= percent * (len(left) + len(right) - common)
-            yield part.select(["a", "b"]).filter(pa.array(keep))
+            found = []
+            columns = [part.column(c).to_pylist() for c in ("block", "part", "node", "partners")]
+            for i, (block, number, node, partners) in enumerate(zip(*columns, strict=True)):
+                if (block, number) != place:
+                    place, left = (block, number), {}
+                own = elements[first[i] : first[i + 1]]
+                if partners is None:
+                    left[node] = own.copy()
+                    continue
+                for other in partners:
+                    its = left[other]
+                    at = np.searchsorted(its, own)
+                    common = int((its[np.minimum(at, len(its) - 1)] == own).sum()) if len(its) else 0
+                    if common > 0 and 100 * common >= percent * (len(its) + len(own) - common):
+                        found.append((other, node))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
     return run
 
@@ -182,12 +196,23 @@ class _Comparison:
         return self.confirmed(pairs.mapInArrow(_kept(self.percent / 100), "a long, b long"))
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        # The ids are cut by range, so that few texts meet the pairs of a task and a node with very many pairs is split.
-        parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        pairs = durable(pairs).repartitionByRange(parts, "a", "b")
-        for side in "ba":
-            pairs = pairs.join(self.texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
-        return durable(pairs.sortWithinPartitions("a").mapInArrow(_confirmed(self.width, self.percent), "a long, b long"))
+        """The pairs that the full sets confirm.
+
+        Left nodes are dealt into blocks of some ``BLOCK_BYTES`` of text, and a block with many pairs
+        into parts by its right nodes. A left text moves once a part, a right text once for each part
+        that it has partners in, however many pairs they make.
+        """
+        size = self.texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+        blocks = max(1, math.ceil(size / BLOCK_BYTES))
+        pairs = durable(pairs.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks))))
+        parts = durable(pairs.groupBy("block").agg(F.ceil(F.count("*") / PAIRS_IN_PART).alias("parts")))
+        part = F.pmod(F.xxhash64(F.lit(1), "b"), F.col("parts")).alias("part")
+        pairs = durable(pairs.join(broadcast_if_small(parts), "block").select("a", "b", "block", part))
+        left = pairs.select("block", "part", F.col("a").alias("node")).distinct().withColumn("partners", F.lit(None).cast("array<long>"))
+        right = pairs.groupBy("block", "part", F.col("b").alias("node")).agg(F.collect_list("a").alias("partners"))
+        rows = left.unionByName(right).join(self.texts, "node").repartition("block", "part")
+        rows = rows.sortWithinPartitions("block", "part", F.col("partners").isNotNull())
+        return durable(rows.mapInArrow(_confirmed(self.width, self.percent), "a long, b long"))
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
