@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from eventloom.functions.dates import day_only, with_parsed_date
@@ -18,7 +18,7 @@ from eventloom.functions.ordering import numbered
 from eventloom.functions.text import blank, empty, strip
 from eventloom.functions.times import midnight, moment, ntz, sentinel_day
 from eventloom.functions.urls import join_url
-from eventloom.session import broadcast_if_small, durable
+from eventloom.session import broadcast_if_small, durable, scratch_path
 
 KEY = ["title", "date"]
 
@@ -206,6 +206,21 @@ def run_summary(classified: DataFrame, pages: DataFrame, *, as_of: datetime | st
     )
 
 
+def save_run(classified: DataFrame, registry: DataFrame, pages: DataFrame, *, as_of: datetime | str) -> tuple[DataFrame, DataFrame, dict]:
+    """The rows to add, the summary per source and the totals of a run, from one evaluation of its extraction.
+
+    The classified rows are stored once; Spark counts their outcomes on the way, and both
+    results read what was stored.
+    """
+    spark, totals = classified.sparkSession, Observation("run")
+    outcomes = ("added", "duplicate", "past", "no_title")
+    path = scratch_path(spark, "classified")
+    counts = [F.count_if(F.col("outcome") == o).alias(o) for o in outcomes]
+    classified.observe(totals, F.count(F.lit(1)).alias("found"), *counts).write.parquet(path)
+    stored = spark.read.schema(classified.schema).parquet(path)
+    return catalog_rows(stored, registry), run_summary(stored, pages, as_of=as_of), totals.get
+
+
 def run_log(sites: DataFrame, summary: DataFrame, outcomes: DataFrame, *, as_of: datetime | str) -> DataFrame:
     """One row per source of a run's ``sites`` (site_key), whether it succeeded or not.
 

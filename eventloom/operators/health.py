@@ -31,6 +31,24 @@ def month_spread(catalog: DataFrame, *, as_of: datetime | str) -> DataFrame:
     )
 
 
+def spread_sketches(catalog: DataFrame) -> DataFrame:
+    """``(source, day, sketch)``: mergeable distinct-count sketches of the months, to be stored and added to.
+
+    An opt-in for catalogs too large to count anew; ``month_spread`` stays exact.
+    """
+    return (
+        catalog.where(F.col("date").isNotNull())
+        .groupBy("source", F.to_date("date").alias("day"))
+        .agg(F.hll_sketch_agg(F.date_format("date", "yyyy-MM")).alias("sketch"))
+    )
+
+
+def month_spread_estimate(sketches: DataFrame, *, as_of: datetime | str) -> DataFrame:
+    """``month_spread`` from stored sketches, by whole days from the day of ``as_of`` on."""
+    merged = sketches.where(F.col("day") >= F.to_date(ntz(as_of))).groupBy("source").agg(F.hll_union_agg("sketch").alias("sketch"))
+    return merged.select("source", F.hll_sketch_estimate("sketch").alias("months"))
+
+
 def _latest() -> Column:
     newest = F.struct(
         F.col("run_timestamp").alias("last_run"),

@@ -126,7 +126,7 @@ summary AS (SELECT coalesce(c.source, p.source) AS source, {_ZEROS},
     sql=f"WITH {_SUMMARY.strip()} SELECT * FROM summary",
 )
 def run_summary(x):
-    return catalog.run_summary(classify_save(x), x.texts, as_of=AS_OF)
+    return catalog.save_run(classify_save(x), x.registry, x.texts, as_of=AS_OF)[1]
 
 
 # Every registered site runs; some fail, and some are not listed at all.

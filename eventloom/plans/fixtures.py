@@ -129,10 +129,10 @@ VIEWS = {
             "chunk_no",
             # Every eleventh page was read in one go.
             "chunk_no = CASE WHEN event_id % 11 = 0 THEN 1 ELSE 3 END AS is_last",
-            """CASE WHEN event_id % 10 = 0 AND chunk_no = 1
+            """CASE WHEN event_id % 11 = 0 THEN concat('{"events":[{"title":"Show ', user_id, '","date":"2024-03-05"},{"title":" show ', user_id, '"},{"title":" "}]}')
+                    WHEN event_id % 10 = 0 AND chunk_no = 1
                     THEN concat('{"events":[{"title":"Show ', user_id, '","date":"2024-03-05"},{"title":"Cut ', event_id)
                     WHEN event_id % 10 = 1 AND chunk_no = 1 THEN 'not json'
-                    WHEN event_id % 11 = 0 THEN concat('{"events":[{"title":"Show ', user_id, '","date":"2024-03-05"},{"title":" show ', user_id, '"},{"title":" "}]}')
                     ELSE concat('{"events":[{"title":"Show ', user_id, '","date":"2024-03-05"},{"title":" SHOW ',
                                 user_id + chunk_no - 1, ' ","date":"2024-03-06"}],"next_page_url":',
                                 CASE WHEN event_id % 2 = 0 THEN 'null' ELSE '"https://ex.org/p2"' END, '}') END

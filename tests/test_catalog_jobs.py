@@ -123,6 +123,38 @@ def test_month_bounds():
     assert listing.month_bounds(2024, 2)[1] == datetime(2024, 2, 29, 23, 59, 59)
 
 
+def test_a_run_is_evaluated_once(spark):
+    """Rows and summary read what was stored; the extraction's own plan is in neither."""
+    ran = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            ran.add(batch.num_rows)
+            yield batch
+
+    old = spark.createDataFrame([], STORED)
+    extracted = events(spark)
+    once = extracted.mapInArrow(counting, extracted.schema)
+    registry = spark.createDataFrame([("s", "https://s.org/x")], "site_key STRING, url STRING")
+    pages = spark.createDataFrame([("s", "text")], "site_key STRING, text STRING")
+    classed = catalog.clamp_ongoing(catalog.normalize_dates(once, as_of=AS_OF), as_of=AS_OF)
+    classed = catalog.classify_save(classed, old, as_of=AS_OF)
+    before = ran.value
+    rows, summary, totals = catalog.save_run(classed, registry, pages, as_of=AS_OF)
+    stored_by = ran.value
+    assert rows.count() == totals["added"] and summary.agg(F.sum("events_found")).first()[0] == totals["found"] == extracted.count()
+    assert ran.value == stored_by > before
+
+
+def test_sketched_months_are_close(spark):
+    rows = [(i, f"s{i % 3}", datetime(2020 + i % 60, 1 + i % 12, 1 + i % 28)) for i in range(6000)]
+    frame = spark.createDataFrame(rows, "id BIGINT, source STRING, date TIMESTAMP_NTZ")
+    exact = {r.source: r.months for r in health.month_spread(frame, as_of=AS_OF).collect()}
+    parts = [health.spread_sketches(frame.where(F.col("id") % 2 == k)) for k in (0, 1)]  # stored at two times
+    got = {r.source: r.months for r in health.month_spread_estimate(parts[0].unionByName(parts[1]), as_of="2024-02-15 00:00:00").collect()}
+    assert set(got) == set(exact) and all(abs(got[s] - exact[s]) <= 0.05 * exact[s] + 1 for s in exact)
+
+
 STAGE = "site_key STRING, page_id INT"
 
 
