@@ -8,9 +8,8 @@
    smallest node, then the largest. Members that are in one component by then
    need no further comparison.
 4. Where a bucket still holds several components, every member outside its
-   largest one is compared with all members of the other components whose set
-   sizes allow the threshold. Blocks of finer sketches meet in numpy and only pairs
-   that pass their likelihood test leave.
+   largest one is compared with all members of the other components. Blocks of
+   finer sketches meet in numpy and only pairs that pass their likelihood test leave.
 5. Pairs that may reach the threshold by the joint likelihood of their registers
    are confirmed on the full sets of the two whole texts.
 
@@ -44,8 +43,6 @@ BLOCK_BYTES = 4 << 20
 PAIRS_IN_PART = 8_000
 #: Comparisons made in one go.
 PAIRS_AT_ONCE = 1 << 14
-#: The largest key of a bucket in 32 bits.
-LAST = np.iinfo(np.int32).max
 
 
 def _described(width: int, carried: tuple[str, ...]):
@@ -130,11 +127,7 @@ def _confirmed(width: int, percent: int):
 
 
 def _within_blocks(similarity: float):
-    """Plausible pairs of a left and a right member with different labels, for each row's two blocks.
-
-    A pair that shares several buckets leaves from the one with the smallest key, by
-    the keys' low 32 bits.
-    """
+    """Plausible pairs of a left and a right member with different labels, for each row's two blocks."""
 
     def columns(batch: pa.RecordBatch, side: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         lists = batch.column(side)
@@ -142,7 +135,6 @@ def _within_blocks(similarity: float):
         first = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
         return first, {k: members.field(k).to_numpy() for k in ("n_shingles", "label", "node")} | {
             "fine": np.frombuffer(b"".join(members.field("fine").to_pylist()), np.uint8).reshape(-1, FINE_BYTES),
-            "bands": members.field("bands").flatten().to_numpy().reshape(-1, REGISTERS // BAND),
         }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +143,6 @@ def _within_blocks(similarity: float):
             # One entry for each left member, which meets the whole right block of its row.
             row = np.repeat(np.arange(batch.num_rows), np.diff(first_l))
             meets = np.diff(first_r)[row]
-            bucket = batch.column("bucket").to_numpy().astype(np.int32)
             ends = np.cumsum(meets)
             for lo, hi in _runs(ends, PAIRS_AT_ONCE):
                 i = np.repeat(np.arange(lo, hi), meets[lo:hi])
@@ -159,13 +150,8 @@ def _within_blocks(similarity: float):
                 j = np.arange(len(i)) - np.repeat(begin - first_r[row[lo:hi]], meets[lo:hi])
                 size_l, size_r = left["n_shingles"][i], right["n_shingles"][j]
                 pick = (left["label"][i] != right["label"][j]) & (size_r >= similarity * size_l) & (size_l >= similarity * size_r)
-                at = bucket[np.repeat(row[lo:hi], meets[lo:hi])[pick]]
                 i, j = i[pick], j[pick]
                 pick = finely_plausible(left["fine"][i], right["fine"][j], similarity, MARGIN)
-                i, j, at = i[pick], j[pick], at[pick]
-                own = left["bands"][i]
-                smallest = np.where(own == right["bands"][j], own, LAST).min(axis=1, initial=LAST)
-                pick = smallest == at
                 a, b = left["node"][i[pick]], right["node"][j[pick]]
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -313,34 +299,25 @@ def _labels(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
         labels = _relabelled(labels, compare.links(pairs))
 
     finer = texts.mapInArrow(_finer(width), "node long, fine binary").join(near.select("node", "n_shingles"), "node")
-    pairs = _apart(members.select("bucket", "node").join(labels, "node"), near, finer, percent)
+    blocks = _apart(members.select("bucket", "node").join(labels, "node"), near, finer)
+    # A pair that shares several buckets comes from each of them.
+    pairs = blocks.mapInArrow(_within_blocks(percent / 100), "a long, b long").distinct()
     return _relabelled(labels, compare.confirmed(pairs))
 
 
-def _apart(members: DataFrame, nodes: DataFrame, finer: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of different components within a bucket, each once.
-
-    Sizes are put into classes one threshold wide, so sets that may be linked are in the same
-    class or in neighbouring ones; only blocks of such classes meet.
-    """
-    members = members.join(_labelled(members), "bucket").join(nodes.select("node", "n_shingles"), "node")
-    members = durable(members.withColumn("class", F.floor(F.log(F.col("n_shingles").cast("double")) / -math.log(percent / 100)).cast("int")))
-    sizes = members.groupBy("bucket", "class").agg(F.count("*").alias("n"))
-    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))
-    members = durable(members.join(sizes, ["bucket", "class"]).select("bucket", "class", "node", "label", "main", block.alias("block")))
-
-    short = F.transform(_bands(), lambda key: F.shiftright(F.shiftleft(key, 32), 32).cast("int"))
-    content = F.collect_list(F.struct("node", "label", "n_shingles", "fine", "bands"))
-    full = members.join(finer.join(nodes.select("node", short.alias("bands")), "node"), "node")
-    right = full.groupBy("bucket", "class", "block").agg(content.alias("right")).drop("block")
-    left = full.where("label <> main").groupBy("bucket", "class", "block").agg(content.alias("left")).drop("block")
-    left = left.withColumn("class", F.explode(F.array(*[F.col("class") + step for step in (-1, 0, 1)])))
-    pairs = left.join(right, ["bucket", "class"]).select("bucket", "left", "right")
-    return pairs.mapInArrow(_within_blocks(percent / 100), "a long, b long").distinct()
+def _apart(members: DataFrame, nodes: DataFrame, finer: DataFrame) -> DataFrame:
+    """Blocks of members of a bucket that holds several components: those outside its largest one against all."""
+    members = members.join(_labelled(members), "bucket")
+    members = durable(members.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))))
+    content = F.collect_list(F.struct("node", "label", "n_shingles", "fine"))
+    full = members.join(finer, "node")
+    right = full.groupBy("bucket", "block").agg(content.alias("right")).drop("block")
+    left = full.where("label <> main").groupBy("bucket", "block").agg(content.alias("left")).drop("block")
+    return left.join(right, "bucket").select("left", "right")
 
 
 def _labelled(members: DataFrame) -> DataFrame:
-    """Buckets that hold several components, with the largest one."""
+    """Buckets that hold several components: their size and the largest one."""
     by_label = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    of = by_label.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"))
-    return of.where("labels > 1").select("bucket", F.col("top.label").alias("main"))
+    of = by_label.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"))
+    return of.where("labels > 1").select("bucket", "size", F.col("top.label").alias("main"))
