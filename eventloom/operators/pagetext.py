@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from eventloom.functions.html import COUNTED, read_page
 from eventloom.functions.text import clip, nullif_empty, strip
 from eventloom.functions.times import moment
+from eventloom.schemas import EVENT_FIELDS
 from eventloom.session import broadcast_if_small
 
 CHUNK_SIZE, CHUNK_OVERLAP = 6000, 300
@@ -239,30 +240,35 @@ def placeholder_flags(texts: DataFrame) -> DataFrame:
     )
 
 
-EXTRACT_TASK = """\
-You read the text of a page that announces events and list them.
-
-List every event under "events". Give each one exactly these keys:
-  title        text
-  date         text, always YYYY-MM-DD; for a range such as Oct 17, 2025 - Apr 25, 2026 the first day
-  end_date     text, YYYY-MM-DD, or null; only for ranges, the last day
-  time         text such as 8:00 PM, or null; write 1:30pm as 1:30 PM
-  description  text or null
-  venue        text or null
-  url          full address of the event's own page, copied letter by letter, or null
-The start time may stand on the line after the date or in a range such as 9:00 am - 4:00 pm.
-On a month grid the month is named at the top and day numbers belong to it unless marked otherwise.
-"""
+#: What the answer may hold for each key of an event; the keys are those of the stored schema.
+FIELD_NOTES = {
+    "title": "the event's name",
+    "venue": "hall, park or room, else null",
+    "description": "one or two sentences from the page, else null",
+    "url": "link of the event's own page, unchanged, else null",
+    "time": "start of the event on a twelve-hour clock, like 6:45 PM, else null",
+    "date": "first day, as year-month-day: 2031-06-09",
+    "end_date": "last day in the same form if the event spans several days, else null",
+}
+EXTRACT_TASK = "\n".join(
+    [
+        "Below is a piece of a web page. Collect the events it announces.",
+        'Put them into the array "events", one object an event, with these keys and no others:',
+        *[f"- {name}: {FIELD_NOTES[name]}" for name in EVENT_FIELDS],
+        "Calendars may give the month once, above the days; a clock time may be near its date and not beside it.",
+        "Of a span of hours take the beginning.",
+        "",
+    ]
+)
 LAST_CHUNK_TASK = """\
-Put the address of the following page under "next_page_url", in full, or null if there is none.
-Look for page numbers, Next or > buttons, Load More links and addresses like ?page=2.
-Links are written as: label [address].
+This piece ends the page. If the list of events goes on elsewhere (numbered pages, an arrow, a button for more), set
+"next_page_url" to that whole address, else to null. Addresses stand in square brackets behind their labels.
 """
 INNER_CHUNK_TASK = """\
-Put null under "next_page_url".
+The page goes on after this piece, so "next_page_url" is null.
 """
 ANSWER_TASK = """\
-Answer with one JSON object and nothing else: {"events": [...], "next_page_url": "..." or null}
+Reply with JSON alone, one object with the keys "events" and "next_page_url".
 """
 
 

@@ -172,15 +172,15 @@ def feedback_lists(new_feedback: DataFrame, *, lines_per_part: int | None = None
 
 
 SUMMARY_RULES = """\
-Write in two sections, Likes and Dislikes, with 3 to 5 short bullet points each.
-Name themes, genres and kinds of activity; never name an event, a venue or a source.
-Answer with the profile text only.
+Two headings, Likes and Dislikes; under each at most five points of a few words.
+A point is about a kind of event. Leave out what a single event, place or organiser is called.
+Nothing before or after the two lists.
 """
 SUMMARY_UPDATE = """\
-Bring the profile up to date: make confirmed points stronger, soften or change contradicted ones.
+Revise the current profile in the light of the new reactions: what they repeat weighs more, what they deny weighs less or goes.
 """
 SUMMARY_FIRST = """\
-Write this user's preference profile.
+Describe this person's taste from the reactions above.
 """
 
 

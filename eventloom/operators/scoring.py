@@ -65,13 +65,12 @@ def score_batches(candidates: DataFrame, *, per: Sequence[str] = (), size: int =
 
 
 SCORE_TASK = """\
-Rate how relevant each event below is to this user, from 0.0 to 1.0.
-  0.8 to 1.0  fits the stated interests or learned preferences directly
-  0.5 to 0.7  related, might be of interest
-  0.2 to 0.4  unlikely to be of interest
-  0.0 to 0.1  unrelated, or against what the user dislikes
-Answer with one JSON array and nothing else, one entry for every id given and for no other:
-[{"id": <integer>, "score": <number>}, ...]
+Judge for each event in the list how well it suits the person described above, as a number between 0.0 and 1.0.
+  0.8 to 1.0  what they ask for
+  0.5 to 0.7  close to it
+  0.2 to 0.4  far from it
+  0.0 to 0.1  foreign to them, or something they reject
+Reply with JSON alone: an array with one {"id": ..., "score": ...} for every id in the list.
 """
 
 
