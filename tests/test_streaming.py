@@ -5,10 +5,11 @@ import time
 from datetime import datetime, timedelta
 
 import pytest
+from compare import connect, difference
 from pyspark.sql import functions as F
 
 from eventloom.operators.catalog import catalog_rows, merge_catalog, prepare_events
-from eventloom.plans import fixtures
+from eventloom.plans import all_jobs, fixtures
 from eventloom.streaming import catalog, feedback, usage
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -163,3 +164,18 @@ def test_feedback_waits_for_its_event(spark, tmp_path):
     }
     # User 1 has clicks 0-9 and 50 after two batches, 20-31 in the end: once per ten.
     assert reported == [[], [(1, 10)], [(1, 10)], [(1, 10), (1, 20)]]
+
+
+@pytest.fixture(scope="module")
+def folders(spark, tmp_path_factory):
+    """The given tables as folders of several files, beside a table whose name begins like another's."""
+    base = tmp_path_factory.mktemp("folders")
+    for name in ("pages", "documents", "labels", "events"):
+        spark.read.parquet(f"{SF_DIR}/{name}.parquet").repartition(3).write.parquet(f"{base}/{name}.parquet")
+    spark.read.parquet(f"{SF_DIR}/pages.parquet").write.parquet(f"{base}/pages_old.parquet")
+    return str(base)
+
+
+@pytest.mark.parametrize("name", ["stream_pages", "stream_snapshots", "stream_feedback", "stream_usage"])
+def test_streams_read_tables_of_several_files(spark, folders, name):
+    assert difference(all_jobs.QUERIES[name](spark, folders), connect(SF_DIR), all_jobs.CHECKS[name]) is None
