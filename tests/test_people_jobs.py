@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.operators import inference, limits, profile, scoring, usage
+from eventloom.plans import all_jobs
 from eventloom.sources import tables
 from eventloom.sources.answers import AnswerStore
 
@@ -178,3 +179,8 @@ def test_parse_scores(spark):
     assert got == {(1, 1): 1.0, (1, 2): 0.0, (2, 1): 0.5, (3, 1): 1.0, (7, 1): 0.9}
     coverage = {r.batch_no: (r.scored, r.missing_ids) for r in scoring.score_coverage(scores, members).collect()}
     assert coverage[1] == (2, [3]) and coverage[6] == (0, [1, 2, 3])
+
+
+def test_every_scored_request_is_answered(spark):
+    asked, answered = (all_jobs.QUERIES[name](spark, "/root/testdata/sf0.001").select("user_id").distinct().collect() for name in ("score_prompt", "score_infer"))
+    assert sorted(asked) == sorted(answered) and any(r.user_id % 7 == 3 for r in asked)
