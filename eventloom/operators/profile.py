@@ -144,18 +144,23 @@ def summary_due(feedback: DataFrame, profile: DataFrame, *, threshold: int = SUM
     )
 
 
-def feedback_lists(new_feedback: DataFrame, *, lines_per_part: int | None = None) -> DataFrame:
+def feedback_lists(new_feedback: DataFrame, *, lines_per_part: int | None = None, newest_first: bool = False) -> DataFrame:
     """Liked and disliked events as bullet text, newest first.
 
     ``new_feedback`` is numbered as by ``recent_feedback_n``. One row per user with all of them, or
-    with ``lines_per_part`` one per user and part of so many clicks, the oldest ones in part 0.
+    with ``lines_per_part`` one per user and part of so many clicks, the oldest ones in part 0, or
+    with ``newest_first`` the newest ones.
     """
     about = one_line(clip(F.coalesce("event_description", F.lit("")), 100))
     line = F.concat(
         F.lit('- "'), F.coalesce("event_title", F.lit("None")), F.lit('" ('), F.coalesce("event_source", F.lit("None")),
         F.lit(") -- "), about,
     )
-    part = F.floor((F.col("new_no") - 1) / lines_per_part) if lines_per_part else F.lit(0)
+    place = F.col("new_no")
+    if newest_first:
+        new_feedback = new_feedback.join(new_feedback.groupBy("user_id").agg(F.max("new_no").alias("_last")), "user_id")
+        place = F.col("_last") - place + 1
+    part = F.floor((place - 1) / lines_per_part) if lines_per_part else F.lit(0)
     rows = new_feedback.select(
         "user_id", "interested", (-F.col("new_no")).alias("age"), line.alias("line"), part.cast("bigint").alias("part_no")
     )
@@ -184,8 +189,12 @@ Describe this person's taste from the reactions above.
 """
 
 
-def summary_prompt(lists: DataFrame, due: DataFrame, profile: DataFrame) -> DataFrame:
-    """The summary request of each due user: an update if a summary exists, else a first one."""
+def summary_prompt(lists: DataFrame, due: DataFrame, profile: DataFrame, *, continued: bool = False) -> DataFrame:
+    """The summary request of each due user: an update if a summary exists, else a first one.
+
+    Each part of the lists is a request of its own; with ``continued`` part 0 alone is one, and
+    the further parts follow it as continuations.
+    """
     existing = nullif_empty(F.coalesce("preference_summary", F.lit("")))
     clicks = F.concat(
         F.lit("EVENTS THE USER LIKED:\n"), "liked", F.lit("\n\nEVENTS THE USER DISLIKED:\n"), "disliked", F.lit("\n\n")
@@ -194,10 +203,13 @@ def summary_prompt(lists: DataFrame, due: DataFrame, profile: DataFrame) -> Data
         F.lit("CURRENT PROFILE:\n"), existing, F.lit("\n\nNEW "), clicks, F.lit(SUMMARY_UPDATE), F.lit(SUMMARY_RULES)
     )
     first = F.concat(clicks, F.lit(SUMMARY_FIRST), F.lit(SUMMARY_RULES))
+    prompt = F.coalesce(update, first)
+    if continued:
+        prompt = F.when(F.col("part_no") > 0, F.concat(F.lit("CONTINUED "), clicks)).otherwise(prompt)
     return (
         lists.join(due.select("user_id"), "user_id", "left_semi")
         .join(profile.select("user_id", "preference_summary"), "user_id")
-        .select("user_id", "part_no", F.coalesce(update, first).alias("prompt"))
+        .select("user_id", "part_no", prompt.alias("prompt"))
     )
 
 

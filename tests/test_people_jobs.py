@@ -184,3 +184,21 @@ def test_parse_scores(spark):
 def test_every_scored_request_is_answered(spark):
     asked, answered = (all_jobs.QUERIES[name](spark, "/root/testdata/sf0.001").select("user_id").distinct().collect() for name in ("score_prompt", "score_infer"))
     assert sorted(asked) == sorted(answered) and any(r.user_id % 7 == 3 for r in asked)
+
+
+def test_long_lists_come_in_parts(spark):
+    clicks = feedback(spark, 46)
+    people = spark.createDataFrame([(0, "t", "old", 3), (1, "t", "", 20)], PEOPLE)
+    fresh, due = profile.recent_feedback_n(clicks, people), profile.summary_due(clicks, people)
+    lists = profile.feedback_lists(fresh, lines_per_part=8, newest_first=True)
+    titles = lambda text: re.findall(r'"E(\d+)"', text)
+    parts = {r.part_no: sorted(map(int, titles(r.liked + r.disliked))) for r in lists.where("user_id = 0").collect()}
+    assert parts == {0: list(range(30, 46, 2)), 1: list(range(14, 30, 2)), 2: list(range(6, 14, 2))}
+    asked = {r.part_no: r.prompt for r in profile.summary_prompt(lists, due, people, continued=True).collect()}
+    assert sorted(asked) == [0, 1, 2] and asked[0].startswith("CURRENT PROFILE:\nold") and profile.SUMMARY_RULES in asked[0]
+    assert all(asked[i].startswith("CONTINUED EVENTS") and profile.SUMMARY_RULES not in asked[i] for i in (1, 2))
+
+
+@pytest.mark.parametrize("name", ["feedback_lists", "summary_prompt"])
+def test_lists_and_requests_have_their_further_parts(spark, name):
+    assert all_jobs.QUERIES[name](spark, "/root/testdata/sf0.001").where("part_no > 0").count() > 0
