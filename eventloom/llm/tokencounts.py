@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,15 +61,18 @@ def _counter(path: str, split: str):
     return run
 
 
-def counted(docs: DataFrame, tokenizer: str, folder: str = VOCABULARIES, split: str = SPLIT) -> DataFrame:
+def counted(docs: DataFrame, tokenizer: str, folder: str = VOCABULARIES, split: str = SPLIT, more: Sequence[str] = ()) -> DataFrame:
     """``(doc_id, source, lang, tokenizer, tokens)`` for every row of ``docs``; a null or empty text has none.
 
     Whole texts are encoded, also very long ones and long runs of blanks. Every executor needs the vocabulary below ``folder``.
+    The columns ``more`` of ``docs`` come along.
     """
-    rows = docs.select("doc_id", "source", "lang", "text").mapInArrow(
-        _counter(f"{folder}/{VERSIONS[tokenizer]}", split), "doc_id long, source string, lang string, tokens long"
+    types = dict(docs.dtypes)
+    rows = docs.select("doc_id", "source", "lang", "text", *more).mapInArrow(
+        _counter(f"{folder}/{VERSIONS[tokenizer]}", split),
+        ", ".join(["doc_id long, source string, lang string, tokens long", *[f"{name} {types[name]}" for name in more]]),
     )
-    return rows.select("doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), "tokens")
+    return rows.select("doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), "tokens", *more)
 
 
 def changes(inserted: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:

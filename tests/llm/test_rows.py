@@ -406,3 +406,19 @@ def test_pipeline(spark, tmp_path):
         taken[r.doc_id] += len(r.text.split(" "))
     assert abs(sum(taken.values()) / sum(size.values()) - 1.5) < 0.05 and all(taken[i] <= 2 * size[i] for i in taken)
     assert before.count() == len(size)
+
+
+@needs_data
+def test_a_text_is_encoded_once_a_vocabulary(spark, monkeypatch):
+    """All batches of the op8 query together encode each text, and each draft of a revised one, once a version."""
+    asked, counted = Counter(), tokencounts.counted
+
+    def counting(docs, tokenizer, **options):
+        asked[tokenizer] += docs.count()
+        return counted(docs, tokenizer, **options)
+
+    monkeypatch.setattr(tokencounts, "counted", counting)
+    queries.QUERIES["op8_token_counts"](spark, SF_DIR)
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    drafts = docs.where("pmod(xxhash64(doc_id, text), 4) = 0").count()
+    assert asked == dict.fromkeys(tokencounts.VERSIONS, docs.count() + drafts)
