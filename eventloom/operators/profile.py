@@ -63,7 +63,7 @@ def feedback_snapshot(clicks: DataFrame, catalog: DataFrame) -> DataFrame:
         F.col("category").alias("event_category"),
         F.col("venue").alias("event_venue"),
     )
-    more = [c for c in ("new_no",) if c in clicks.columns]
+    more = [c for c in ("new_no", "rank") if c in clicks.columns]
     return (
         accepted(clicks, *more)
         .join(events, "event_id")
@@ -101,7 +101,10 @@ def feedback_counts(feedback: DataFrame) -> DataFrame:
 
 
 def recent_feedback(feedback: DataFrame, *, n: int = 10) -> DataFrame:
-    """Each user's newest clicks. Map tasks send at most ``n`` rows per user."""
+    """Each user's newest clicks. Map tasks send at most ``n`` rows per user.
+
+    Hand in ``recorded_clicks`` and attach the content last, so that no text moves with the clicks.
+    """
     newest = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("click_id"))
     return feedback.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= n)
 

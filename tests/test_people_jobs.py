@@ -202,3 +202,12 @@ def test_long_lists_come_in_parts(spark):
 @pytest.mark.parametrize("name", ["feedback_lists", "summary_prompt"])
 def test_lists_and_requests_have_their_further_parts(spark, name):
     assert all_jobs.QUERIES[name](spark, "/root/testdata/sf0.001").where("part_no > 0").count() > 0
+
+
+def test_newest_clicks_are_ranked_without_their_texts(spark):
+    plan = all_jobs.QUERIES["recent_feedback"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = next(i for i, line in enumerate(plan) if re.match(r"[ :+-]*Window \[", line))
+    end = next((i for i in range(at + 1, len(plan)) if depth(plan[i]) <= depth(plan[at])), len(plan))
+    below = [line for line in plan[at:end] if "Relation [" not in line]
+    assert len(below) > 2 and not any("text#" in line or "event_description" in line for line in below)
