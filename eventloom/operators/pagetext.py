@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +16,8 @@ from eventloom.schemas import EVENT_FIELDS
 from eventloom.session import broadcast_if_small
 
 CHUNK_SIZE, CHUNK_OVERLAP = 6000, 300
+#: Pages that are read as Python objects at once.
+PAGES_AT_ONCE = 64
 CHARS_PER_TOKEN = 2.2
 
 # Calendar export links, which are not content.
@@ -29,8 +31,9 @@ def read_html(pages: DataFrame) -> DataFrame:
     """Parse ``html`` in Arrow batches and replace it by ``raw_text``, ``tags`` and ``root``.
 
     The page itself does not travel back to the JVM. Page sizes vary widely; Spark
-    closes a batch at 64 MB (``spark.sql.execution.arrow.maxBytesPerBatch``). Rows are
-    independent, so any partitioning will do.
+    closes a batch at 64 MB (``spark.sql.execution.arrow.maxBytesPerBatch``), and of a batch
+    only ``PAGES_AT_ONCE`` pages are Python objects at a time. Rows are independent, so any
+    partitioning will do.
     """
     schema = T.StructType(
         [field for field in pages.schema.fields if field.name != "html"]
@@ -41,16 +44,20 @@ def read_html(pages: DataFrame) -> DataFrame:
         ]
     )
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = [read_page(page or "") for page in batch["html"]]
-            yield batch.drop(columns="html").assign(
-                raw_text=[text for text, _, _ in seen],
-                tags=[dict(zip(COUNTED, counts)) for _, counts, _ in seen],
-                root=[root for _, _, root in seen],
-            )
-
-    return pages.mapInPandas(read, schema)
+            for start in range(0, batch.num_rows, PAGES_AT_ONCE):
+                part = batch.slice(start, PAGES_AT_ONCE)
+                seen = [read_page(page or "") for page in part.column("html").to_pylist()]
+                kept = [name for name in part.schema.names if name != "html"]
+                new = {
+                    "raw_text": pa.array([text for text, _, _ in seen], pa.string()),
+                    "tags": pa.array([list(zip(COUNTED, counts)) for _, counts, _ in seen], pa.map_(pa.string(), pa.int64())),
+                    "root": pa.array([root for _, _, root in seen], pa.string()),
+                }
+                yield pa.RecordBatch.from_arrays([*[part.column(name) for name in kept], *new.values()], [*kept, *new])
+
+    return pages.mapInArrow(read, schema)
 
 
 def tidy(text: Column) -> Column:

@@ -1,8 +1,13 @@
 import time
+import tracemalloc
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 from eventloom.functions.html import DROPPED, read_page
+from eventloom.operators import pagetext
 
 CASES = [
     ("<html><body><p>a</p> <p> b </p></body></html>", "a\nb"),
@@ -46,3 +51,20 @@ def test_deep_pages_are_linear():
     began = time.monotonic()
     text, *_ = read_page("<body>" + "<b>x" * 200_000)
     assert text.count("x") == 200_000 and time.monotonic() - began < 5
+
+
+def test_a_batch_of_pages_is_read_bit_by_bit():
+    """What Python holds at once does not grow with the pages of an Arrow batch."""
+    fields = [T.StructField("page_id", T.LongType()), T.StructField("html", T.StringType())]
+    frame = SimpleNamespace(schema=T.StructType(fields), mapInArrow=lambda read, schema: read)
+    read = pagetext.read_html(frame)
+    batch = pa.RecordBatch.from_pydict({"page_id": range(1001), "html": [f"<body>{i}{'x' * 30_000}</body>" for i in range(1000)] + [None]})
+    tracemalloc.start()
+    ids, texts = [], []
+    for part in read(iter([batch])):
+        ids += part.column("page_id").to_pylist()
+        texts += [text.rstrip("x") for text in part.column("raw_text").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids == list(range(1001)) and texts == [*map(str, range(1000)), ""]
+    assert peak < 20_000_000
