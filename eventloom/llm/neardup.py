@@ -28,11 +28,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.links import components
+from eventloom.llm.links import LABELS, components
 from eventloom.llm.sketches import FINE_BYTES, REGISTERS, WIDTH, fine, finely_plausible, plausible, sketch
 from eventloom.llm.texts import distinct_texts
 from eventloom.llm.words import GOLDEN, LOWER_VALUES, mix, shingles, signed, slices, word_hashes, words_of
-from eventloom.session import broadcast_if_small, durable
+from eventloom.session import broadcast_if_small, durable, gathered, parts_for, stored_bytes
 
 BAND = 4
 #: A pair at the threshold is lost to the likelihood test only beyond five standard deviations.
@@ -187,6 +187,8 @@ class _Comparison:
 
     def __init__(self, nodes: DataFrame, texts: DataFrame, width: int, percent: int):
         self.nodes, self.texts, self.width, self.percent = nodes, texts, width, percent
+        size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+        self.blocks = max(1, math.ceil(size / BLOCK_BYTES))
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``(a, b)`` that the registers allow and the full sets confirm."""
@@ -202,25 +204,27 @@ class _Comparison:
         into parts by its right nodes. A left text moves once a part, a right text once for each part
         that it has partners in, however many pairs they make.
         """
-        size = self.texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-        blocks = max(1, math.ceil(size / BLOCK_BYTES))
-        pairs = durable(pairs.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks))))
-        parts = durable(pairs.groupBy("block").agg(F.ceil(F.count("*") / PAIRS_IN_PART).alias("parts")))
+        pairs = durable(pairs.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(self.blocks))))
+        few = parts_for(stored_bytes(pairs))
+        pairs = pairs.coalesce(few)
+        # One row a block, so some hundred for a GB of texts.
+        parts = pairs.groupBy("block").agg(F.ceil(F.count("*") / PAIRS_IN_PART).alias("parts")).coalesce(few)
         part = F.pmod(F.xxhash64(F.lit(1), "b"), F.col("parts")).alias("part")
-        pairs = durable(pairs.join(broadcast_if_small(parts), "block").select("a", "b", "block", part))
+        pairs = pairs.join(F.broadcast(parts), "block").select("a", "b", "block", part)
         left = pairs.select("block", "part", F.col("a").alias("node")).distinct().withColumn("partners", F.lit(None).cast("array<long>"))
         right = pairs.groupBy("block", "part", F.col("b").alias("node")).agg(F.collect_list("a").alias("partners"))
-        rows = left.unionByName(right).join(self.texts, "node").repartition("block", "part")
+        rows = left.coalesce(few).unionByName(right.coalesce(few)).join(self.texts, "node").repartition("block", "part")
         rows = rows.sortWithinPartitions("block", "part", F.col("partners").isNotNull())
-        return durable(rows.mapInArrow(_confirmed(self.width, self.percent), "a long, b long"))
+        return durable(rows.mapInArrow(_confirmed(self.width, self.percent), "a long, b long")).coalesce(few)
 
 
-def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Join components that a link connects; ``labels`` has every node of the links."""
-    of = {side: labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")) for side in "ab"}
+def _relabelled(labels: DataFrame, links: DataFrame, size: int) -> DataFrame:
+    """Join components that a link connects; ``labels`` has every node of the links and takes ``size`` bytes."""
+    of = {side: broadcast_if_small(labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")), LABELS, size) for side in "ab"}
     between = links.join(of["a"], "a").join(of["b"], "b").where("label_a <> label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
     merged = components(between).select(F.col("node").alias("label"), F.col("label").alias("root"))
-    return durable(labels.join(merged, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
+    merged = broadcast_if_small(merged, LABELS, size)
+    return durable(labels.join(merged, "label", "left").select("node", F.coalesce("root", "label").alias("label")).coalesce(parts_for(size)))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -236,7 +240,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     their component, else null. Equal rows are compared once. Further columns of ``docs`` are ignored. An empty
     table gives an empty result.
     """
-    described, of_set = _components(distinct_texts(docs), width, percent, "text_no int", "copies long")
+    described, nodes, labels = _components(distinct_texts(docs), width, percent, "text_no int", "copies long")
+    smallest = nodes.join(labels, "node").groupBy("label").agg(F.min("smallest").alias("component_id"))
+    found = labels.join(smallest, "label").select("node", "component_id")
+    of_set = nodes.join(found, "node", "left").select("set_a", "set_b", F.coalesce("component_id", "smallest").alias("component_id"))
     out = described.join(of_set, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
@@ -251,15 +258,16 @@ def surplus(docs: DataFrame, key: str, width: int = 5, percent: int = 80) -> Dat
     the smallest key. Null and blank texts are linked with nothing and all stay.
     """
     keyed = docs.select("doc_id", "text", key, F.xxhash64("text").alias("text_hash"))
-    described, of_set = _components(keyed, width, percent, f"{key} string", "text_hash long")
+    described, nodes, labels = _components(keyed, width, percent, f"{key} string", "text_hash long")
+    of_set = nodes.join(labels, "node", "left").select("set_a", "set_b", F.coalesce("label", "node").alias("component"))
     rows = described.where("n_shingles > 0")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", key)
-    first = rows.join(of_set.select("set_a", "set_b", "component"), ["set_a", "set_b"]).groupBy("component").agg(F.min(order).alias("first"))
+    first = rows.join(of_set, ["set_a", "set_b"]).groupBy("component").agg(F.min(order).alias("first"))
     return rows.select(key).join(first.select(f"first.{key}"), key, "left_anti")
 
 
-def _components(docs: DataFrame, width: int, percent: int, *keys: str) -> tuple[DataFrame, DataFrame]:
-    """Every row with its set but without its text, and the component of every set that is not empty.
+def _components(docs: DataFrame, width: int, percent: int, *keys: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row with its set but without its text, a node for every set that is not empty, and ``_labels`` of the nodes.
 
     ``keys`` are further columns of ``docs`` with their types, of which the first one tells rows
     with equal doc_ids apart.
@@ -275,15 +283,9 @@ def _components(docs: DataFrame, width: int, percent: int, *keys: str) -> tuple[
         F.any_value("registers").alias("registers"),
     )
     # The ids have to be read as they are made, so they are stored at once.
-    nodes = durable(sets.withColumn("node", F.monotonically_increasing_id()))
+    nodes = gathered(durable(sets.withColumn("node", F.monotonically_increasing_id())))
     docs = docs.withColumn("key", F.col(names[0]))
-    labels = _labels(nodes, docs, width, percent)
-    smallest = nodes.join(labels, "node").groupBy("label").agg(F.min("smallest").alias("component_id"))
-    found = labels.join(smallest, "label").select("node", "label", "component_id")
-    of_set = nodes.join(found, "node", "left").select(
-        "set_a", "set_b", F.coalesce("label", "node").alias("component"), F.coalesce("component_id", "smallest").alias("component_id")
-    )
-    return described, of_set
+    return described, nodes, _labels(nodes, docs, width, percent)
 
 
 def _bands() -> Column:
@@ -293,13 +295,15 @@ def _bands() -> Column:
 
 
 def _labels(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``(node, label)`` of every node that shares a bucket with another one."""
+    """``(node, label)`` of every node that shares a bucket with another one, to be broadcast if they are few."""
     bands = nodes.select("node", F.explode(_bands()).alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("size > 1")
-    members = durable(bands.join(shared, "bucket"))
+    members = gathered(durable(bands.join(shared, "bucket")))
 
     labels = durable(members.select("node", F.col("node").alias("label")).distinct())
-    near = durable(nodes.join(labels, "node"))
+    size = stored_bytes(labels)
+    labels = labels.coalesce(parts_for(size))
+    near = gathered(durable(nodes.join(broadcast_if_small(labels, LABELS, size), "node")))
     # One row of ``docs`` for each node, however many copies it has.
     ids = durable(near.select("node", "copy.doc_id", "copy.key"))
     same = docs["doc_id"].eqNullSafe(ids["doc_id"]) & (docs["key"] == ids["key"])
@@ -307,14 +311,15 @@ def _labels(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     compare = _Comparison(near, texts, width, percent)
 
     for centre in ("low", "high"):
-        of = {side: labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")) for side in ("node", centre)}
+        of = {side: broadcast_if_small(labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")), LABELS, size) for side in ("node", centre)}
         pairs = members.select("node", centre).where(f"node <> {centre}").distinct().join(of["node"], "node").join(of[centre], centre)
         pairs = pairs.where(f"label_node <> label_{centre}").select(F.col(centre).alias("a"), F.col("node").alias("b"))
-        labels = _relabelled(labels, compare.links(pairs))
+        labels = _relabelled(labels, compare.links(pairs), size)
 
-    finer = texts.mapInArrow(_finer(width), "node long, fine binary").join(near.select("node", "n_shingles"), "node")
-    pairs = _apart(members.select("bucket", "node").join(labels, "node"), near, finer, percent)
-    return _relabelled(labels, compare.confirmed(pairs))
+    finer = texts.mapInArrow(_finer(width), "node long, fine binary")
+    known = members.select("bucket", "node").join(broadcast_if_small(labels, LABELS, size), "node")
+    pairs = _apart(known, near, finer, percent)
+    return broadcast_if_small(_relabelled(labels, compare.confirmed(pairs), size), LABELS, size)
 
 
 def _apart(members: DataFrame, nodes: DataFrame, finer: DataFrame, percent: int) -> DataFrame:
@@ -324,14 +329,14 @@ def _apart(members: DataFrame, nodes: DataFrame, finer: DataFrame, percent: int)
     class or in neighbouring ones; only blocks of such classes meet.
     """
     members = members.join(_labelled(members), "bucket").join(nodes.select("node", "n_shingles"), "node")
-    members = durable(members.withColumn("class", F.floor(F.log(F.col("n_shingles").cast("double")) / -math.log(percent / 100)).cast("int")))
+    members = gathered(durable(members.withColumn("class", F.floor(F.log(F.col("n_shingles").cast("double")) / -math.log(percent / 100)).cast("int"))))
     sizes = members.groupBy("bucket", "class").agg(F.count("*").alias("n"))
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))
-    members = durable(members.join(sizes, ["bucket", "class"]).select("bucket", "class", "node", "label", "main", block.alias("block")))
+    members = gathered(durable(members.join(sizes, ["bucket", "class"]).select("bucket", "class", "node", "label", "main", block.alias("block"))))
 
     short = F.transform(_bands(), lambda key: F.shiftright(F.shiftleft(key, 32), 32).cast("int"))
     content = F.collect_list(F.struct("node", "label", "n_shingles", "fine", "bands"))
-    full = members.join(finer.join(nodes.select("node", short.alias("bands")), "node"), "node")
+    full = members.join(finer.join(nodes.select("node", "n_shingles", short.alias("bands")), "node"), "node")
     right = full.groupBy("bucket", "class", "block").agg(content.alias("right")).drop("block")
     left = full.where("label <> main").groupBy("bucket", "class", "block").agg(content.alias("left")).drop("block")
     left = left.withColumn("class", F.explode(F.array(*[F.col("class") + step for step in (-1, 0, 1)])))

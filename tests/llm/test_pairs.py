@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontam, neardup, repeats
+from eventloom.llm import decontam, links, neardup, repeats
 from eventloom.llm.texts import distinct_texts
 
 DOCS = "doc_id long, text string"
@@ -73,6 +73,43 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert neardup.near_duplicates(docs.limit(0), 4, 80).collect() == []
 
 
+def tasks_of(spark, job):
+    """The result of ``job`` and how many tasks it ran."""
+    context = spark.sparkContext
+    context.setJobGroup("counted", "counted")
+    try:
+        out = job()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context.setLocalProperty("spark.job.description", None)
+    tracker = context.statusTracker()
+    infos = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("counted") for s in tracker.getJobInfo(j).stageIds]
+    return out, sum(i.numCompletedTasks for i in infos if i)
+
+
+def test_few_links_take_few_tasks_in_many_partitions(spark):
+    """Rounds over a few rows do not start a task for each shuffle partition."""
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
+        got, tasks = tasks_of(spark, lambda: sorted(map(tuple, links.components(chain).collect())))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == [(i, 0) for i in range(41)] + [(100, 100), (101, 100)]
+    assert tasks < 400
+
+
+def test_components_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(links, "LABELS", 0)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    assert sorted(map(tuple, links.components(chain).collect())) == [(i, 0) for i in range(41)] + [(100, 100), (101, 100)]
+    assert links.components(chain.limit(0)).collect() == []
+
+
 def test_equal_rows_are_compared_once(spark, monkeypatch):
     confirmed = neardup._Comparison.confirmed
     seen = []
