@@ -9,10 +9,11 @@
    need no further comparison.
 4. Where a bucket still holds several components, every member outside its
    largest one is compared with all members of the other components whose set
-   sizes allow the threshold. Blocks of finer sketches meet in numpy and only pairs
-   that pass their likelihood test leave.
-5. Pairs that may reach the threshold by the joint likelihood of their registers
-   are confirmed on the full sets of the two whole texts.
+   sizes allow the threshold. Blocks of members with the parities of their sets
+   meet in numpy. Parities differ at no more places than the two sets differ in
+   elements, so no link is lost there, and hardly a pair leaves that is none.
+5. Pairs that may reach the threshold, in step 3 by the joint likelihood of their
+   registers, are confirmed on the full sets of the two whole texts.
 
 No step emits all pairs of a group, and no bucket has a cap.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.links import LABELS, components
-from eventloom.llm.sketches import FINE_BYTES, REGISTERS, WIDTH, fine, finely_plausible, plausible, sketch
+from eventloom.llm.sketches import REGISTERS, WIDTH, differing, parities, plausible, sketch
 from eventloom.llm.texts import distinct_texts
 from eventloom.llm.words import GOLDEN, LOWER_VALUES, mix, shingles, signed, slices, word_hashes, words_of
 from eventloom.session import broadcast_if_small, durable, gathered, parts_for, stored_bytes
@@ -72,12 +73,12 @@ def _described(width: int, carried: tuple[str, ...]):
     return run
 
 
-def _finer(width: int):
+def _parities(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             words = words_of(part.column("text"))
-            rows = fine(*shingles(words, word_hashes(words, LOWER_VALUES), width))
-            yield part.select(["node"]).append_column("fine", pa.array([r.tobytes() for r in rows], pa.binary()))
+            rows = parities(*shingles(words, word_hashes(words, LOWER_VALUES), width))
+            yield part.select(["node"]).append_column("parities", pa.array(rows, pa.binary()))
 
     return run
 
@@ -129,9 +130,11 @@ def _confirmed(width: int, percent: int):
     return run
 
 
-def _within_blocks(similarity: float):
-    """Plausible pairs of a left and a right member with different labels, for each row's two blocks.
+def _within_blocks(percent: int):
+    """Pairs of a left and a right member with different labels whose parities allow a link, for each row's two blocks.
 
+    100 * intersection >= percent * union says that at most (100 - percent) / (100 + percent) of the
+    elements of both sets, each set's counted, are in one of them alone.
     A pair that shares several buckets leaves from the one with the smallest key, by
     the keys' low 32 bits.
     """
@@ -141,7 +144,7 @@ def _within_blocks(similarity: float):
         members = lists.flatten()
         first = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
         return first, {k: members.field(k).to_numpy() for k in ("n_shingles", "label", "node")} | {
-            "fine": np.frombuffer(b"".join(members.field("fine").to_pylist()), np.uint8).reshape(-1, FINE_BYTES),
+            "parities": members.field("parities").to_pylist(),
             "bands": members.field("bands").flatten().to_numpy().reshape(-1, REGISTERS // BAND),
         }
 
@@ -158,10 +161,10 @@ def _within_blocks(similarity: float):
                 begin = ends[lo:hi] - meets[lo:hi] - (ends[lo - 1] if lo else 0)
                 j = np.arange(len(i)) - np.repeat(begin - first_r[row[lo:hi]], meets[lo:hi])
                 size_l, size_r = left["n_shingles"][i], right["n_shingles"][j]
-                pick = (left["label"][i] != right["label"][j]) & (size_r >= similarity * size_l) & (size_l >= similarity * size_r)
+                pick = (left["label"][i] != right["label"][j]) & (100 * size_r >= percent * size_l) & (100 * size_l >= percent * size_r)
                 at = bucket[np.repeat(row[lo:hi], meets[lo:hi])[pick]]
-                i, j = i[pick], j[pick]
-                pick = finely_plausible(left["fine"][i], right["fine"][j], similarity, MARGIN)
+                i, j, both = i[pick], j[pick], (size_l + size_r)[pick]
+                pick = (100 + percent) * differing(left["parities"], right["parities"], i, j) <= (100 - percent) * both
                 i, j, at = i[pick], j[pick], at[pick]
                 own = left["bands"][i]
                 smallest = np.where(own == right["bands"][j], own, LAST).min(axis=1, initial=LAST)
@@ -316,14 +319,14 @@ def _labels(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
         pairs = pairs.where(f"label_node <> label_{centre}").select(F.col(centre).alias("a"), F.col("node").alias("b"))
         labels = _relabelled(labels, compare.links(pairs), size)
 
-    finer = texts.mapInArrow(_finer(width), "node long, fine binary")
+    odd = texts.mapInArrow(_parities(width), "node long, parities binary")
     known = members.select("bucket", "node").join(broadcast_if_small(labels, LABELS, size), "node")
-    pairs = _apart(known, near, finer, percent)
+    pairs = _apart(known, near, odd, percent)
     return broadcast_if_small(_relabelled(labels, compare.confirmed(pairs), size), LABELS, size)
 
 
-def _apart(members: DataFrame, nodes: DataFrame, finer: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of different components within a bucket, each once.
+def _apart(members: DataFrame, nodes: DataFrame, odd: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components within a bucket whose parities allow a link, each once.
 
     Sizes are put into classes one threshold wide, so sets that may be linked are in the same
     class or in neighbouring ones; only blocks of such classes meet.
@@ -335,13 +338,13 @@ def _apart(members: DataFrame, nodes: DataFrame, finer: DataFrame, percent: int)
     members = gathered(durable(members.join(sizes, ["bucket", "class"]).select("bucket", "class", "node", "label", "main", block.alias("block"))))
 
     short = F.transform(_bands(), lambda key: F.shiftright(F.shiftleft(key, 32), 32).cast("int"))
-    content = F.collect_list(F.struct("node", "label", "n_shingles", "fine", "bands"))
-    full = members.join(finer.join(nodes.select("node", "n_shingles", short.alias("bands")), "node"), "node")
+    content = F.collect_list(F.struct("node", "label", "n_shingles", "parities", "bands"))
+    full = members.join(odd.join(nodes.select("node", "n_shingles", short.alias("bands")), "node"), "node")
     right = full.groupBy("bucket", "class", "block").agg(content.alias("right")).drop("block")
     left = full.where("label <> main").groupBy("bucket", "class", "block").agg(content.alias("left")).drop("block")
     left = left.withColumn("class", F.explode(F.array(*[F.col("class") + step for step in (-1, 0, 1)])))
     pairs = left.join(right, ["bucket", "class"]).select("bucket", "left", "right")
-    return pairs.mapInArrow(_within_blocks(percent / 100), "a long, b long").distinct()
+    return pairs.mapInArrow(_within_blocks(percent), "a long, b long").distinct()
 
 
 def _labelled(members: DataFrame) -> DataFrame:

@@ -19,10 +19,8 @@ SCALE = 1.001
 #: The scale's zero, so that sets from one element to 1e24 stay within 16 bits.
 SHIFT = 5000.0
 WIDTH = 2
-#: Registers of a fine sketch, of which the two lowest bits are kept: four in a byte.
-FINE, FINE_BYTES = 2048, 512
-#: How many of the four registers in a byte agree, by the exclusive or of two bytes.
-_AGREE = sum(((np.arange(256) >> 2 * k & 3) == 0).astype(np.uint8) for k in range(4))
+#: Bytes of parities that are compared at once.
+COMPARED_BYTES = 4 << 20
 
 
 def sketch(elements: np.ndarray, first: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
@@ -56,18 +54,43 @@ def _lowest(elements: np.ndarray, first: np.ndarray, chosen: np.ndarray, limit:
     return out.reshape(-1, registers)
 
 
-def fine(elements: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The two lowest bits of ``FINE`` registers: less room for a closer estimate, from equal registers alone."""
-    low = (sketch(elements, first, FINE) & 3).astype(np.uint8).reshape(-1, FINE_BYTES, 4)
-    return low[:, :, 0] | low[:, :, 1] << 2 | low[:, :, 2] << 4 | low[:, :, 3] << 6
+def parities(elements: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """For each set, whether an odd number of its elements falls on each place, as bits.
+
+    A set has four to eight places an element, and a power of two, so that the parities of a larger
+    set can be folded to the places of a smaller one.
+    """
+    sizes = np.diff(first)
+    words = np.uint64(1) << np.ceil(np.log2(np.maximum(sizes / 16, 1))).astype(np.uint64)
+    ends = np.cumsum(words.astype(np.int64))
+    begins = ends - words.astype(np.int64)
+    word = (elements >> np.uint64(6)) & np.repeat(words - np.uint64(1), sizes)
+    out = np.zeros(ends[-1] if len(ends) else 0, np.uint64)
+    np.bitwise_xor.at(out, np.repeat(begins, sizes) + word.astype(np.int64), np.uint64(1) << (elements & np.uint64(63)))
+    return [out[lo:hi].tobytes() for lo, hi in zip(begins, ends, strict=True)]
+
+
+def differing(a: list[bytes], b: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """At how many places the parities ``a[i]`` and ``b[j]`` of each pair differ.
+
+    Elements in both sets cancel out and every other one turns one place, so there are never more
+    of them than elements in one of the two sets alone.
+    """
+    width = np.minimum(np.array([len(x) for x in a])[i], np.array([len(x) for x in b])[j])
+    out = np.zeros(len(i), np.int64)
+    for each in np.unique(width):
+        chosen = np.flatnonzero(width == each)
+        step = max(1, COMPARED_BYTES // int(each))
+        for at in range(0, len(chosen), step):
+            pick = chosen[at : at + step]
+            out[pick] = np.bitwise_count(_folded(a, i[pick], each) ^ _folded(b, j[pick], each)).sum(axis=1)
+    return out
 
 
-def finely_plausible(a: np.ndarray, b: np.ndarray, similarity: float, margin: float) -> np.ndarray:
-    """Pairs of fine sketches whose likelihood at the threshold is within ``margin`` of the best one, or that are above it."""
-    chance = similarity + (1 - similarity) / 4
-    share = np.clip(_AGREE[a ^ b].sum(axis=1) / FINE, 1e-9, 1 - 1e-9)
-    lost = FINE * (share * np.log(share / chance) + (1 - share) * np.log((1 - share) / (1 - chance)))
-    return (share >= chance) | (lost <= margin)
+def _folded(rows: list[bytes], at: np.ndarray, width: int) -> np.ndarray:
+    """The parities ``rows[at]`` on the places that ``width`` bytes have."""
+    used, where = np.unique(at, return_inverse=True)
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(rows[k], np.uint64).reshape(-1, width // 8), axis=0) for k in used])[where]
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -126,6 +126,52 @@ def test_equal_rows_are_compared_once(spark, monkeypatch):
     assert sum(seen) == 1
 
 
+def test_texts_with_a_common_passage_leave_few_pairs(spark, monkeypatch):
+    """Pairs just below the threshold are told apart within their blocks; links are kept."""
+    apart, seen = neardup._apart, []
+
+    def counting(*args):
+        pairs = apart(*args)
+        seen.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(neardup, "_apart", counting)
+    passage = [f"p{i}" for i in range(115)]
+    for n in (40, 80):
+        # 112 shingles of the passage and 17 own ones: a similarity of 0.767 for each pair.
+        rows = [(i, " ".join(passage + [f"t{i}w{k}" for k in range(17)])) for i in range(n)]
+        rows += [(n + i, rows[i][1].replace(f"t{i}w9", "other")) for i in range(0, n, 8)]
+        rows += [(9000 + i, " ".join([f"q{k}" for k in range(115)] + [f"u{i}w{k}" for k in range(14)])) for i in range(2)]  # just 80 %
+        got = neardup.near_duplicates(spark.createDataFrame(rows, DOCS), 4, 80).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == components(rows, 4, 80)
+        assert seen.pop() < n
+
+
+def test_parities_never_lose_a_link():
+    import numpy as np
+
+    from eventloom.llm.sketches import differing, parities
+    from eventloom.llm.words import mix
+
+    pick = random.Random(11)
+    values = mix(np.arange(1, 5001, dtype=np.uint64))
+    sets = []
+    for n in (1, 2, 9, 16, 17, 31, 40, 63, 65, 128, 260, 1000, 4000):
+        sets.append(values[:n])
+        for _ in range(6):  # near the threshold, and on other places
+            shift, more = pick.randrange(n // 9 + 2), pick.randrange(n // 9 + 2)
+            sets.append(values[shift : n + more])
+    sets = [np.sort(x) for x in [*sets, values[:0]]]
+    rows = parities(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    assert all(4 * len(x) <= 8 * len(row) <= max(64, 8 * len(x)) for x, row in zip(sets, rows, strict=True))
+    i, j = (x.ravel() for x in np.meshgrid(range(len(sets)), range(len(sets))))
+    apart = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    found = differing(rows, rows, i, j)
+    assert (found <= apart).all() and (found[i == j] == 0).all()
+    close = (apart > 0) & (apart <= 30) & (np.array([len(x) for x in sets])[i] > 200)
+    assert close.any() and (found[close] >= 0.8 * apart[close]).all()
+
+
 def test_equal_rows_add_no_spans(spark):
     """5,000 equal rows are one text: no more spans than for one of them."""
     text = " ".join(f"w{i}" for i in range(400))
