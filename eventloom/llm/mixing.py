@@ -139,7 +139,9 @@ class Mix:
         """The mix itself: ``(shard, slot, source, block, begin, doc_id, text)``, one row for each piece of a taken block.
 
         The pieces of a slot's block in the order of ``begin`` are its tokens. Texts
-        meet their places once and blocks meet their slots once.
+        meet their places once and blocks meet their slots once, by a shuffle: slots grow
+        with the input, but Spark would judge them by the few rows that they are dealt from
+        and broadcast them all.
         """
         key = ["_id", "_null", "text_key"]
         texts = _keyed(docs).groupBy(*key).agg(F.any_value("text").alias("text"))
@@ -147,7 +149,7 @@ class Mix:
         rows = self.pieces(texts.join(places, key).withColumn("_words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).drop("text"))
         words = F.array_join(F.slice("_words", F.col("from").cast("int") + 1, F.col("words").cast("int")), " ")
         rows = rows.select("source_no", "block", F.col("begin") + F.col("from"), "doc_id", words.alias("text")).toDF("source_no", "block", "begin", "doc_id", "text")
-        mixed = rows.join(self.slots, ["source_no", "block"]).join(broadcast_if_small(self.sources.select("source_no", "source")), "source_no")
+        mixed = rows.join(self.slots.hint("merge"), ["source_no", "block"]).join(broadcast_if_small(self.sources.select("source_no", "source")), "source_no")
         return mixed.select("shard", "slot", "source", "block", "begin", "doc_id", "text")
 
 

@@ -201,6 +201,14 @@ def test_mix(spark):
     assert mixing.mixture(docs.limit(0)).taken().collect() == []
 
 
+def test_slots_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(i, "a b c " * (i % 40), "en", f"s{i % 3}", 0) for i in range(120)], DOCS)
+    plan = mixing.mixture(docs, block=16, slots_per_shard=50).text(docs)._jdf.queryExecution()
+    assert plan.executedPlan().execute().count()
+    joins = re.findall(r"(\w+Join) \[source_no#\d+L, block#\d+L\]", plan.executedPlan().toString())
+    assert set(joins) == {"SortMergeJoin"}
+
+
 def test_token_rollup(spark, tmp_path):
     import tiktoken
 
