@@ -166,6 +166,47 @@ def test_feedback_waits_for_its_event(spark, tmp_path):
     assert reported == [[], [(1, 10)], [(1, 10)], [(1, 10), (1, 20)]]
 
 
+def test_clicks_wait_in_groups(spark, tmp_path, monkeypatch):
+    """Events are stored once, ids stay exact, and clicks of one group leave each at its own time."""
+    monkeypatch.setattr(feedback, "GROUPS", 1, raising=False)
+    start, large = datetime(2024, 1, 1), 2**60 + 1
+    click = lambda i, event, minute, user=1: (i, user, event, i % 2 == 0, start + timedelta(minutes=minute), start + timedelta(minutes=minute))
+    event = lambda i, minute, title=None: (i, title or f"E{i}", "d", "s", "c", None, start + timedelta(minutes=minute))
+    clicks = [
+        [*[click(i, 1, 1) for i in range(5)], click(51, 99, 2), click(large, 2, 5, user=None), click(52, 98, 10), click(53, 98, 10, user=large)],
+        [click(6, 1, 65)],
+        [click(7, 2, 66)],
+        [],
+    ]
+    events = [[event(1, 0)] + [event(i, 0) for i in range(1000, 1200)], [event(2, 65), event(1, 65, "new"), event(1, 64, "old")], [], [event(3, 200)]]
+    sources = {"clicks": (clicks, CLICKS), "events": (events, EVENTS)}
+    for name in sources:
+        (tmp_path / name).mkdir()
+    streams = {n: spark.readStream.schema(schema).parquet(str(tmp_path / n)) for n, (_, schema) in sources.items()}
+    out, gone = str(tmp_path / "feedback"), []
+    for number in range(4):
+        for name, (batches, schema) in sources.items():
+            if batches[number]:
+                spark.createDataFrame(batches[number], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        rows = feedback.stream_feedback(streams["clicks"], streams["events"], wait=timedelta(hours=1))
+        query = feedback.write_stream(rows, out, str(tmp_path / "cp"))
+        query.awaitTermination()
+        if number == 0:
+            assert 201 <= query.lastProgress["stateOperators"][0]["numRowsTotal"] < 300
+        stored = spark.read.schema(feedback.FEEDBACK).parquet(out).collect()
+        gone.append(sorted(r.click_id for r in stored if r.status == "rejected"))
+    kept = {r.click_id: (r.event_id, r.event_title, r.user_id, r.interested, r.created_at) for r in stored if r.status == "kept"}
+    at = lambda minute: start + timedelta(minutes=minute)
+    assert kept == {
+        **{i: (1, "E1", 1, i % 2 == 0, at(1)) for i in range(5)}, large: (2, "E2", None, False, at(5)),
+        6: (1, "new", 1, True, at(65)), 7: (2, "E2", 1, False, at(66)),
+    }
+    assert gone == [[], [51], [51], [51, 52, 53]] and len(stored) == 11
+    assert {r.click_id: (r.event_id, r.user_id, r.reason) for r in stored if r.status == "rejected"} == {
+        51: (99, 1, "Event not found"), 52: (98, 1, "Event not found"), 53: (98, large, "Event not found"),
+    }
+
+
 @pytest.fixture(scope="module")
 def folders(spark, tmp_path_factory):
     """The given tables as folders of several files, beside a table whose name begins like another's."""
