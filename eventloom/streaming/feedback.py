@@ -9,6 +9,7 @@ for each of them takes far longer than its rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -182,25 +183,34 @@ def stream_feedback(
 
 
 class _Due(StatefulProcessor):
-    """Counts a user's clicks and reports each time a summary is due."""
+    """Counts the clicks of each user in a group and reports each time a summary is due."""
 
     def __init__(self, threshold: int):
         self.threshold = threshold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getValueState("counts", "total BIGINT, reported BIGINT")
+        self.counts = handle.getMapState("counts", "user_id BIGINT", "total BIGINT, reported BIGINT")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.counts.update((0, int(initialState["counted"].iloc[0])))
+        for user_id, counted in zip(initialState["user_id"].tolist(), initialState["counted"].tolist(), strict=True):
+            self.counts.updateValue((user_id,), (0, counted))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        total, reported = self.counts.get() if self.counts.exists() else (0, 0)
-        total += int(sum(part["clicks"].sum() for part in rows))
-        crossings = range(reported + self.threshold, total + 1, self.threshold)
-        if len(crossings):
-            reported = crossings[-1]
-            yield pd.DataFrame({"user_id": int(key[0]), "total": list(crossings), "new_feedback": self.threshold})
-        self.counts.update((total, reported))
+        clicks: Counter[int] = Counter()
+        for part in rows:
+            for user_id, n in zip(part["user_id"].tolist(), part["clicks"].tolist(), strict=True):
+                clicks[user_id] += n
+        due = []
+        for user_id, new in clicks.items():
+            total, reported = self.counts.getValue((user_id,)) or (0, 0)
+            total += new
+            crossings = range(reported + self.threshold, total + 1, self.threshold)
+            if len(crossings):
+                reported = crossings[-1]
+                due += [(user_id, crossing, self.threshold) for crossing in crossings]
+            self.counts.updateValue((user_id,), (total, reported))
+        if due:
+            yield pd.DataFrame(due, columns=["user_id", "total", "new_feedback"])
 
     def close(self) -> None:
         pass
@@ -222,8 +232,9 @@ def stream_due(feedback: DataFrame, profile: DataFrame, *, threshold: int = SUMM
     rows of state input.
     """
     clicks = feedback.where(F.col("user_id").isNotNull()).select("user_id").mapInArrow(_counted, "user_id BIGINT, clicks BIGINT")
-    before = profile.select("user_id", F.coalesce("feedback_count_at_last_summary", F.lit(0)).cast("bigint").alias("counted")).groupBy("user_id")
-    return clicks.groupBy("user_id").transformWithStateInPandas(
+    counted = F.coalesce("feedback_count_at_last_summary", F.lit(0)).cast("bigint").alias("counted")
+    before = profile.where(F.col("user_id").isNotNull()).select(_group("user_id"), F.col("user_id").cast("bigint").alias("user_id"), counted).groupBy("group")
+    return clicks.select(_group("user_id"), "*").groupBy("group").transformWithStateInPandas(
         _Due(threshold), "user_id BIGINT, total BIGINT, new_feedback BIGINT", "Append", "None", initialState=before
     )
 

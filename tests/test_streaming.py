@@ -3,7 +3,9 @@
 import os
 import time
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from compare import connect, difference
 from pyspark.sql import functions as F
@@ -207,6 +209,22 @@ def test_clicks_wait_in_groups(spark, tmp_path, monkeypatch):
     }
 
 
+def test_users_are_counted_in_groups():
+    """One call counts many users, those of the profile and others."""
+    state = {}
+    counts = SimpleNamespace(getValue=lambda key: state.get(key), updateValue=state.__setitem__)
+    due = feedback._Due(10)
+    due.init(SimpleNamespace(getMapState=lambda *schema: counts))
+    due.handleInitialState((0,), pd.DataFrame({"user_id": [1, 2], "counted": [0, 5]}), None)
+    batches = [[[(1, 4), (2, 14)], [(1, 6), (3, 25)]], [[(2, 1), (3, 4)]], [[(1, 1), (3, 1)]]]
+    found = []
+    for parts in batches:
+        rows = (pd.DataFrame(part, columns=["user_id", "clicks"]) for part in parts)
+        found.append(sorted(row for out in due.handleInputRows((0,), rows, None) for row in out.itertuples(index=False, name=None)))
+    assert found == [[(1, 10, 10), (3, 10, 10), (3, 20, 10)], [(2, 15, 10)], [(3, 30, 10)]]
+    assert state == {(1,): (11, 10), (2,): (15, 15), (3,): (30, 30)}
+
+
 @pytest.fixture(scope="module")
 def folders(spark, tmp_path_factory):
     """The given tables as folders of several files, beside a table whose name begins like another's."""
